@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.operators import sessions, spatial, summarize
+from telespark.operators import animate, sessions, spatial, summarize
 from telespark.operators.clean import conform
 from telespark.plans.oracle import delta, with_prep
 from telespark.sources.telemetry import telemetry
@@ -248,3 +248,178 @@ SELECT Participant, Condition, RowId, MolePositionWorldX, MolePositionWorldY, Pa
 FROM prep WHERE PlayPeriod = 'Game'"""))
 def q_spawn_points(spark, sf):
     return spatial.spawn_points(prepared(spark, sf))
+
+
+# ---------------------------------------------------------------- playback
+
+ANIM_UNIT = "hour"   # driver sessions last about two weeks: hourly ticks
+ANIM_STEP = 3600
+NS = ("{a}.Participant IS NOT DISTINCT FROM {b}.Participant AND "
+      "{a}.Condition IS NOT DISTINCT FROM {b}.Condition")
+
+
+def anim_sql(unit: str = ANIM_UNIT, step: int = ANIM_STEP) -> str:
+    """CTEs for the playback tables (after ``prep``)."""
+    u = unit
+    return f"""
+, mt AS (SELECT Participant, Condition, x, y, id, CAST(NULL AS DOUBLE) AS size, 'Active Mole' AS name FROM (
+   SELECT Participant, Condition, MolePositionWorldX AS x, MolePositionWorldY AS y, MoleId AS id,
+     row_number() OVER (PARTITION BY Participant, Condition, MoleId ORDER BY Timestamp ASC NULLS LAST, RowId) AS r
+   FROM prep WHERE MoleId IS NOT NULL) WHERE r = 1),
+lt AS (SELECT DISTINCT Participant, Condition, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y,
+   CAST(0 AS DOUBLE) AS size, 'laser' AS id, 'Laser' AS name FROM prep),
+tmpl AS (SELECT Participant, Condition, x, y, id, size, name FROM mt
+         UNION ALL SELECT Participant, Condition, x, y, id, size, name FROM lt),
+md AS (SELECT Participant, Condition, Event, MolePositionWorldX AS x, MolePositionWorldY AS y, MoleId AS id,
+   CASE WHEN Event = 'Mole Spawned' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS size,
+   CAST(date_trunc('{u}', Timestamp) AS TIMESTAMP) AS second, 'Active Mole' AS name,
+   Timestamp AS t_ts, RowId AS t_tie
+ FROM prep WHERE Event IN ('Mole Hit', 'Mole Expired', 'Mole Spawned')),
+lp AS (SELECT Participant, Condition, CAST(date_trunc('{u}', Timestamp) AS TIMESTAMP) AS second, Event,
+   RightControllerLaserPosWorldX AS lx, RightControllerLaserPosWorldY AS ly,
+   row_number() OVER (PARTITION BY Participant, Condition, date_trunc('{u}', Timestamp), coalesce(Event = 'Mole Hit', false)
+                      ORDER BY Timestamp ASC NULLS LAST, RowId) AS rh,
+   row_number() OVER (PARTITION BY Participant, Condition, date_trunc('{u}', Timestamp)
+                      ORDER BY Timestamp DESC NULLS FIRST, RowId DESC) AS rl
+ FROM prep WHERE PlayPeriod = 'Game'),
+ld AS (SELECT Participant, Condition, second, coalesce(bool_or(Event = 'Mole Hit'), false) AS has_hit,
+   CASE WHEN coalesce(bool_or(Event = 'Mole Hit'), false)
+        THEN max(CASE WHEN Event = 'Mole Hit' AND rh = 1 THEN ly END) ELSE max(CASE WHEN rl = 1 THEN ly END) END AS y,
+   CASE WHEN coalesce(bool_or(Event = 'Mole Hit'), false)
+        THEN max(CASE WHEN Event = 'Mole Hit' AND rh = 1 THEN lx END) ELSE max(CASE WHEN rl = 1 THEN lx END) END AS x,
+   'laser' AS id, 'Laser' AS name, CAST(1 AS DOUBLE) AS size
+ FROM lp GROUP BY Participant, Condition, second),
+st AS (SELECT Participant, Condition, min(CASE WHEN Event = 'Game Started' THEN Timestamp END) AS t_start
+       FROM prep GROUP BY Participant, Condition),
+fi AS (SELECT Participant, Condition, Timestamp AS t_fin FROM prep
+       WHERE Event IN ('Game Finished', 'Game Stopped') AND Timestamp IS NOT NULL),
+ext AS (SELECT st.Participant, st.Condition, CAST(date_trunc('{u}', t_start) AS TIMESTAMP) AS time_start,
+   max(CAST(trunc({delta('t_start', 't_fin')}) AS INTEGER)) AS total_time
+ FROM st JOIN fi ON {NS.format(a='st', b='fi')} WHERE t_start IS NOT NULL
+ GROUP BY st.Participant, st.Condition, t_start),
+grid AS (SELECT Participant, Condition, time_start, total_time,
+   time_start + to_seconds(CAST(n * {step} AS BIGINT)) AS second
+ FROM (SELECT *, unnest(generate_series(0, CAST(greatest(floor(total_time / {step}), 0) AS BIGINT))) AS n FROM ext)),
+spine AS (SELECT g.Participant, g.Condition, g.time_start, g.total_time, t.x, t.y, t.id, t.size, t.name, g.second
+ FROM grid g JOIN tmpl t ON {NS.format(a='g', b='t')}),
+spine_anti AS (SELECT * FROM spine s WHERE NOT EXISTS (
+   SELECT 1 FROM md m WHERE {NS.format(a='m', b='s')} AND m.second IS NOT DISTINCT FROM s.second
+                        AND m.id IS NOT DISTINCT FROM s.id)),
+un AS (SELECT Participant, Condition, second, id, name, x, y, size, CAST(NULL AS VARCHAR) AS Event,
+          CAST(NULL AS TIMESTAMP) AS t_ts, CAST(NULL AS BIGINT) AS t_tie FROM spine_anti
+       UNION ALL SELECT Participant, Condition, second, id, name, x, y, size, Event, t_ts, t_tie FROM md),
+filled AS (SELECT Participant, Condition, second, id, name, x, y, Event,
+   coalesce(last_value(size IGNORE NULLS) OVER (PARTITION BY Participant, Condition, id
+      ORDER BY second ASC NULLS LAST, (t_ts IS NULL), t_ts ASC NULLS FIRST, t_tie ASC NULLS FIRST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), CAST(0 AS DOUBLE)) AS size
+ FROM un),
+filled_anti AS (SELECT * FROM filled f WHERE NOT EXISTS (
+   SELECT 1 FROM ld l WHERE {NS.format(a='l', b='f')} AND l.second IS NOT DISTINCT FROM f.second
+                        AND l.id IS NOT DISTINCT FROM f.id)),
+dense0 AS (SELECT Participant, Condition, second, id, name, x, y, size, Event, CAST(NULL AS BOOLEAN) AS has_hit FROM filled_anti
+   UNION ALL SELECT Participant, Condition, second, id, name, x, y, size, CAST(NULL AS VARCHAR) AS Event, has_hit FROM ld),
+dense AS (SELECT d.Participant, d.Condition, {delta('e.time_start', 'd.second')} AS second, d.id, d.name, d.x, d.y,
+   d.size, d.Event, d.has_hit, e.total_time
+ FROM dense0 d JOIN ext e ON {NS.format(a='d', b='e')})"""
+
+
+def with_anim(body: str) -> str:
+    return with_prep(anim_sql() + "\n" + body)
+
+
+def _anim_prep(spark, sf):
+    return prepared(spark, sf)
+
+
+MT_COLS = ["Participant", "Condition", "x", "y", "id", "size", "name"]
+
+
+@register("mole_template", with_anim(f"SELECT {_sel(MT_COLS)} FROM mt"))
+def q_mole_template(spark, sf):
+    return animate.mole_template(typed(spark, sf)).select(*MT_COLS)
+
+
+@register("distinct_key_first", with_prep("""
+SELECT Participant, Condition, MoleId, RowId, MolePositionWorldX, MolePositionWorldY FROM (
+  SELECT *, row_number() OVER (PARTITION BY Participant, Condition, MoleId ORDER BY Timestamp ASC NULLS LAST, RowId) AS r
+  FROM prep WHERE PlayPeriod = 'Game') WHERE r = 1"""))
+def q_distinct_key_first(spark, sf):
+    return animate.distinct_spawn_points(prepared(spark, sf)).select(
+        "Participant", "Condition", "MoleId", "RowId", "MolePositionWorldX", "MolePositionWorldY")
+
+
+MD_COLS = ["Participant", "Condition", "Event", "x", "y", "id", "size", "second", "name"]
+
+
+@register("mole_activity", with_anim(f"SELECT {_sel(MD_COLS)}, t_tie AS RowId FROM md"))
+def q_mole_activity(spark, sf):
+    return animate.mole_activity(typed(spark, sf), unit=ANIM_UNIT).select(
+        *MD_COLS, F.col("_tie").alias("RowId"))
+
+
+@register("laser_template", with_anim(f"SELECT {_sel(MT_COLS)} FROM lt"))
+def q_laser_template(spark, sf):
+    return animate.laser_template(typed(spark, sf)).select(*MT_COLS)
+
+
+LD_COLS = ["Participant", "Condition", "second", "has_hit", "y", "x", "id", "name", "size"]
+
+
+@register("laser_per_second", with_anim(f"SELECT {_sel(LD_COLS)} FROM ld"))
+def q_laser_per_second(spark, sf):
+    return animate.laser_per_second(prepared(spark, sf), unit=ANIM_UNIT).select(*LD_COLS)
+
+
+@register("playback_extent", with_anim("SELECT Participant, Condition, time_start, total_time FROM ext"))
+def q_playback_extent(spark, sf):
+    return animate.playback_extent(typed(spark, sf), unit=ANIM_UNIT)
+
+
+@register("time_grid", with_anim("SELECT Participant, Condition, time_start, total_time, second FROM grid"))
+def q_time_grid(spark, sf):
+    ext = animate.playback_extent(typed(spark, sf), unit=ANIM_UNIT)
+    return animate.time_grid(ext, unit=ANIM_UNIT).select(
+        "Participant", "Condition", "time_start", "total_time", "second")
+
+
+SPINE_COLS = ["Participant", "Condition", "second", "x", "y", "id", "size", "name"]
+
+
+def _spine(spark, sf):
+    d = typed(spark, sf)
+    ext = animate.playback_extent(d, unit=ANIM_UNIT)
+    tmpl = animate.mole_template(d).unionByName(animate.laser_template(d))
+    return d, animate.time_grid(ext, unit=ANIM_UNIT, entities=tmpl)
+
+
+@register("spine_join", with_anim(f"SELECT {_sel(SPINE_COLS)} FROM spine"))
+def q_spine_join(spark, sf):
+    return _spine(spark, sf)[1].select(*SPINE_COLS)
+
+
+@register("anti_moles", with_anim(f"SELECT {_sel(SPINE_COLS)} FROM spine_anti"))
+def q_anti_moles(spark, sf):
+    d, spine = _spine(spark, sf)
+    moles = animate.mole_activity(d, unit=ANIM_UNIT)
+    return animate._anti(spine, moles, ["Participant", "Condition", "second", "id"]).select(*SPINE_COLS)
+
+
+DENSE_COLS = ["Participant", "Condition", "second", "id", "name", "x", "y", "size", "Event", "has_hit"]
+
+
+@register("densify", with_anim(f"SELECT {_sel(DENSE_COLS)} FROM dense WHERE second <= total_time"))
+def q_densify(spark, sf):
+    return animate.densify(prepared(spark, sf), unit=ANIM_UNIT).select(*DENSE_COLS)
+
+
+@register("filter_horizon", with_anim(
+    f"SELECT {_sel(DENSE_COLS)} FROM dense WHERE second <= total_time AND second >= 0"))
+def q_filter_horizon(spark, sf):
+    return animate.densify(prepared(spark, sf), unit=ANIM_UNIT, lower=0.0).select(*DENSE_COLS)
+
+
+@register("axis_range", with_prep("""
+SELECT min(MolePositionWorldX) - 1 AS x_min, max(MolePositionWorldX) + 1 AS x_max,
+       min(MolePositionWorldY) - 1 AS y_min, max(MolePositionWorldY) + 1 AS y_max FROM prep"""))
+def q_axis_range(spark, sf):
+    return animate.axis_range(typed(spark, sf))
