@@ -8,14 +8,21 @@ column names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telespark.functions.scalars import n_clip, t_color
+from telespark.functions.time import (NUMERIC_TEXT, TIMESTAMP_PREFIX, cast_integer, cast_numeric,
+                                      parse_timestamp)
 from telespark.operators import animate, sessions, spatial, summarize
-from telespark.operators.clean import conform
-from telespark.plans.oracle import delta, with_prep
+from telespark.operators.clean import clean, conform
+from telespark.plans.oracle import delta, with_prep, with_telemetry
+from telespark.session import scratch_path
+from telespark.sources import logs, logtree
+from telespark.sources.tables import read_table
 from telespark.sources.telemetry import telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -423,3 +430,122 @@ SELECT min(MolePositionWorldX) - 1 AS x_min, max(MolePositionWorldX) + 1 AS x_ma
        min(MolePositionWorldY) - 1 AS y_min, max(MolePositionWorldY) + 1 AS y_max FROM prep"""))
 def q_axis_range(spark, sf):
     return animate.axis_range(typed(spark, sf))
+
+
+# ---------------------------------------------------------------- loading
+
+LOAD_COLS = ["Timestamp", "Event", "Participant", "Condition", "SessionID", "Framecount", "MoleId",
+             "MolePositionWorldX", "MolePositionWorldY", "MoleSpawnOrder", "PatternSegmentLabel",
+             "WorldGazeHitPositionX", "GazeConfidence", "RightControllerLaserPosWorldX",
+             "RightControllerLaserPosWorldY"]
+
+
+def _log_tree(spark, sf):
+    root = scratch_path(spark, f"logtree-{uuid.uuid4().hex}")
+    return logtree.write_log_tree(telemetry(spark, sf), root)
+
+
+def _load(spark, sf, with_meta: bool):
+    root = _log_tree(spark, sf)
+    pats = logtree.KIND_PATTERNS
+    raw = logs.load_logs(spark, root, event=pats["event"], sample=pats["sample"],
+                         meta=pats["meta"] if with_meta else None, label="logs/")
+    return clean(raw)
+
+
+META_SQL = with_telemetry("""
+, fm AS (SELECT SessionID, Timestamp, Framecount,
+     row_number() OVER (PARTITION BY Participant, Condition, SessionID ORDER BY Timestamp ASC NULLS LAST, RowId) AS r
+   FROM telemetry),
+meta AS (SELECT SessionID, strftime(Timestamp, '%Y-%m-%d %H:%M:%S.%f') AS MetaTimestamp,
+     lower(SessionID) || '@example.org' AS MetaEmail, CAST(Framecount AS VARCHAR) AS MetaFramecount
+   FROM fm WHERE r = 1)
+SELECT {cols}, meta.MetaTimestamp, meta.MetaEmail, meta.MetaFramecount
+FROM telemetry t LEFT JOIN meta ON t.SessionID IS NOT DISTINCT FROM meta.SessionID""".replace(
+    "{cols}", ", ".join(f"t.{c}" for c in LOAD_COLS)))
+
+
+@register("load_logs", META_SQL)
+def q_load_logs(spark, sf):
+    return _load(spark, sf, True).select(*LOAD_COLS, "MetaTimestamp", "MetaEmail", "MetaFramecount")
+
+
+@register("load_logs_without_meta", with_telemetry(f"SELECT {_sel(LOAD_COLS)} FROM telemetry"))
+def q_load_logs_without_meta(spark, sf):
+    return _load(spark, sf, False).select(*LOAD_COLS)
+
+
+# ---------------------------------------------------------------- scalars
+
+# The palette example of the colour lookup helper.
+T_LEVELS = (0.0, 0.2, 0.55, 0.85, 1.1)
+T_COLORS = ("g0", "g1", "g2", "g3", "g4")
+
+
+@register("n_clip", with_telemetry("""
+SELECT RowId, CASE WHEN GazeConfidence IS NULL OR isnan(GazeConfidence) THEN NULL
+  WHEN GazeConfidence <= 0.2 THEN CAST(0.2 AS DOUBLE) WHEN GazeConfidence >= 0.8 THEN CAST(0.8 AS DOUBLE)
+  ELSE GazeConfidence END AS clipped FROM telemetry"""))
+def q_n_clip(spark, sf):
+    return telemetry(spark, sf).select("RowId", n_clip("GazeConfidence", 0.2, 0.8).alias("clipped"))
+
+
+@register("t_color", with_telemetry("""
+SELECT RowId, CASE WHEN GazeConfidence IS NULL OR isnan(GazeConfidence) THEN NULL
+  WHEN GazeConfidence <= 0 THEN 'g0' WHEN GazeConfidence <= 0.2 THEN 'g1'
+  WHEN GazeConfidence <= 0.55 THEN 'g2' WHEN GazeConfidence <= 0.85 THEN 'g3'
+  WHEN GazeConfidence <= 1.1 THEN 'g4' END AS color FROM telemetry"""))
+def q_t_color(spark, sf):
+    return telemetry(spark, sf).select(
+        "RowId", t_color("GazeConfidence", T_LEVELS, T_COLORS).alias("color"))
+
+
+def _ts_text_spark(events):
+    t = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    r = F.col("event_id") % 5
+    return (F.when(r == 0, t)
+            .when(r == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+            .when(r == 2, F.concat(t, F.lit(" CET")))
+            .when(r == 3, F.concat(F.lit("t"), F.col("event_id").cast("string"))))
+
+
+TS_TEXT_SQL = """CASE event_id % 5
+  WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f')
+  WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+  WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' CET'
+  WHEN 3 THEN 't' || CAST(event_id AS VARCHAR) END"""
+
+
+@register("parse_timestamp", f"""
+SELECT event_id, txt, TRY_CAST(nullif(replace(trim(regexp_extract(txt, '{TIMESTAMP_PREFIX}', 0)), 'T', ' '), '')
+  AS TIMESTAMP) AS parsed
+FROM (SELECT event_id, {TS_TEXT_SQL} AS txt FROM events)""")
+def q_parse_timestamp(spark, sf):
+    ev = read_table(spark, sf, "events")
+    d = ev.select("event_id", _ts_text_spark(ev).alias("txt"))
+    return d.withColumn("parsed", parse_timestamp("txt"))
+
+
+def _num_text_spark():
+    v = F.col("value").cast("string")
+    r = F.col("event_id") % 6
+    return (F.when(r == 0, v).when(r == 1, F.concat(F.lit(" "), v, F.lit(" ")))
+            .when(r == 2, F.concat(v, F.lit("d"))).when(r == 3, F.concat(v, F.lit("e2")))
+            .when(r == 4, F.lit("NA")))
+
+
+NUM_TEXT_SQL = """CASE event_id % 6
+  WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1 THEN ' ' || CAST(value AS VARCHAR) || ' '
+  WHEN 2 THEN CAST(value AS VARCHAR) || 'd' WHEN 3 THEN CAST(value AS VARCHAR) || 'e2'
+  WHEN 4 THEN 'NA' END"""
+
+
+@register("cast_numeric", f"""
+SELECT event_id, CASE WHEN regexp_matches(txt, '{NUMERIC_TEXT}') THEN TRY_CAST(trim(txt) AS DOUBLE) END AS num,
+  CAST(trunc(CASE WHEN regexp_matches(txt, '{NUMERIC_TEXT}') THEN TRY_CAST(trim(txt) AS DOUBLE) END) AS INTEGER) AS int_value
+FROM (SELECT event_id, {NUM_TEXT_SQL} AS txt FROM events)""")
+def q_cast_numeric(spark, sf):
+    ev = read_table(spark, sf, "events")
+    d = ev.select("event_id", _num_text_spark().alias("txt"))
+    return d.select("event_id", cast_numeric("txt").alias("num"),
+                    cast_integer("txt").alias("int_value"))
