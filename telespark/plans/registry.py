@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from telespark.functions.scalars import n_clip, t_color
 from telespark.functions.time import (NUMERIC_TEXT, TIMESTAMP_PREFIX, cast_integer, cast_numeric,
                                       parse_timestamp)
-from telespark.operators import animate, sessions, spatial, summarize
+from telespark.operators import animate, fit, mixed, sessions, spatial, summarize
 from telespark.operators.clean import clean, conform
 from telespark.plans.oracle import delta, with_prep, with_telemetry
 from telespark.session import scratch_path
@@ -549,3 +549,95 @@ def q_cast_numeric(spark, sf):
     d = ev.select("event_id", _num_text_spark().alias("txt"))
     return d.select("event_id", cast_numeric("txt").alias("num"),
                     cast_integer("txt").alias("int_value"))
+
+
+# ---------------------------------------------------------------- fits and models
+
+@register("p_lin", with_telemetry("""
+, s AS (SELECT Participant, Condition,
+     regr_slope(WorldGazeHitPositionX, GazeConfidence) AS b, regr_intercept(WorldGazeHitPositionX, GazeConfidence) AS a,
+     min(GazeConfidence) AS lo, max(GazeConfidence) AS hi
+   FROM telemetry GROUP BY Participant, Condition),
+g AS (SELECT *, unnest(generate_series(0, CAST(floor(hi * 100.0 - lo * 100.0) AS BIGINT))) AS k
+   FROM s WHERE lo IS NOT NULL)
+SELECT Participant, Condition, (lo * 100.0 + k) / 100.0 AS x, a + b * ((lo * 100.0 + k) / 100.0) AS y FROM g"""))
+def q_p_lin(spark, sf):
+    return fit.p_lin(telemetry(spark, sf), "WorldGazeHitPositionX", "GazeConfidence",
+                     by=("Participant", "Condition"))
+
+
+@register("p_supsmu")
+def q_p_supsmu(spark, sf):
+    return fit.p_supsmu(telemetry(spark, sf), "RightControllerLaserPosWorldY", "GazeConfidence",
+                        by=("Participant", "Condition"), spar=0.1)
+
+
+# Model selection inputs: target events of the Game period.
+LMM_RESPONSES = ["RightControllerLaserPosWorldY", "GazeConfidence"]
+LMM_FIXED = ["MolePositionWorldX", "MolePositionWorldY", "WorldGazeHitPositionX"]
+LMM_RANDOM = ["Condition", "PatternSegmentLabel"]
+LMM_NULL = "Participant"
+
+
+def _lmm_input(spark, sf):
+    return prepared(spark, sf).filter(F.col("PlayPeriod") == "Game")
+
+
+def _lmm_stats(spark, sf):
+    return mixed.mixed_stats(_lmm_input(spark, sf), LMM_RESPONSES, LMM_FIXED,
+                             [LMM_NULL, *LMM_RANDOM])
+
+
+def _stats_sql() -> str:
+    rnd = [LMM_NULL, *LMM_RANDOM]
+    vals = ["CAST(1 AS DOUBLE)"] + LMM_FIXED + LMM_RESPONSES
+    m = len(vals)
+    sums = ", ".join(f"sum({vals[i]} * {vals[j]}) AS s{i}_{j}" for i in range(m) for j in range(i, m))
+    sets = ["()"] + [f"({r})" for r in rnd] + [
+        f"({a}, {b})" for i, a in enumerate(rnd) for b in rnd[i + 1:]]
+    used = list(dict.fromkeys(LMM_RESPONSES + LMM_FIXED + rnd))
+    cc = " AND ".join(f"{c} IS NOT NULL" for c in used)
+    casts = ", ".join(f"CAST({r} AS VARCHAR) AS {r}" for r in rnd)
+    others = ", ".join(c for c in used if c not in rnd)
+    return with_prep(f"""
+, cc AS (SELECT {casts}, {others} FROM prep WHERE PlayPeriod = 'Game' AND {cc})
+SELECT {", ".join(rnd)}, CAST(grouping({", ".join(rnd)}) AS INTEGER) AS gid, count(*) AS n, {sums}
+FROM cc GROUP BY GROUPING SETS ({", ".join(sets)})""")
+
+
+@register("mixed_stats", _stats_sql())
+def q_mixed_stats(spark, sf):
+    g, _, _ = mixed.stats_frame(_lmm_input(spark, sf), LMM_RESPONSES, LMM_FIXED,
+                                [LMM_NULL, *LMM_RANDOM])
+    return g
+
+
+@register("lmm_scan_random")
+def q_lmm_scan_random(spark, sf):
+    st = _lmm_stats(spark, sf)
+    base = mixed.Model((), (LMM_NULL,), f"(1| {LMM_NULL} )")
+    rows = [dict(r, Predicted=resp, stage="random", p_pass=None, r2_pass=None)
+            for resp in LMM_RESPONSES
+            for _, r in mixed.scan(st, resp, LMM_RANDOM, base, "random")]
+    return mixed.to_frame(spark, rows)
+
+
+@register("lmm_scan_fixed")
+def q_lmm_scan_fixed(spark, sf):
+    st = _lmm_stats(spark, sf)
+    base = mixed.Model((), (LMM_NULL,), f"(1| {LMM_NULL} )")
+    rows = [dict(r, Predicted=resp, stage="fixed", p_pass=None, r2_pass=None)
+            for resp in LMM_RESPONSES
+            for _, r in mixed.scan(st, resp, LMM_FIXED, base, "fixed")]
+    return mixed.to_frame(spark, rows)
+
+
+@register("lmm_select")
+def q_lmm_select(spark, sf):
+    st = _lmm_stats(spark, sf)
+    return mixed.to_frame(spark, mixed.select(st, LMM_RESPONSES, LMM_RANDOM, LMM_FIXED, LMM_NULL))
+
+
+@register("lmm_table")
+def q_lmm_table(spark, sf):
+    return mixed.lmm_table(q_lmm_select(spark, sf))
