@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telespark.functions.nulls import MICRO, micro
+
 MAX_DENSE = 5000   # levels outside the largest factor + fixed columns
 INTERCEPT = "(Intercept)"
 
@@ -92,8 +94,10 @@ def stats_frame(df: DataFrame, responses: Sequence[str], fixed: Sequence[str],
     allv = [F.col(f"_x_{c}") for c in columns] + [F.col(r).cast("double") for r in responses]
     m = len(allv)
     sets = [[]] + [[r] for r in random] + [list(p) for p in combinations(random, 2)]
+    # exact integer sums of products of micro-unit values (see nulls.MICRO)
+    mv = [micro(v) for v in allv]
     aggs = [F.count(F.lit(1)).alias("n")] + [
-        F.sum(allv[i] * allv[j]).alias(f"s{i}_{j}") for i in range(m) for j in range(i, m)]
+        F.sum(mv[i] * mv[j]).alias(f"s{i}_{j}") for i in range(m) for j in range(i, m)]
     if random:
         g = d.groupingSets(sets, *random).agg(F.grouping_id().alias("gid"), *aggs)
     else:
@@ -110,11 +114,14 @@ def mixed_stats(df: DataFrame, responses: Sequence[str], fixed: Sequence[str],
     p, m = len(columns), len(columns) + len(responses)
     nr = len(random)
 
+    def val(x, scale=float(MICRO) ** 2):
+        return float(x) / scale if x is not None else 0.0
+
     def gram(row):
         out = np.zeros((m, m))
         for i in range(m):
             for j in range(i, m):
-                out[i, j] = out[j, i] = row[f"s{i}_{j}"] or 0.0
+                out[i, j] = out[j, i] = val(row[f"s{i}_{j}"])
         return out
 
     def gid_of(grouped: set) -> int:
@@ -130,7 +137,7 @@ def mixed_stats(df: DataFrame, responses: Sequence[str], fixed: Sequence[str],
                     responses=list(responses), xx=gm[:p, :p], xy=gm[:p, p:], yy=gm[p:, p:])
     for r in random:
         lv = sorted(by_gid.get(gid_of({r}), []), key=lambda x: x[r])
-        sums = np.array([[x[f"s0_{j}"] or 0.0 for j in range(m)] for x in lv]).reshape(len(lv), m)
+        sums = np.array([[val(x[f"s0_{j}"]) for j in range(m)] for x in lv]).reshape(len(lv), m)
         st.factors[r] = FactorStats(levels=[x[r] for x in lv],
                                     n=np.array([x["n"] for x in lv], dtype=float),
                                     zx=sums[:, :p], zy=sums[:, p:])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telespark.functions.nulls import count_if, in_set, strict_sum
+from telespark.functions.nulls import count_if, exact_sum, in_set
 from telespark.functions.scalars import concat_label, euclid_distance, make_point
 from telespark.functions.time import cast_integer
 from telespark.operators import ordered
@@ -69,7 +69,7 @@ def segment_summary(sm: DataFrame) -> DataFrame:
     null when an input is missing (no ``na.rm``)."""
     hor = F.col("travelLeadHor")
     return sm.groupBy("PatternSegmentLabel").agg(
-        strict_sum("distance_lag").alias("dist"),
+        exact_sum("distance_lag").alias("dist"),
         count_if(hor == "Left").alias("left"),
         count_if(hor == "Right").alias("right"))
 

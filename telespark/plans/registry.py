@@ -101,8 +101,13 @@ def _strict_count(cond: str) -> str:
             f"ELSE CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT) END")
 
 
+def _micro_sql(c: str) -> str:
+    return f"CAST(round(CAST({c} AS DOUBLE) * 1000000.0) AS DECIMAL(38,0))"
+
+
 def _nan_avg(c: str) -> str:
-    return f"avg(CASE WHEN isnan({c}) THEN NULL ELSE {c} END)"
+    v = f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END"
+    return f"CAST(sum({_micro_sql(v)}) AS DOUBLE) / count({v}) / 1000000.0"
 
 
 SUMMARY_SQL = with_prep(f"""
@@ -215,7 +220,8 @@ def q_travel_direction(spark, sf):
 
 @register("segment_summary", with_prep(spawn_sql() + f"""
 SELECT PatternSegmentLabel,
-  CASE WHEN max(CASE WHEN distance_lag IS NULL THEN 1 ELSE 0 END) = 1 THEN NULL ELSE sum(distance_lag) END AS dist,
+  CASE WHEN max(CASE WHEN distance_lag IS NULL THEN 1 ELSE 0 END) = 1 THEN NULL
+       ELSE CAST(sum({_micro_sql("distance_lag")}) AS DOUBLE) / 1000000.0 END AS dist,
   {_strict_count("travelLeadHor = 'Left'")} AS "left",
   {_strict_count("travelLeadHor = 'Right'")} AS "right"
 FROM sm GROUP BY PatternSegmentLabel"""))
@@ -592,7 +598,9 @@ def _stats_sql() -> str:
     rnd = [LMM_NULL, *LMM_RANDOM]
     vals = ["CAST(1 AS DOUBLE)"] + LMM_FIXED + LMM_RESPONSES
     m = len(vals)
-    sums = ", ".join(f"sum({vals[i]} * {vals[j]}) AS s{i}_{j}" for i in range(m) for j in range(i, m))
+    mv = [f"CAST(round(CAST({v} AS DOUBLE) * 1000000.0) AS HUGEINT)" for v in vals]
+    sums = ", ".join(f"CAST(sum({mv[i]} * {mv[j]}) AS VARCHAR) AS s{i}_{j}"
+                     for i in range(m) for j in range(i, m))
     sets = ["()"] + [f"({r})" for r in rnd] + [
         f"({a}, {b})" for i, a in enumerate(rnd) for b in rnd[i + 1:]]
     used = list(dict.fromkeys(LMM_RESPONSES + LMM_FIXED + rnd))
@@ -609,7 +617,9 @@ FROM cc GROUP BY GROUPING SETS ({", ".join(sets)})""")
 def q_mixed_stats(spark, sf):
     g, _, _ = mixed.stats_frame(_lmm_input(spark, sf), LMM_RESPONSES, LMM_FIXED,
                                 [LMM_NULL, *LMM_RANDOM])
-    return g
+    # exact integer sums, shown as text so no engine rounds them
+    return g.select(*[F.col(c).cast("string").alias(c) if c.startswith("s") and "_" in c else F.col(c)
+                      for c in g.columns])
 
 
 @register("lmm_scan_random")
