@@ -446,9 +446,17 @@ LOAD_COLS = ["Timestamp", "Event", "Participant", "Condition", "SessionID", "Fra
              "RightControllerLaserPosWorldY"]
 
 
+_TREES: dict[tuple[str, str], str] = {}
+
+
 def _log_tree(spark, sf):
-    root = scratch_path(spark, f"logtree-{uuid.uuid4().hex}")
-    return logtree.write_log_tree(telemetry(spark, sf), root)
+    """The telemetry written as a CSV log tree, once per application and
+    table directory (a derived input, like a materialised view)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TREES:
+        root = scratch_path(spark, f"logtree-{uuid.uuid4().hex}")
+        _TREES[key] = logtree.write_log_tree(telemetry(spark, sf), root)
+    return _TREES[key]
 
 
 def _load(spark, sf, with_meta: bool):

@@ -42,25 +42,35 @@ KIND_RANK = {"event": 0, "sample": 1, "meta": 2}
 
 # ------------------------------------------------------------------ listing
 
-def list_files(spark: SparkSession, root: str, pattern: str) -> tuple[str, list[str]]:
-    """Qualified root and the sorted files below it whose path relative to
-    the root matches ``pattern`` (a regex, searched as R's ``list.files``
-    does; with the default ``<kind>\\.csv$`` only the file name matters).
-    Uses the Hadoop file system API, as Spark's own file index does."""
+def _norm(path: str) -> str:
+    # "file:///x" and "file:/x" name the same local file; keep one spelling
+    return re.sub(r"^file:///", "file:/", path)
+
+
+def list_all(spark: SparkSession, root: str) -> tuple[str, list[str]]:
+    """Qualified root and every (non-hidden) file below it, listed by
+    Spark's own file index in the JVM (parallel on large trees)."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = fs.makeQualified(path).toString().rstrip("/")
+    base = _norm(fs.makeQualified(path).toString().rstrip("/"))
+    files = spark.read.option("recursiveFileLookup", "true").format("text").load(root).inputFiles()
+    return base, sorted(_norm(f) for f in files)
+
+
+def select_files(base: str, files: Sequence[str], pattern: str) -> list[str]:
+    """Files whose path relative to ``base`` matches ``pattern`` (a regex,
+    searched as R's ``list.files`` does; with the default ``<kind>\\.csv$``
+    only the file name matters)."""
     rx = re.compile(pattern)
-    out = []
-    it = fs.listFiles(path, True)
-    while it.hasNext():
-        st = it.next()
-        p = st.getPath().toString()
-        rel = p[len(base) + 1:] if p.startswith(base + "/") else p
-        if rx.search(rel):
-            out.append(p)
-    return base, sorted(out)
+    cut = len(base) + 1
+    return [f for f in files if rx.search(f[cut:] if f.startswith(base + "/") else f)]
+
+
+def list_files(spark: SparkSession, root: str, pattern: str) -> tuple[str, list[str]]:
+    """Qualified root and the sorted files below it matching ``pattern``."""
+    base, files = list_all(spark, root)
+    return base, select_files(base, files, pattern)
 
 
 # ------------------------------------------------------------------ reading
@@ -75,7 +85,7 @@ def file_headers(spark: SparkSession, files: Sequence[str], sep: str = ";") -> d
     first line is the row with the smallest id in the split starting at
     byte 0.  Returns one entry per file (file-index sized, like the listing)."""
     lines = spark.read.text(list(files)).select(
-        "value", F.col("_metadata.file_path").alias("_path"),
+        "value", F.regexp_replace("_metadata.file_path", "^file:///", "file:/").alias("_path"),
         F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_id"))
     heads = (lines.filter(F.col("_blk") == 0).groupBy("_path")
@@ -84,7 +94,8 @@ def file_headers(spark: SparkSession, files: Sequence[str], sep: str = ";") -> d
 
 
 def read_kind(spark: SparkSession, files: Sequence[str], kind: str, root: str,
-              label: str, sep: str = ";") -> DataFrame | None:
+              label: str, sep: str = ";", headers: dict[str, tuple] | None = None
+              ) -> DataFrame | None:
     """All files of one kind as one text table, columns matched by name.
 
     Files are grouped by header; each group is one CSV scan with its own
@@ -96,10 +107,12 @@ def read_kind(spark: SparkSession, files: Sequence[str], kind: str, root: str,
     """
     if not files:
         return None
-    headers = file_headers(spark, files, sep)
+    if headers is None:
+        headers = file_headers(spark, files, sep)
     groups: dict[tuple, list[str]] = {}
-    for path in sorted(headers):
-        groups.setdefault(headers[path], []).append(path)
+    for path in sorted(files):
+        if path in headers:
+            groups.setdefault(headers[path], []).append(path)
     if not groups:
         return None
     file_no = spark.createDataFrame([(p, i) for i, p in enumerate(sorted(files))],
@@ -113,7 +126,7 @@ def read_kind(spark: SparkSession, files: Sequence[str], kind: str, root: str,
              .csv(paths))
         parts.append(d.select(
             *[F.when(F.col(n) != "", F.col(n)).alias(n) for n in uniq],
-            F.col("_metadata.file_path").alias("_path"),
+            F.regexp_replace("_metadata.file_path", "^file:///", "file:/").alias("_path"),
             F.col("_metadata.file_block_start").alias("_blk"),
             F.monotonically_increasing_id().alias("_id")))
     d = parts[0]
@@ -221,13 +234,14 @@ def load_logs(spark: SparkSession, root: str, event: str | None = "Event",
     """
     label = root if label is None else label
     tables = {}
-    base = None
-    for kind, pat in (("event", event), ("sample", sample), ("meta", meta)):
-        if pat is None:
-            tables[kind] = None
-            continue
-        base, files = list_files(spark, root, pat + r"\.csv$")
-        tables[kind] = read_kind(spark, files, kind, base, label, sep)
+    base, every = list_all(spark, root)
+    kinds = {kind: select_files(base, every, pat + r"\.csv$")
+             for kind, pat in (("event", event), ("sample", sample), ("meta", meta)) if pat}
+    wanted = sorted({f for fs in kinds.values() for f in fs})
+    headers = file_headers(spark, wanted, sep) if wanted else {}   # one scan for all kinds
+    for kind in ("event", "sample", "meta"):
+        files = kinds.get(kind)
+        tables[kind] = read_kind(spark, files, kind, base, label, sep, headers) if files else None
     if meta is not None and tables["meta"] is not None:
         m = meta_rename(path_split(tables["meta"], keep=False).drop("RowId"))
     else:

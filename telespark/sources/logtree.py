@@ -34,5 +34,7 @@ def write_log_tree(logs: DataFrame, root: str, keys=("Participant", "Condition")
     meta = session_meta(logs, keys).withColumn("kind", F.lit("Meta"))
     opts = dict(sep=";", header=True, nullValue="NULL", timestampNTZFormat=TS_FORMAT)
     for part in (body, meta):
-        (part.write.mode("append").partitionBy(*keys, "kind").options(**opts).csv(root))
+        # one file per session and kind, as a logger writes them
+        (part.repartition(*keys, "kind").write.mode("append")
+         .partitionBy(*keys, "kind").options(**opts).csv(root))
     return root
