@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telespark.functions.nulls import in_set
@@ -129,14 +129,67 @@ def game_clock(df: DataFrame, spec: SessionSpec = DEFAULT) -> DataFrame:
     return d.drop("_s", "_u", "_f")
 
 
-def prepare(df: DataFrame, spec: SessionSpec = DEFAULT, rate_unit: str = "second") -> DataFrame:
-    """The cleaned table: periods, durations, game clock, then rate.
+def session_pass(df: DataFrame, spec: SessionSpec = DEFAULT) -> DataFrame:
+    """Play period, time delta and game clock in one fused pass.
 
-    The session steps share the ``(session, chunk)`` shuffle; the rate step
-    re-shuffles by time bucket, once.
+    One window over ``(session, chunk)`` computes the in-chunk running
+    marker count, its poison flag and the previous timestamp; one chunk table
+    (built from the input, so nothing upstream is recomputed) carries the
+    totals before each chunk, the last timestamp of the previous chunk and
+    the session's first start / missing event / finish; one join brings it
+    back.  Results equal :func:`play_period`, :func:`time_delta` and
+    :func:`game_clock` applied in turn.
     """
-    d = play_period(df, spec)
-    d = time_delta(d, spec)
-    d = game_clock(d, spec)
-    d = drop_scan_keys(d)
-    return rate(d, spec, unit=rate_unit)
+    ev, ts = F.col(spec.event), F.col(spec.ts)
+    mk = F.when(ev.isNull(), F.lit(None).cast("int")) \
+        .when(ev.isin(GAME_STARTED, *FINISH_EVENTS), 1).otherwise(0)
+    base = ordered.with_scan_keys(df, spec.keys, spec.ts, spec.unit).withColumn("_mk", mk)
+    w = Window.partitionBy(ordered.KEY, ordered.CHUNK).orderBy(ts.asc_nulls_last(), F.col(spec.tie))
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = base.withColumns({
+        "_ls": F.sum("_mk").over(run),
+        "_ln": F.max(F.col("_mk").isNull().cast("int")).over(run),
+        "_prev": F.lag(ts).over(w),
+        "_edge": F.lag(F.lit(1)).over(w).isNull(),
+    })
+    ok = order_key(spec.ts, spec.tie)
+    wc = Window.partitionBy(ordered.KEY).orderBy(ordered.CHUNK)
+    before = wc.rowsBetween(Window.unboundedPreceding, -1)
+    grp = Window.partitionBy(ordered.KEY)
+    chunks = (base.groupBy(ordered.KEY, ordered.CHUNK).agg(
+        F.coalesce(F.sum("_mk"), F.lit(0)).alias("_t"),
+        F.max(F.col("_mk").isNull().cast("int")).alias("_n"),
+        F.max_by(ts, ok).alias("_last"),
+        F.min(F.when(ev == GAME_STARTED, ok)).alias("_s"),
+        F.min(F.when(ev.isNull(), ok)).alias("_u"),
+        F.min(F.when(_finish(spec), ok)).alias("_f"))
+        .withColumns({
+            "_ps": F.coalesce(F.sum("_t").over(before), F.lit(0)),
+            "_pn": F.coalesce(F.max("_n").over(before), F.lit(0)),
+            "_pts": F.lag("_last").over(wc),
+            "_s": F.min("_s").over(grp), "_u": F.min("_u").over(grp), "_f": F.min("_f").over(grp)})
+        .drop("_t", "_n", "_last"))
+    d = d.join(chunks, [ordered.KEY, ordered.CHUNK], "left")
+    ind = F.when(_finish(spec), F.lit(1)) \
+        .when((F.col("_pn") + F.col("_ln")) > 0, F.lit(None)) \
+        .otherwise(F.col("_ps") + F.coalesce(F.col("_ls"), F.lit(0)))
+    prev = F.when(F.col("_edge"), F.col("_pts")).otherwise(F.col("_prev"))
+    start = F.when(F.col("_u").isNull() | (F.col("_u") > F.col("_s")), F.col("_s.t"))
+    d = d.withColumns({
+        "PlayPeriod": F.when(ind < 1, "PreGame").when(ind > 1, "PostGame").when(ind == 1, "Game"),
+        "Time_delta": F.coalesce(duration_seconds(prev, spec.ts), F.lit(0.0)),
+        "GameStarted": start,
+        "GameFinished": F.col("_f.t"),
+    }).withColumns({
+        "GameTimeSpent": duration_seconds("GameStarted", spec.ts),
+        "GameTimeLeft": duration_seconds(spec.ts, "GameFinished"),
+    })
+    return drop_scan_keys(d).drop("_mk", "_ls", "_ln", "_prev", "_edge", "_ps", "_pn", "_pts",
+                                  "_s", "_u", "_f")
+
+
+def prepare(df: DataFrame, spec: SessionSpec = DEFAULT, rate_unit: str = "second") -> DataFrame:
+    """The cleaned table: periods, durations, game clock (one fused session
+    pass, one shuffle of the rows on (session, chunk)), then the sample rate
+    (one shuffle by time bucket)."""
+    return rate(session_pass(df, spec), spec, unit=rate_unit)
