@@ -66,8 +66,13 @@ def cast_integer_num(col) -> Column:
 
 
 def trunc_unit(col, unit: str = "second") -> Column:
-    """Drop the fraction below ``unit`` (``format(ts, "%Y-%m-%d %H:%M:%S")``)."""
-    return F.date_trunc(unit, _c(col)).cast("timestamp_ntz")
+    """Drop the fraction below ``unit`` (``format(ts, "%Y-%m-%d %H:%M:%S")``).
+
+    Exact arithmetic on wall-clock microseconds, independent of the session
+    time zone."""
+    c = _c(col)
+    drop = F.pmod(epoch_micros(c), F.lit(UNIT_MICROS[unit]).cast("long"))
+    return F.timestamp_add("MICROSECOND", -drop, c)
 
 
 def epoch_micros(col) -> Column:

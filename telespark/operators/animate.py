@@ -148,19 +148,16 @@ def _anti(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(r, on, "left_anti")
 
 
-def densify(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
-            horizon: bool = True, lower: float | None = None) -> DataFrame:
-    """``DataAnimate``: every tick x every entity of each session, real target
-    rows in place of grid rows, target size carried forward, laser rows per
-    tick, seconds relative to the start, cut at the end of the game
-    (``second <= total_time``; ``lower=0`` also drops pre-game rows)."""
+def filled_targets(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
+                   extent: DataFrame | None = None) -> DataFrame:
+    """Grid x entities with real target rows in place of grid rows and target
+    sizes filled down per entity (the playback table before the laser layer).
+    ``second`` is still the tick timestamp."""
     keys = _keys(spec)
-    extent = playback_extent(prep, spec, unit)
+    extent = playback_extent(prep, spec, unit) if extent is None else extent
     template = mole_template(prep, spec).unionByName(laser_template(prep, spec))
     spine = time_grid(extent, spec, unit, entities=template)
     moles = mole_activity(prep, spec, unit)
-    lasers = laser_per_second(prep, spec, unit)
-
     d = _anti(spine, moles, [*keys, "second", "id"]).unionByName(moles, allowMissingColumns=True)
     # Fill sizes down per entity in (tick, time, load order); grid rows have
     # no time, and are alone in their tick when kept.
@@ -168,8 +165,19 @@ def densify(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
     d = ordered.fill_down(d, [*keys, "id"], "second", "_ord", "size", "size",
                           unit=_NEXT_COARSER[unit])
     d = ordered.drop_scan_keys(d).withColumn("size", F.coalesce("size", F.lit(0.0)))
-    d = d.drop("_ord", "_ts", "_tie", "time_start", "total_time")
+    return d.drop("_ord", "_ts", "_tie", "time_start", "total_time")
+
 
+def densify(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
+            horizon: bool = True, lower: float | None = None) -> DataFrame:
+    """``DataAnimate``: every tick x every entity of each session, real target
+    rows in place of grid rows, target size carried forward, laser rows per
+    tick, seconds relative to the start, cut at the end of the game
+    (``second <= total_time``; ``lower=0`` also drops pre-game rows)."""
+    keys = _keys(spec)
+    extent = playback_extent(prep, spec, unit)
+    d = filled_targets(prep, spec, unit, extent)
+    lasers = laser_per_second(prep, spec, unit)
     d = _anti(d, lasers, [*keys, "second", "id"]).unionByName(lasers, allowMissingColumns=True)
     ext = extent.select(*[F.col(k).alias(f"_e_{k}") for k in keys], "time_start", "total_time")
     on = [d[k].eqNullSafe(ext[f"_e_{k}"]) for k in keys]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from telespark.functions.nulls import count_if, exact_seconds_sum, in_set, mean_narm, strict_mean
 from telespark.functions.scalars import concat_label
-from telespark.functions.time import duration_seconds
+from telespark.functions.time import duration_seconds, trunc_unit
 from telespark.operators.sessions import (DEFAULT, FINISH_EVENTS, GAME_STARTED, MOLE_HIT,
                                           MOLE_SPAWNED, SessionSpec)
 
@@ -73,6 +73,6 @@ def session_extent(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "se
     total = duration_seconds("_start", "_finish")
     return j.select(
         *[F.col(f"_key.{c}").alias(c) for c in spec.keys],
-        F.date_trunc(unit, "_start").cast("timestamp_ntz").alias("time_start"),
-        F.date_trunc(unit, "_finish").cast("timestamp_ntz").alias("time_end"),
+        trunc_unit("_start", unit).alias("time_start"),
+        trunc_unit("_finish", unit).alias("time_end"),
         F.when(F.abs(total) < 2147483648.0, total.cast("int")).alias("total_time"))

@@ -14,14 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.functions.scalars import n_clip, t_color
+from telespark.functions.scalars import concat_label, n_clip, t_color
 from telespark.functions.time import (NUMERIC_TEXT, TIMESTAMP_PREFIX, cast_integer, cast_numeric,
                                       parse_timestamp)
 from telespark.operators import animate, fit, mixed, sessions, spatial, summarize
 from telespark.operators.clean import clean, conform
 from telespark.plans.oracle import delta, with_prep, with_telemetry
 from telespark.session import scratch_path
-from telespark.sources import logs, logtree
+from telespark.sources import logs, logtree, sinks
 from telespark.sources.tables import read_table
 from telespark.sources.telemetry import telemetry
 
@@ -417,6 +417,14 @@ def q_anti_moles(spark, sf):
     return animate._anti(spine, moles, ["Participant", "Condition", "second", "id"]).select(*SPINE_COLS)
 
 
+FILL_COLS = ["Participant", "Condition", "second", "id", "name", "x", "y", "size", "Event"]
+
+
+@register("fill_down", with_anim(f"SELECT {_sel(FILL_COLS)} FROM filled"))
+def q_fill_down(spark, sf):
+    return animate.filled_targets(prepared(spark, sf), unit=ANIM_UNIT).select(*FILL_COLS)
+
+
 DENSE_COLS = ["Participant", "Condition", "second", "id", "name", "x", "y", "size", "Event", "has_hit"]
 
 
@@ -659,3 +667,67 @@ def q_lmm_select(spark, sf):
 @register("lmm_table")
 def q_lmm_table(spark, sf):
     return mixed.lmm_table(q_lmm_select(spark, sf))
+
+
+@register("concat_label", with_telemetry(f"""
+SELECT RowId, {_label_sql('Participant', 'Condition', 'MoleId')} AS label FROM telemetry"""))
+def q_concat_label(spark, sf):
+    return telemetry(spark, sf).select("RowId", concat_label("Participant", "Condition", "MoleId")
+                                       .alias("label"))
+
+
+def _raw_kind(spark, sf, kind):
+    root = _log_tree(spark, sf)
+    base, every = logs.list_all(spark, root)
+    files = logs.select_files(base, every, logtree.KIND_PATTERNS[kind] + r"\.csv$")
+    return logs.read_kind(spark, files, kind, base, "logs/")
+
+
+RAW_COLS = ["Timestamp", "Event", "SessionID", "MoleId", "Framecount"]
+RAW_SQL = """strftime(t.Timestamp, '%Y-%m-%d %H:%M:%S.%f') AS Timestamp, t.Event, t.SessionID, t.MoleId,
+  CAST(t.Framecount AS VARCHAR) AS Framecount"""
+
+
+@register("union_logs", with_telemetry(f"SELECT {RAW_SQL} FROM telemetry t"))
+def q_union_logs(spark, sf):
+    return logs.union_logs(_raw_kind(spark, sf, "event"), _raw_kind(spark, sf, "sample")).select(*RAW_COLS)
+
+
+@register("merge_logs", with_telemetry(f"""
+, fm AS (SELECT SessionID, Participant, Condition, Timestamp AS t,
+     row_number() OVER (PARTITION BY Participant, Condition, SessionID ORDER BY Timestamp ASC NULLS LAST, RowId) AS r
+   FROM telemetry)
+SELECT {RAW_SQL}, lower(fm.SessionID) || '@example.org' AS MetaEmail,
+  CAST(fm.Participant AS VARCHAR) AS i2, fm.Condition AS i3
+FROM telemetry t LEFT JOIN fm ON t.SessionID IS NOT DISTINCT FROM fm.SessionID AND fm.r = 1"""))
+def q_merge_logs(spark, sf):
+    meta = logs.meta_rename(logs.path_split(_raw_kind(spark, sf, "meta"), keep=False).drop("RowId"))
+    m = logs.merge_logs(meta, _raw_kind(spark, sf, "event"), _raw_kind(spark, sf, "sample"))
+    return m.select(*RAW_COLS, "MetaEmail", "i2", "i3")
+
+
+@register("path_split", with_telemetry("""
+, k AS (SELECT DISTINCT Participant, Condition, CASE WHEN Event = 'Sample' THEN 'Sample' ELSE 'Event' END AS kind
+        FROM telemetry
+        UNION SELECT DISTINCT Participant, Condition, 'Meta' AS kind FROM telemetry)
+SELECT 'logs' AS i0, '' AS i1, CAST(Participant AS VARCHAR) AS i2, Condition AS i3, kind AS i4 FROM k"""))
+def q_path_split(spark, sf):
+    root = _log_tree(spark, sf)
+    base, every = logs.list_all(spark, root)
+    rel = [f[len(base) + 1:] for f in every]
+    files = spark.createDataFrame([(f"logs//{r}",) for r in rel], "filename string")
+    return logs.path_split(files).select("i0", "i1", "i2", "i3", "i4").distinct()
+
+
+_CLEAN: dict[tuple[str, str], tuple] = {}
+
+
+@register("sink_clean", with_prep(f"SELECT {_sel(PREP_COLS)} FROM prep"))
+def q_sink_clean(spark, sf):
+    """Prepared table written partitioned by session, read back with its schema."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CLEAN:
+        path = scratch_path(spark, f"clean-{uuid.uuid4().hex}")
+        _CLEAN[key] = (path, sinks.write_clean(prepared(spark, sf).select(*PREP_COLS), path))
+    path, schema = _CLEAN[key]
+    return sinks.read_clean(spark, path, schema)

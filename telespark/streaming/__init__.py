@@ -1,0 +1 @@
+"""Incremental (Structured Streaming) ingest of arriving log files."""
