@@ -148,16 +148,23 @@ def _anti(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(r, on, "left_anti")
 
 
+def _with_extent(df: DataFrame, extent: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach ``time_start``/``total_time`` (inner: sessions without a
+    playback extent have no playback rows)."""
+    ext = extent.select(*[F.col(k).alias(f"_e_{k}") for k in keys], "time_start", "total_time")
+    on = [df[k].eqNullSafe(ext[f"_e_{k}"]) for k in keys]
+    return df.join(ext, on).drop(*[f"_e_{k}" for k in keys])
+
+
 def filled_targets(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
                    extent: DataFrame | None = None) -> DataFrame:
-    """Grid x entities with real target rows in place of grid rows and target
-    sizes filled down per entity (the playback table before the laser layer).
-    ``second`` is still the tick timestamp."""
+    """Target layer: grid x target ids with real target rows in place of grid
+    rows and sizes filled down per target (``second`` is the tick time;
+    ``time_start``/``total_time`` of the session are kept)."""
     keys = _keys(spec)
     extent = playback_extent(prep, spec, unit) if extent is None else extent
-    template = mole_template(prep, spec).unionByName(laser_template(prep, spec))
-    spine = time_grid(extent, spec, unit, entities=template)
-    moles = mole_activity(prep, spec, unit)
+    spine = time_grid(extent, spec, unit, entities=mole_template(prep, spec))
+    moles = _with_extent(mole_activity(prep, spec, unit), extent, keys)
     d = _anti(spine, moles, [*keys, "second", "id"]).unionByName(moles, allowMissingColumns=True)
     # Fill sizes down per entity in (tick, time, load order); grid rows have
     # no time, and are alone in their tick when kept.
@@ -165,7 +172,18 @@ def filled_targets(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "se
     d = ordered.fill_down(d, [*keys, "id"], "second", "_ord", "size", "size",
                           unit=_NEXT_COARSER[unit])
     d = ordered.drop_scan_keys(d).withColumn("size", F.coalesce("size", F.lit(0.0)))
-    return d.drop("_ord", "_ts", "_tie", "time_start", "total_time")
+    return d.drop("_ord", "_ts", "_tie")
+
+
+def laser_layer(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
+                extent: DataFrame | None = None) -> DataFrame:
+    """Laser layer: one grid row per tick (no position, size 0) unless the
+    tick has Game rows, then the laser position of that tick."""
+    keys = _keys(spec)
+    extent = playback_extent(prep, spec, unit) if extent is None else extent
+    grid = time_grid(extent, spec, unit, entities=laser_template(prep, spec))
+    lasers = _with_extent(laser_per_second(prep, spec, unit), extent, keys)
+    return _anti(grid, lasers, [*keys, "second", "id"]).unionByName(lasers, allowMissingColumns=True)
 
 
 def densify(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
@@ -173,15 +191,15 @@ def densify(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
     """``DataAnimate``: every tick x every entity of each session, real target
     rows in place of grid rows, target size carried forward, laser rows per
     tick, seconds relative to the start, cut at the end of the game
-    (``second <= total_time``; ``lower=0`` also drops pre-game rows)."""
+    (``second <= total_time``; ``lower=0`` also drops pre-game rows).
+
+    The two layers are built separately (laser rows never need filling), and
+    the session extent is attached to the small event tables, so the large
+    target layer is shuffled once, for the fill."""
     keys = _keys(spec)
     extent = playback_extent(prep, spec, unit)
-    d = filled_targets(prep, spec, unit, extent)
-    lasers = laser_per_second(prep, spec, unit)
-    d = _anti(d, lasers, [*keys, "second", "id"]).unionByName(lasers, allowMissingColumns=True)
-    ext = extent.select(*[F.col(k).alias(f"_e_{k}") for k in keys], "time_start", "total_time")
-    on = [d[k].eqNullSafe(ext[f"_e_{k}"]) for k in keys]
-    d = d.join(ext, on).drop(*[f"_e_{k}" for k in keys])
+    d = filled_targets(prep, spec, unit, extent).unionByName(
+        laser_layer(prep, spec, unit, extent), allowMissingColumns=True)
     d = d.withColumn("second", duration_seconds("time_start", "second"))
     if horizon:
         d = d.filter(F.col("second") <= F.col("total_time"))

@@ -319,17 +319,20 @@ spine_anti AS (SELECT * FROM spine s WHERE NOT EXISTS (
    SELECT 1 FROM md m WHERE {NS.format(a='m', b='s')} AND m.second IS NOT DISTINCT FROM s.second
                         AND m.id IS NOT DISTINCT FROM s.id)),
 un AS (SELECT Participant, Condition, second, id, name, x, y, size, CAST(NULL AS VARCHAR) AS Event,
-          CAST(NULL AS TIMESTAMP) AS t_ts, CAST(NULL AS BIGINT) AS t_tie FROM spine_anti
-       UNION ALL SELECT Participant, Condition, second, id, name, x, y, size, Event, t_ts, t_tie FROM md),
+          CAST(NULL AS TIMESTAMP) AS t_ts, CAST(NULL AS BIGINT) AS t_tie FROM spine_anti WHERE name = 'Active Mole'
+       UNION ALL SELECT m.Participant, m.Condition, second, id, name, x, y, size, Event, t_ts, t_tie FROM md m
+       WHERE EXISTS (SELECT 1 FROM ext e WHERE {NS.format(a='m', b='e')})),
 filled AS (SELECT Participant, Condition, second, id, name, x, y, Event,
    coalesce(last_value(size IGNORE NULLS) OVER (PARTITION BY Participant, Condition, id
       ORDER BY second ASC NULLS LAST, (t_ts IS NULL), t_ts ASC NULLS FIRST, t_tie ASC NULLS FIRST
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), CAST(0 AS DOUBLE)) AS size
  FROM un),
-filled_anti AS (SELECT * FROM filled f WHERE NOT EXISTS (
-   SELECT 1 FROM ld l WHERE {NS.format(a='l', b='f')} AND l.second IS NOT DISTINCT FROM f.second
-                        AND l.id IS NOT DISTINCT FROM f.id)),
-dense0 AS (SELECT Participant, Condition, second, id, name, x, y, size, Event, CAST(NULL AS BOOLEAN) AS has_hit FROM filled_anti
+laser_anti AS (SELECT * FROM spine s WHERE name = 'Laser' AND NOT EXISTS (
+   SELECT 1 FROM ld l WHERE {NS.format(a='l', b='s')} AND l.second IS NOT DISTINCT FROM s.second
+                        AND l.id IS NOT DISTINCT FROM s.id)),
+dense0 AS (SELECT Participant, Condition, second, id, name, x, y, size, Event, CAST(NULL AS BOOLEAN) AS has_hit FROM filled
+   UNION ALL SELECT Participant, Condition, second, id, name, x, y, size, CAST(NULL AS VARCHAR) AS Event,
+     CAST(NULL AS BOOLEAN) AS has_hit FROM laser_anti
    UNION ALL SELECT Participant, Condition, second, id, name, x, y, size, CAST(NULL AS VARCHAR) AS Event, has_hit FROM ld),
 dense AS (SELECT d.Participant, d.Condition, {delta('e.time_start', 'd.second')} AS second, d.id, d.name, d.x, d.y,
    d.size, d.Event, d.has_hit, e.total_time
