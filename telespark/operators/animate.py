@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telespark.functions.nulls import in_set
-from telespark.functions.time import UNIT_MICROS, duration_seconds, trunc_unit
+from telespark.functions.time import UNIT_MICROS, duration_seconds, epoch_micros, trunc_unit
 from telespark.operators import ordered
 from telespark.operators.ordered import order_key
 from telespark.operators.sessions import (DEFAULT, FINISH_EVENTS, GAME_STARTED, MOLE_EXPIRED,
@@ -156,6 +156,20 @@ def _with_extent(df: DataFrame, extent: DataFrame, keys: list[str]) -> DataFrame
     return df.join(ext, on).drop(*[f"_e_{k}" for k in keys])
 
 
+def _grid_chunks(extent: DataFrame, entities: DataFrame, keys: list[str], chunk_unit: str) -> DataFrame:
+    """(session, entity, chunk) for every chunk between the first and the
+    last tick of each session, without generating the ticks: one row per
+    chunk (a day for hourly ticks), not per tick."""
+    on = [extent[k].eqNullSafe(entities[k]) for k in keys]
+    base = extent.join(entities, on).drop(*[entities[k] for k in keys])
+    u = F.lit(UNIT_MICROS[chunk_unit]).cast("long")
+    lo = F.floor(epoch_micros("time_start") / u).cast("long")
+    span = F.greatest(F.col("total_time"), F.lit(0)).cast("long") * F.lit(1_000_000)
+    hi = F.floor((epoch_micros("time_start") + span) / u).cast("long")
+    return base.select(*keys, "id", F.explode(F.sequence(lo, hi)).alias(ordered.CHUNK),
+                       F.col("time_start").alias("second"))
+
+
 def filled_targets(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
                    extent: DataFrame | None = None) -> DataFrame:
     """Target layer: grid x target ids with real target rows in place of grid
@@ -163,14 +177,21 @@ def filled_targets(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "se
     ``time_start``/``total_time`` of the session are kept)."""
     keys = _keys(spec)
     extent = playback_extent(prep, spec, unit) if extent is None else extent
-    spine = time_grid(extent, spec, unit, entities=mole_template(prep, spec))
+    template = mole_template(prep, spec)
+    spine = time_grid(extent, spec, unit, entities=template)
     moles = _with_extent(mole_activity(prep, spec, unit), extent, keys)
     d = _anti(spine, moles, [*keys, "second", "id"]).unionByName(moles, allowMissingColumns=True)
     # Fill sizes down per entity in (tick, time, load order); grid rows have
-    # no time, and are alone in their tick when kept.
-    d = d.withColumn("_ord", F.struct(F.col("_ts").isNull().alias("g"), "_ts", "_tie"))
-    d = ordered.fill_down(d, [*keys, "id"], "second", "_ord", "size", "size",
-                          unit=_NEXT_COARSER[unit])
+    # no time, and are alone in their tick when kept.  Only target rows hold
+    # sizes (grid rows have none), so the carry across chunks comes from them,
+    # over an index of every chunk the grid can reach - the grid is generated
+    # once.
+    ordc = F.struct(F.col("_ts").isNull().alias("g"), "_ts", "_tie")
+    d = d.withColumn("_ord", ordc)
+    cu = _NEXT_COARSER[unit]
+    index = _grid_chunks(extent, template, keys, cu)
+    d = ordered.fill_down(d, [*keys, "id"], "second", "_ord", "size", "size", unit=cu,
+                          source=moles.withColumn("_ord", ordc), chunk_index=index)
     d = ordered.drop_scan_keys(d).withColumn("size", F.coalesce("size", F.lit(0.0)))
     return d.drop("_ord", "_ts", "_tie")
 

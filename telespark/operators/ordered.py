@@ -115,17 +115,30 @@ def running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str, col: str,
 
 
 def fill_down(df: DataFrame, keys: Sequence[str], ts: str, tie: str, col: str, out: str,
-              *, unit: str = "hour") -> DataFrame:
-    """``tidyr::fill(.direction="down")``: last non-null value carried forward."""
+              *, unit: str = "hour", source: DataFrame | None = None,
+              chunk_index: DataFrame | None = None) -> DataFrame:
+    """``tidyr::fill(.direction="down")``: last non-null value carried forward.
+
+    By default the chunk table is built from ``df`` itself.  For a large
+    generated input whose own values are mostly null, pass ``source`` (the
+    rows that can hold a non-null value, with ``keys, ts, tie, col``) and
+    ``chunk_index`` (``keys`` plus ``_ch``, covering every chunk of ``df``):
+    the input is then not computed twice."""
     d = with_scan_keys(df, keys, ts, unit)
     w = _in_chunk(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_lf", F.last(F.col(col), ignorenulls=True).over(w))
     x = F.col(col)
     before = _chunks().rowsBetween(Window.unboundedPreceding, -1)
-    chunks = (with_scan_keys(df, keys, ts, unit)
-              .groupBy(KEY, CHUNK)
-              .agg(F.max_by(x, F.when(x.isNotNull(), order_key(ts, tie))).alias("_cl"))
-              .withColumn("_pf", F.last("_cl", ignorenulls=True).over(before))
+    src = df if source is None else source.select(*keys, ts, tie, col)
+    last = (with_scan_keys(src.filter(x.isNotNull()), keys, ts, unit)
+            .groupBy(KEY, CHUNK).agg(F.max_by(x, order_key(ts, tie)).alias("_cl")))
+    if chunk_index is not None:
+        idx = with_scan_keys(chunk_index, keys, ts, unit).select(KEY, CHUNK)
+        every = idx.unionByName(last.select(KEY, CHUNK)).distinct()
+        last = every.join(last, [KEY, CHUNK], "left")
+    elif source is not None:
+        raise ValueError("a separate source needs a chunk_index covering df")
+    chunks = (last.withColumn("_pf", F.last("_cl", ignorenulls=True).over(before))
               .select(KEY, CHUNK, "_pf"))
     d = _join_chunks(d, chunks)
     return d.withColumn(out, F.coalesce(F.col("_lf"), F.col("_pf"))).drop("_lf", "_pf")
