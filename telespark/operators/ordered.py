@@ -129,9 +129,14 @@ def fill_down(df: DataFrame, keys: Sequence[str], ts: str, tie: str, col: str, o
     d = d.withColumn("_lf", F.last(F.col(col), ignorenulls=True).over(w))
     x = F.col(col)
     before = _chunks().rowsBetween(Window.unboundedPreceding, -1)
-    src = df if source is None else source.select(*keys, ts, tie, col)
-    last = (with_scan_keys(src.filter(x.isNotNull()), keys, ts, unit)
-            .groupBy(KEY, CHUNK).agg(F.max_by(x, order_key(ts, tie)).alias("_cl")))
+    if source is None:
+        # every chunk of df, with its last non-null value (or none)
+        last = (with_scan_keys(df, keys, ts, unit).groupBy(KEY, CHUNK)
+                .agg(F.max_by(x, F.when(x.isNotNull(), order_key(ts, tie))).alias("_cl")))
+    else:
+        src = source.select(*keys, ts, tie, col).filter(x.isNotNull())
+        last = (with_scan_keys(src, keys, ts, unit).groupBy(KEY, CHUNK)
+                .agg(F.max_by(x, order_key(ts, tie)).alias("_cl")))
     if chunk_index is not None:
         idx = with_scan_keys(chunk_index, keys, ts, unit).select(KEY, CHUNK)
         every = idx.unionByName(last.select(KEY, CHUNK)).distinct()
