@@ -87,3 +87,12 @@ def test_meta_rename_all_or_nothing(spark):
     assert "MetaEmail" in logs.meta_rename(full).columns
     part = spark.createDataFrame([("t", "S")], "Timestamp string, SessionID string")
     assert logs.meta_rename(part).columns == ["Timestamp", "SessionID"]
+
+
+def test_load_triplet(spark, tree):
+    d = logs.load_triplet(spark, f"{tree}/1/CondA/log_1_Meta.csv", f"{tree}/1/CondA/log_1_Event.csv",
+                          f"{tree}/1/CondA/log_3_Sample.csv")
+    rows = d.collect()
+    assert len(rows) == 5                         # 2 events + 3 samples
+    assert {r.MetaEmail for r in rows if r.SessionID == "S1"} == {"a@x"}
+    assert [r.MetaEmail for r in rows if r.SessionID is None] == [None]
