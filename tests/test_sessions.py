@@ -87,3 +87,10 @@ def test_play_period_counts_sf001(spark):
     got = {r.PlayPeriod: r["count"] for r in
            QUERIES["play_period"](spark, SF_MID).groupBy("PlayPeriod").count().collect()}
     assert got == {"Game": 8052, "PreGame": 1113, "PostGame": 506, None: 329}
+
+
+def test_rate_per_session_keys(spark):
+    rows = [(0, "Sample", 1.0, "A"), (0.5, "Sample", 2.0, "A"), (0.7, "Sample", 1.0, "A"),
+            (0.2, "Sample", None, "A"), (0.3, "Sample", None, "A")]
+    got = _by_row(sessions.rate(_logs(spark, rows), by=("Participant",)), "Hz")
+    assert [got[0], got[1], got[2], got[3], got[4]] == [2, 1, 2, 2, 2]
