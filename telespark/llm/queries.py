@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from telespark.sources.tables import read_table
 
-from . import exact_dedup, near_dedup
+from . import exact_dedup, near_dedup, quality, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +19,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"), keep="largest")
@@ -33,6 +39,26 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM d JOIN g USING (t)"""
 
 
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_duplicates(read_table(spark, sf_dir, "documents"), window=50)
+
+
+ORACLE["op9_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS b FROM w),
+k AS (SELECT doc_id, b, md5(array_to_string(w[b:b + 49], ' ')) AS k FROM p),
+f AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(b, b + 50)) AS i FROM k JOIN f USING (k) WHERE first < doc_id),
+g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+kept AS (
+    SELECT w.doc_id, w.w, CASE WHEN gone IS NULL THEN w.w ELSE
+        list_transform(list_filter(range(1, len(w.w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w.w[i]) END AS kept
+    FROM w LEFT JOIN g USING (doc_id))
+SELECT doc_id, len(w) AS n_words, len(w) - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM kept"""
+
+
 @query
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=85)
