@@ -35,16 +35,16 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", id_col: str = "doc
 
 
 def deduplicate(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each distinct text (as above), all columns kept.
+    """One row of docs for each distinct text (as above), with the columns of docs.
 
-    Of rows that tie on the kept id, the one with the smallest columns stays.
+    Of rows that tie on the kept id, the smallest (or largest) row stays; a
+    null id stays only when there is no other.
     """
-    key = F.unhex(F.md5(ascii_lower(whole_text(text_col))))
-    sha = F.unhex(F.sha2(ascii_lower(whole_text(text_col)), 256))
-    # A null id loses to every other: it sorts first for "largest", and is
-    # marked as last for "smallest".
-    missing = F.col(id_col).isNull()
-    order = F.struct(missing, F.col(id_col), F.struct(*docs.columns)) if keep == "smallest" else F.struct(~missing, F.col(id_col), F.struct(*docs.columns))
-    pick = F.min if keep == "smallest" else F.max
-    best = docs.groupBy(key.alias("_h"), sha.alias("_s")).agg(pick(order).alias("_best"))
-    return best.select("_best.col3.*")
+    if keep not in ("smallest", "largest"):
+        raise ValueError("keep is 'smallest' or 'largest'")
+    text = docs.select(F.struct(*docs.columns).alias("row"), ascii_lower(whole_text(text_col)).alias("t"))
+    missing, pick = F.col(f"row.{id_col}").isNull(), F.min
+    if keep == "largest":
+        missing, pick = ~missing, F.max
+    best = pick(F.struct(missing.alias("missing"), F.col(f"row.{id_col}").alias("id"), F.col("row"))).alias("best")
+    return text.groupBy(F.unhex(F.md5("t")).alias("h"), "t").agg(best).select("best.row.*")

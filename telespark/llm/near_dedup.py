@@ -288,3 +288,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     out = found.select("doc_id", "n_shingles").join(label, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of its group, with the columns of docs.
+
+    Rows without an id stay; rows that repeat a kept id stay together.
+    """
+    groups = near_duplicates(docs, shingle, percent, miss, id_col, text_col)
+    dropped = groups.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)

@@ -118,3 +118,9 @@ def classify(docs: DataFrame, model: RuleModel, threshold: float = 0.3, id_col:
     rows = with_statistics(docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")), F.col("text"))
     scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score([F.col(c) for c in STATISTICS]).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def keep_good(docs: DataFrame, model: RuleModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the model predicts as label 1, with the columns of docs."""
+    rows = with_statistics(docs.select(F.struct(*docs.columns).alias("row"), whole_text(text_col).alias("_text")), F.col("_text"))
+    return rows.where(model.score([F.col(c) for c in STATISTICS]) >= threshold).select("row.*")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from telespark.sources.tables import read_table
 
-from . import exact_dedup, near_dedup, quality, substring_dedup
+from . import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,12 +20,72 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(read_table(spark, sf_dir, "documents"), mixing.n_tokens() - 1)
+
+
 @query
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+#: Target shares of tokens.
+SOURCE_SHARES = {"src0": 0.2, **{f"src{i}": 0.8 / 19 for i in range(1, 20)}}
+LANG_SHARES = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
+TOPIC_SHARES = {"prose": 0.85, "notice": 0.05, "contact": 0.06, "table": 0.04}
+FRACTION, ROUNDS = 0.6, 12
+
+
+def margins():
+    return {"source": (F.col("source"), SOURCE_SHARES), "lang": (F.col("lang"), LANG_SHARES), "topic": (mixing.topic(), TOPIC_SHARES)}
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), margins(), FRACTION)
+    return mixed.select("row.doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+
+
+def _mixing_sql() -> str:
+    names = {"source": ("source", SOURCE_SHARES), "lang": ("lang", LANG_SHARES), "topic": ("topic", TOPIC_SHARES)}
+
+    def named(m: str) -> str:
+        return f"CASE WHEN {names[m][0]} IN ({', '.join(repr(k) for k in names[m][1])}) THEN {names[m][0]} ELSE 'other' END AS {m}"
+
+    steps = [rf"""
+t AS (SELECT *, coalesce(text, '') AS t FROM documents),
+c AS (SELECT doc_id, source, lang, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) + 1 AS n_tokens,
+    CASE WHEN contains(t, 'icensed under') OR contains(t, 'License.') OR contains(t, 'rights reserved') THEN 'notice'
+        WHEN contains(t, '@') OR contains(t, ' +1 ') THEN 'contact' WHEN contains(t, ' | ') THEN 'table' ELSE 'prose' END AS topic FROM t),
+d AS (SELECT doc_id, n_tokens, {', '.join(map(named, names))} FROM c),
+n AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n FROM d GROUP BY ALL),
+w AS (SELECT source, lang, topic, n / sum(n) OVER () AS nat FROM n)"""]
+    for m, (_, shares) in names.items():
+        spec = " ".join(f"WHEN {k!r} THEN {v!r}" for k, v in shares.items())
+        steps.append(f"""
+t_{m} AS (SELECT {m}, CASE WHEN {m} = 'other' THEN share ELSE spec * (1 - sum(CASE WHEN {m} = 'other' THEN share ELSE 0 END) OVER ())
+    / sum(CASE WHEN {m} = 'other' THEN 0 ELSE spec END) OVER () END AS target
+    FROM (SELECT {m}, sum(nat) AS share, CASE {m} {spec} END::DOUBLE AS spec FROM w GROUP BY {m}))""")
+    steps.append("w0 AS (SELECT *, nat AS w FROM w)")
+    k = 0
+    for _ in range(ROUNDS):
+        for m in names:
+            steps.append(f"""
+w{k + 1} AS (SELECT x.* EXCLUDE (w, target), least(w * target / sum(w) OVER (PARTITION BY {m}), nat / {FRACTION}) AS w
+    FROM (SELECT w{k}.*, target FROM w{k} JOIN t_{m} USING ({m})) AS x)""")
+            k += 1
+    return f"""WITH {','.join(steps)},
+p AS (SELECT source, lang, topic, round(least(1.0, {FRACTION} * w / nat), 9) AS probability FROM w{k})
+SELECT doc_id, source, lang, topic, n_tokens, probability,
+    ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < probability AS kept
+FROM d JOIN p USING (source, lang, topic)"""
+
+
+ORACLE["op6_mixing"] = _mixing_sql()
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"), keep="largest")
