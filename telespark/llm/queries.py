@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telespark.sources.tables import read_table
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup
+from . import exact_dedup, licenses, mixing, near_dedup, packing, pii, quality, secret_scan, substring_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,6 +20,43 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.fit(docs))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.lookup(read_table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    def canonical(text: str) -> str:
+        folded = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        plain = f"regexp_replace({folded}, '{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
+        form = f"' ' || trim(regexp_replace({plain}, '{licenses.MARKS}', ' ', 'g')) || ' '"
+        for a, b in licenses.EQUIVALENT:
+            for _ in range(2):
+                form = f"replace({form}, ' {a} ', ' {b} ')"
+        return f"trim({form})"
+
+    known = ", ".join("({!r}, $${}$$)".format(k, v) for k, v in sorted(licenses.KNOWN.items()))
+    return f"""
+WITH known(license_id, text) AS (VALUES {known}),
+forms AS (SELECT sha256({canonical("text")}) AS canonical_sha256, min(license_id) AS license_id FROM known GROUP BY 1),
+docs AS (SELECT doc_id, sha256({canonical("coalesce(text, '')")}) AS canonical_sha256 FROM documents)
+SELECT doc_id, canonical_sha256, license_id FROM docs LEFT JOIN forms USING (canonical_sha256)"""
+
+
+ORACLE["op2_license_scan"] = _license_sql()
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read_table(spark, sf_dir, "documents"), mixing.n_tokens() - 1)
@@ -100,6 +137,22 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM d JOIN g USING (t)"""
 
 
+@query
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_rows(read_table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
+
+
+ORACLE["op8_topk_search"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM v AS q JOIN v AS c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_duplicates(read_table(spark, sf_dir, "documents"), window=50)
