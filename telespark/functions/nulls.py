@@ -46,38 +46,22 @@ def strict_mean(col) -> Column:
     return F.when(F.max(c.isNull().cast("int")) == 1, F.lit(None)).otherwise(F.avg(c))
 
 
-# Measurements are accumulated in exact fixed-point micro-units: the sum is
-# an integer (DECIMAL(38,0), no overflow), so the result is the same for any
-# partitioning, task order or retry, and equal to other engines bit for bit.
-MICRO = 1_000_000
-
-
-def micro(col) -> Column:
-    """A measurement as an exact integer count of micro-units."""
-    return F.round(_c(col).cast("double") * F.lit(float(MICRO))).cast("decimal(38,0)")
-
-
-def exact_sum(col, strict: bool = True) -> Column:
-    """``sum(x)`` of measurements, exact to 1e-6; with ``strict`` null if any
-    input is null (no ``na.rm``)."""
-    c = _c(col)
-    total = F.sum(micro(c)).cast("double") / F.lit(float(MICRO))
-    if strict:
-        return F.when(F.max(c.isNull().cast("int")) == 1, F.lit(None)).otherwise(total)
-    return total
+def nan_to_null(col) -> Column:
+    """NaN counts as missing, as in R."""
+    return F.nanvl(_c(col).cast("double"), F.lit(None).cast("double"))
 
 
 def mean_narm(col) -> Column:
-    """``mean(x, na.rm=TRUE)``: NA and NaN removed, exact to 1e-6.
+    """``mean(x, na.rm=TRUE)``: NA and NaN removed.
 
     R returns NaN for an all-NA group; this returns null (documented choice).
     """
-    c = F.nanvl(_c(col).cast("double"), F.lit(None).cast("double"))
-    return F.sum(micro(c)).cast("double") / F.count(c) / F.lit(float(MICRO))
+    return F.avg(nan_to_null(col))
 
 
 def any_true(cond) -> Column:
-    """``length(x[x == TRUE]) > 0``: true if any test is true, nulls ignored."""
+    """True if any test is true.  Unknown tests are ignored; R would count them
+    as a hit, which no Game row can show (its event is never missing)."""
     return F.coalesce(F.bool_or(_c(cond)), F.lit(False))
 
 

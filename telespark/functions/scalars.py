@@ -36,9 +36,8 @@ def n_clip(col, a: float = 0.0, b: float = 1.0) -> Column:
 def t_color(col, levels: Sequence[float], colors: Sequence[str]) -> Column:
     """Colour of the smallest level >= x; none -> null; duplicate level -> first.
 
-    For a short level list this is one array expression evaluated per row
-    (``array_min`` over the levels that qualify, ``array_position`` finds the
-    first copy).  Long level tables should use :func:`t_color_join`.
+    One array expression for each row: a binary search is not needed for the
+    lists that a palette has, and a table of levels is joined by the caller.
     """
     x = _c(col)
     lv = F.array(*[F.lit(float(v)) for v in levels])
@@ -51,20 +50,16 @@ def t_color(col, levels: Sequence[float], colors: Sequence[str]) -> Column:
 def concat_label(*cols) -> Column:
     """``paste(a, b, ...)``: space separated, NA printed as ``NA``.
 
-    Numbers are rendered the way R prints them for whole values (``1`` not
-    ``1.0``).
+    Whole numbers print without a decimal point (``1`` not ``1.0``); text
+    columns print as they are.
     """
-    parts = []
-    for c in cols:
-        c = _c(c)
-        parts.append(F.coalesce(_r_text(c), F.lit("NA")))
-    return F.concat_ws(" ", *parts)
+    return F.concat_ws(" ", *(F.coalesce(_r_text(_c(c)), F.lit("NA")) for c in cols))
 
 
 def _r_text(c: Column) -> Column:
-    # Whole doubles print without a decimal point in R; other values as text.
-    s = c.cast("string")
-    return F.regexp_replace(s, r"^(-?[0-9]+)\.0$", "$1")
+    text = c.cast("string")
+    whole = F.regexp_replace(text, r"^(-?[0-9]+)\.0$", "$1")
+    return F.when(F.typeof(c).isin("double", "float"), whole).otherwise(text)
 
 
 def make_point(x, y, strict: bool = False) -> Column:

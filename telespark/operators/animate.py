@@ -5,12 +5,10 @@ includes the session, so all sessions are densified in one plan (filter the
 result, or the input, for one session).  ``unit`` is the tick size
 ("second" as in the reference; "minute"/"hour" for long sessions).
 
-Plan shape: the grid is built after joining the (small) per-session extent
-with the per-session entity template, in tick blocks that are spread over
-tasks before they are exploded, so no single task generates a whole long
-session.  Real rows replace grid rows through anti-joins on
-``(session, tick, entity)``; sizes are filled down per entity with the
-chunked scan of :mod:`telespark.operators.ordered`.
+Plan shape: only event rows are ordered, joined and shuffled.  The grid rows
+between two events of an entity all carry the same size, so they are generated
+from that span, in tick blocks that are spread over tasks before they are
+exploded; nothing above the explode moves the generated rows.
 """
 
 from __future__ import annotations
@@ -18,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telespark.functions.nulls import in_set
+from telespark.functions.nulls import in_set, nan_to_null
 from telespark.functions.time import UNIT_MICROS, duration_seconds, epoch_micros, trunc_unit
 from telespark.operators import ordered
 from telespark.operators.ordered import order_key
@@ -156,44 +154,57 @@ def _with_extent(df: DataFrame, extent: DataFrame, keys: list[str]) -> DataFrame
     return df.join(ext, on).drop(*[f"_e_{k}" for k in keys])
 
 
-def _grid_chunks(extent: DataFrame, entities: DataFrame, keys: list[str], chunk_unit: str) -> DataFrame:
-    """(session, entity, chunk) for every chunk between the first and the
-    last tick of each session, without generating the ticks: one row per
-    chunk (a day for hourly ticks), not per tick."""
-    on = [extent[k].eqNullSafe(entities[k]) for k in keys]
-    base = extent.join(entities, on).drop(*[entities[k] for k in keys])
-    u = F.lit(UNIT_MICROS[chunk_unit]).cast("long")
-    lo = F.floor(epoch_micros("time_start") / u).cast("long")
-    span = F.greatest(F.col("total_time"), F.lit(0)).cast("long") * F.lit(1_000_000)
-    hi = F.floor((epoch_micros("time_start") + span) / u).cast("long")
-    return base.select(*keys, "id", F.explode(F.sequence(lo, hi)).alias(ordered.CHUNK),
-                       F.col("time_start").alias("second"))
+def _entities(extent: DataFrame, template: DataFrame, keys: list[str]) -> DataFrame:
+    """Template rows with the extent of their session (small by small)."""
+    return _with_extent(template, extent, keys)
+
+
+def _free_ticks(real: DataFrame, entities: DataFrame, keys: list[str], unit: str) -> DataFrame:
+    """Grid rows of the ticks that hold no real row of their entity.
+
+    ``real`` has (keys, id, second, size), one row for each tick with real
+    rows.  Between two real ticks of an entity the carried size does not
+    change, so only the real ticks are ordered and joined (a small table);
+    the ticks between them are then generated, and nothing is shuffled after
+    that.  Long spans are cut into blocks that are dealt out before."""
+    micros = F.lit(UNIT_MICROS[unit])
+    ent = entities.select(F.struct(*keys, "id").alias("_e"), *keys, "id", "x", "y", "name", "time_start", "total_time")
+    last = F.greatest(F.floor(F.col("total_time") / F.lit(UNIT_MICROS[unit] // 1_000_000)), F.lit(0)).cast("long")
+    r = real.filter(F.col("second").isNotNull()).select(F.struct(*keys, "id").alias("_e"), "second", "size")
+    r = r.withColumn("_next", F.col("second"))
+    r = ordered.drop_scan_keys(ordered.shift(r, ["_e"], "second", "size", {"second": "_next"}, lead=True, unit=_NEXT_COARSER[unit]))
+    before = r.groupBy("_e").agg(F.min("second").alias("_next"))
+    spans = (ent.join(r, "_e").unionByName(ent.join(before, "_e", "left").withColumns(
+        {"second": F.lit(None).cast("timestamp_ntz"), "size": F.lit(0.0)})))
+
+    def tick(c: str):
+        return F.floor((epoch_micros(c) - epoch_micros("time_start")) / micros).cast("long")
+
+    spans = spans.withColumns({"_lo": F.greatest(F.coalesce(tick("second") + 1, F.lit(0)), F.lit(0)).cast("long"),
+                               "_hi": F.least(F.coalesce(tick("_next") - 1, last), last)})
+    spans = spans.filter(F.col("_lo") <= F.col("_hi")).drop("second", "_next", "_e")
+    block = F.lit(TICK_BLOCK)
+    blocks = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / block), F.floor(F.col("_hi") / block))))
+    blocks = blocks.repartition(*keys, "id", "_b")
+    ticks = blocks.withColumn("_t", F.explode(F.sequence(
+        F.greatest("_lo", F.col("_b") * block), F.least("_hi", F.col("_b") * block + block - 1))))
+    second = F.timestamp_add("SECOND", F.col("_t") * F.lit(UNIT_MICROS[unit] // 1_000_000), F.col("time_start"))
+    return ticks.withColumn("second", second).drop("_lo", "_hi", "_b", "_t")
 
 
 def filled_targets(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
                    extent: DataFrame | None = None) -> DataFrame:
-    """Target layer: grid x target ids with real target rows in place of grid
-    rows and sizes filled down per target (``second`` is the tick time;
-    ``time_start``/``total_time`` of the session are kept)."""
+    """Target layer: every tick x target id, real target rows in place of grid
+    rows and sizes filled down per target in (tick, time, load order)
+    (``second`` is the tick time; ``time_start``/``total_time`` of the session
+    are kept).  Before its first event a target has size 0."""
     keys = _keys(spec)
     extent = playback_extent(prep, spec, unit) if extent is None else extent
-    template = mole_template(prep, spec)
-    spine = time_grid(extent, spec, unit, entities=template)
     moles = _with_extent(mole_activity(prep, spec, unit), extent, keys)
-    d = _anti(spine, moles, [*keys, "second", "id"]).unionByName(moles, allowMissingColumns=True)
-    # Fill sizes down per entity in (tick, time, load order); grid rows have
-    # no time, and are alone in their tick when kept.  Only target rows hold
-    # sizes (grid rows have none), so the carry across chunks comes from them,
-    # over an index of every chunk the grid can reach - the grid is generated
-    # once.
-    ordc = F.struct(F.col("_ts").isNull().alias("g"), "_ts", "_tie")
-    d = d.withColumn("_ord", ordc)
-    cu = _NEXT_COARSER[unit]
-    index = _grid_chunks(extent, template, keys, cu)
-    d = ordered.fill_down(d, [*keys, "id"], "second", "_ord", "size", "size", unit=cu,
-                          source=moles.withColumn("_ord", ordc), chunk_index=index)
-    d = ordered.drop_scan_keys(d).withColumn("size", F.coalesce("size", F.lit(0.0)))
-    return d.drop("_ord", "_ts", "_tie")
+    real = (moles.filter(F.col("id").isNotNull()).groupBy(*keys, "id", "second")
+            .agg(F.max_by("size", F.struct(F.col("_ts"), F.col("_tie"))).alias("size")))
+    free = _free_ticks(real, _entities(extent, mole_template(prep, spec), keys), keys, unit)
+    return free.unionByName(moles, allowMissingColumns=True).drop("_ts", "_tie")
 
 
 def laser_layer(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
@@ -202,9 +213,10 @@ def laser_layer(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "secon
     tick has Game rows, then the laser position of that tick."""
     keys = _keys(spec)
     extent = playback_extent(prep, spec, unit) if extent is None else extent
-    grid = time_grid(extent, spec, unit, entities=laser_template(prep, spec))
     lasers = _with_extent(laser_per_second(prep, spec, unit), extent, keys)
-    return _anti(grid, lasers, [*keys, "second", "id"]).unionByName(lasers, allowMissingColumns=True)
+    real = lasers.select(*keys, "id", "second", F.lit(0.0).alias("size"))
+    free = _free_ticks(real, _entities(extent, laser_template(prep, spec), keys), keys, unit)
+    return free.unionByName(lasers, allowMissingColumns=True)
 
 
 def densify(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
@@ -214,9 +226,7 @@ def densify(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
     tick, seconds relative to the start, cut at the end of the game
     (``second <= total_time``; ``lower=0`` also drops pre-game rows).
 
-    The two layers are built separately (laser rows never need filling), and
-    the session extent is attached to the small event tables, so the large
-    target layer is shuffled once, for the fill."""
+    The two layers are built separately, both from the small event tables."""
     keys = _keys(spec)
     extent = playback_extent(prep, spec, unit)
     d = filled_targets(prep, spec, unit, extent).unionByName(
@@ -245,6 +255,6 @@ def distinct_spawn_points(prep: DataFrame, spec: SessionSpec = DEFAULT) -> DataF
 
 def axis_range(prep: DataFrame) -> DataFrame:
     """Plot range: min - 1 and max + 1 of the target positions, NA removed."""
-    x, y = F.col(X), F.col(Y)
+    x, y = nan_to_null(X), nan_to_null(Y)
     return prep.agg((F.min(x) - 1).alias("x_min"), (F.max(x) + 1).alias("x_max"),
                     (F.min(y) - 1).alias("y_min"), (F.max(y) + 1).alias("y_max"))

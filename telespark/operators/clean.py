@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telespark.functions.nulls import nan_to_null
 from telespark.functions.time import cast_numeric, parse_timestamp
 
 # Columns the analysis reads, with their types after cleaning.
@@ -54,8 +55,8 @@ def clean(raw: DataFrame, participant: str = "i2", condition: str = "i3") -> Dat
         d = d.withColumnsRenamed(ren)
     casts = {"Timestamp": parse_timestamp("Timestamp")} if "Timestamp" in d.columns else {}
     if "Participant" in d.columns:
-        casts["Participant"] = cast_numeric("Participant")
-    casts.update({c: cast_numeric(c) for c in NUMERIC_COLUMNS if c in d.columns})
+        casts["Participant"] = nan_to_null(cast_numeric("Participant"))
+    casts.update({c: nan_to_null(cast_numeric(c)) for c in NUMERIC_COLUMNS if c in d.columns})
     d = conform(d.withColumns(casts))
     first = ["Timestamp", "Event"]
     return d.select(*first, *[c for c in d.columns if c not in first])

@@ -25,6 +25,10 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# Fixed value: what a sequence of whole steps may fall short of its end.
+STEP_TOLERANCE = 1e-10
+
+
 def p_lin(df: DataFrame, response: str, term: str, by: Sequence[str] = (),
           step: float = 0.01) -> DataFrame:
     """OLS line of ``response ~ term`` evaluated on a grid from min to max of
@@ -35,7 +39,7 @@ def p_lin(df: DataFrame, response: str, term: str, by: Sequence[str] = (),
     stats = df.groupBy(*by).agg(
         F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"),
         F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    n = F.floor(F.col("_hi") * inv - F.col("_lo") * inv).cast("long")
+    n = F.floor(F.col("_hi") * inv - F.col("_lo") * inv + STEP_TOLERANCE).cast("long")
     g = stats.filter(F.col("_lo").isNotNull()).withColumn(
         "_k", F.explode(F.sequence(F.lit(0).cast("long"), n)))
     xs = (F.col("_lo") * inv + F.col("_k")) / inv

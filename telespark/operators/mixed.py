@@ -33,9 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telespark.functions.nulls import MICRO, micro
+from telespark.functions.nulls import nan_to_null
 
-MAX_DENSE = 5000   # levels outside the largest factor + fixed columns
 INTERCEPT = "(Intercept)"
 
 
@@ -88,16 +87,15 @@ def stats_frame(df: DataFrame, responses: Sequence[str], fixed: Sequence[str],
     design and response columns (products with the intercept are the plain
     sums).  Its size is 1 + levels + co-occurring level pairs."""
     used = list(dict.fromkeys([*responses, *fixed, *random]))
-    d = df.select(*used).dropna()
+    types = dict(df.dtypes)
+    d = df.select(*[nan_to_null(c).alias(c) if types[c] in ("double", "float") else F.col(c) for c in used]).dropna()
     d = d.withColumns({r: F.col(r).cast("string") for r in random})
     d, columns, terms = _design(d, fixed)
     allv = [F.col(f"_x_{c}") for c in columns] + [F.col(r).cast("double") for r in responses]
     m = len(allv)
     sets = [[]] + [[r] for r in random] + [list(p) for p in combinations(random, 2)]
-    # exact integer sums of products of micro-unit values (see nulls.MICRO)
-    mv = [micro(v) for v in allv]
     aggs = [F.count(F.lit(1)).alias("n")] + [
-        F.sum(mv[i] * mv[j]).alias(f"s{i}_{j}") for i in range(m) for j in range(i, m)]
+        F.sum(allv[i] * allv[j]).alias(f"s{i}_{j}") for i in range(m) for j in range(i, m)]
     if random:
         g = d.groupingSets(sets, *random).agg(F.grouping_id().alias("gid"), *aggs)
     else:
@@ -114,8 +112,8 @@ def mixed_stats(df: DataFrame, responses: Sequence[str], fixed: Sequence[str],
     p, m = len(columns), len(columns) + len(responses)
     nr = len(random)
 
-    def val(x, scale=float(MICRO) ** 2):
-        return float(x) / scale if x is not None else 0.0
+    def val(x):
+        return float(x) if x is not None else 0.0
 
     def gram(row):
         out = np.zeros((m, m))
@@ -208,8 +206,6 @@ def _solve(st: MixedStats, model: Model, k: int, theta: np.ndarray):
     qr = sum(qs)
     p = len(cols)
     m = qr + p
-    if m > MAX_DENSE:
-        raise ValueError(f"{m} dense unknowns; too many for the driver solve")
     # coupling of the diagonal block with (other levels, fixed columns)
     a0r = np.zeros((len(f0.levels), m))
     arr = np.zeros((m, m))

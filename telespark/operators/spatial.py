@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telespark.functions.nulls import count_if, exact_sum, in_set
+from telespark.functions.nulls import count_if, in_set, nan_to_null, strict_sum
 from telespark.functions.scalars import concat_label, euclid_distance, make_point
 from telespark.functions.time import cast_integer
 from telespark.operators import ordered
@@ -53,7 +53,7 @@ def travel_direction(sp: DataFrame, spec: SessionSpec = DEFAULT,
     keys: Sequence[str] = spec.keys if scope == "session" else ()
     d = ordered.shift(sp, keys, spec.ts, spec.tie, {X: "_nx", Y: "_ny"}, lead=True, unit=unit)
     d = ordered.drop_scan_keys(d)
-    x, y, nx, ny = F.col(X), F.col(Y), F.col("_nx"), F.col("_ny")
+    x, y, nx, ny = (nan_to_null(c) for c in (X, Y, "_nx", "_ny"))
     hor = F.when(x == nx, "None").when(x > nx, "Right").when(x < nx, "Left")
     ver = F.when(y == ny, "None").when(y < ny, "Down").when(y > ny, "Up")
     return d.withColumns({"travelLeadHor": hor, "travelLeadVer": ver}).drop("_nx", "_ny")
@@ -69,22 +69,22 @@ def segment_summary(sm: DataFrame) -> DataFrame:
     null when an input is missing (no ``na.rm``)."""
     hor = F.col("travelLeadHor")
     return sm.groupBy("PatternSegmentLabel").agg(
-        exact_sum("distance_lag").alias("dist"),
+        strict_sum("distance_lag").alias("dist"),
         count_if(hor == "Left").alias("left"),
         count_if(hor == "Right").alias("right"))
 
 
 def segment_geometry(sm: DataFrame) -> DataFrame:
-    """Per segment: the distinct spawn points (the union of point geometry),
-    sorted; missing points are left out."""
-    return sm.groupBy("PatternSegmentLabel").agg(
-        F.array_sort(F.collect_set("geometry")).alias("points"),
-        F.count_distinct("geometry").alias("n_points"))
+    """The distinct spawn points of each segment (the union of point geometry),
+    one row for each; missing points are left out.  Rows, not a list: a
+    segment may hold any number of points."""
+    p = sm.filter(F.col("geometry").isNotNull())
+    return p.select("PatternSegmentLabel", "geometry.x", "geometry.y").distinct()
 
 
 def in_set_flag(df: DataFrame, col: str = "MoleId", values: Sequence[str] = MEASURE_MOLES,
                 out: str = "measured") -> DataFrame:
-    """``measured = MoleId %in% measureMoles`` (never null)."""
+    """Flag the rows whose value is one of the measured ids (never null)."""
     return df.withColumn(out, in_set(col, values))
 
 

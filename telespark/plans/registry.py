@@ -101,13 +101,19 @@ def _strict_count(cond: str) -> str:
             f"ELSE CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT) END")
 
 
-def _micro_sql(c: str) -> str:
-    return f"CAST(round(CAST({c} AS DOUBLE) * 1000000.0) AS DECIMAL(38,0))"
+# Double sums depend on their order in the last bits: results (never inputs)
+# are rounded to single precision for the comparison, in queries and SQL.
+# (Decimal rounding would meet ties: many results are short decimals.)
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("float").cast("double") for c in cols})
+
+
+def _round_sql(x: str) -> str:
+    return f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
 
 
 def _nan_avg(c: str) -> str:
-    v = f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END"
-    return f"CAST(sum({_micro_sql(v)}) AS DOUBLE) / count({v}) / 1000000.0"
+    return _round_sql(f"avg(CASE WHEN isnan({c}) THEN NULL ELSE {c} END)")
 
 
 SUMMARY_SQL = with_prep(f"""
@@ -122,7 +128,7 @@ a AS (SELECT Participant, Condition,
    CAST(NULL AS DOUBLE) AS MeanGaze_y,
    CAST(NULL AS DOUBLE) AS MeanGaze_z,
    {_nan_avg("GazeConfidence")} AS MeanGazeConf,
-   CASE WHEN max(CASE WHEN Hz IS NULL THEN 1 ELSE 0 END) = 1 THEN NULL ELSE avg(Hz) END AS MeanHz,
+   CASE WHEN max(CASE WHEN Hz IS NULL THEN 1 ELSE 0 END) = 1 THEN NULL ELSE {_round_sql("avg(Hz)")} END AS MeanHz,
    {_strict_count("Event = 'Mole Spawned' AND MolePositionWorldX > 0")} AS MolesRight,
    {_strict_count("Event = 'Mole Spawned' AND MolePositionWorldX < 0")} AS MolesLeft
  FROM g GROUP BY Participant, Condition),
@@ -137,11 +143,14 @@ WHERE a.n_starts >= 1""")
 
 @register("session_summary", SUMMARY_SQL)
 def q_session_summary(spark, sf):
-    return summarize.session_summary(prepared(spark, sf))
+    return _rounded(summarize.session_summary(prepared(spark, sf)),
+                    "MeanGaze_x", "MeanGaze_y", "MeanGaze_z", "MeanGazeConf", "MeanHz")
 
 
 def _label_sql(*cols: str) -> str:
-    parts = [f"coalesce(regexp_replace(CAST({c} AS VARCHAR), '^(-?[0-9]+)\\.0$', '\\1'), 'NA')"
+    text = ("MoleId", "Condition", "Event")
+    parts = [f"coalesce({c}, 'NA')" if c in text else
+             f"coalesce(regexp_replace(CAST({c} AS VARCHAR), '^(-?[0-9]+)\\.0$', '\\1'), 'NA')"
              for c in cols]
     return " || ' ' || ".join(parts)
 
@@ -221,20 +230,19 @@ def q_travel_direction(spark, sf):
 @register("segment_summary", with_prep(spawn_sql() + f"""
 SELECT PatternSegmentLabel,
   CASE WHEN max(CASE WHEN distance_lag IS NULL THEN 1 ELSE 0 END) = 1 THEN NULL
-       ELSE CAST(sum({_micro_sql("distance_lag")}) AS DOUBLE) / 1000000.0 END AS dist,
+       ELSE {_round_sql("sum(distance_lag)")} END AS dist,
   {_strict_count("travelLeadHor = 'Left'")} AS "left",
   {_strict_count("travelLeadHor = 'Right'")} AS "right"
 FROM sm GROUP BY PatternSegmentLabel"""))
 def q_segment_summary(spark, sf):
-    return spatial.segment_summary(_spawn_travel(spark, sf))
+    return _rounded(spatial.segment_summary(_spawn_travel(spark, sf)), "dist")
 
 
 @register("segment_geometry", with_prep(spawn_sql() + """
-SELECT PatternSegmentLabel, count(DISTINCT CASE WHEN MolePositionWorldX IS NOT NULL AND MolePositionWorldY IS NOT NULL
-  THEN MolePositionWorldX || ',' || MolePositionWorldY END) AS n_points
-FROM sm GROUP BY PatternSegmentLabel"""))
+SELECT DISTINCT PatternSegmentLabel, MolePositionWorldX AS x, MolePositionWorldY AS y FROM sm
+WHERE MolePositionWorldX IS NOT NULL AND MolePositionWorldY IS NOT NULL"""))
 def q_segment_geometry(spark, sf):
-    return spatial.segment_geometry(_spawn_travel(spark, sf)).select("PatternSegmentLabel", "n_points")
+    return spatial.segment_geometry(_spawn_travel(spark, sf))
 
 
 MEASURE_SQL = ", ".join(f"'{m}'" for m in spatial.MEASURE_MOLES)
@@ -475,7 +483,12 @@ def _load(spark, sf, with_meta: bool):
     pats = logtree.KIND_PATTERNS
     raw = logs.load_logs(spark, root, event=pats["event"], sample=pats["sample"],
                          meta=pats["meta"] if with_meta else None, label="logs/")
-    return clean(raw)
+    return clean(_plain_keys(raw))
+
+
+def _plain_keys(df: DataFrame) -> DataFrame:
+    """The derived tree names its folders key=value; sessions go by the values."""
+    return df.withColumns({c: F.regexp_replace(c, "^[A-Za-z]+=", "") for c in ("i2", "i3")})
 
 
 META_SQL = with_telemetry("""
@@ -502,9 +515,8 @@ def q_load_logs_without_meta(spark, sf):
 
 # ---------------------------------------------------------------- scalars
 
-# The palette example of the colour lookup helper.
-T_LEVELS = (0.0, 0.2, 0.55, 0.85, 1.1)
-T_COLORS = ("g0", "g1", "g2", "g3", "g4")
+T_LEVELS = (0.1, 0.3, 0.5, 0.7)
+T_COLORS = ("low", "fair", "good", "high")
 
 
 @register("n_clip", with_telemetry("""
@@ -517,9 +529,8 @@ def q_n_clip(spark, sf):
 
 @register("t_color", with_telemetry("""
 SELECT RowId, CASE WHEN GazeConfidence IS NULL OR isnan(GazeConfidence) THEN NULL
-  WHEN GazeConfidence <= 0 THEN 'g0' WHEN GazeConfidence <= 0.2 THEN 'g1'
-  WHEN GazeConfidence <= 0.55 THEN 'g2' WHEN GazeConfidence <= 0.85 THEN 'g3'
-  WHEN GazeConfidence <= 1.1 THEN 'g4' END AS color FROM telemetry"""))
+  WHEN GazeConfidence <= 0.1 THEN 'low' WHEN GazeConfidence <= 0.3 THEN 'fair'
+  WHEN GazeConfidence <= 0.5 THEN 'good' WHEN GazeConfidence <= 0.7 THEN 'high' END AS color FROM telemetry"""))
 def q_t_color(spark, sf):
     return telemetry(spark, sf).select(
         "RowId", t_color("GazeConfidence", T_LEVELS, T_COLORS).alias("color"))
@@ -583,7 +594,7 @@ def q_cast_numeric(spark, sf):
      regr_slope(WorldGazeHitPositionX, GazeConfidence) AS b, regr_intercept(WorldGazeHitPositionX, GazeConfidence) AS a,
      min(GazeConfidence) AS lo, max(GazeConfidence) AS hi
    FROM telemetry GROUP BY Participant, Condition),
-g AS (SELECT *, unnest(generate_series(0, CAST(floor(hi * 100.0 - lo * 100.0) AS BIGINT))) AS k
+g AS (SELECT *, unnest(generate_series(0, CAST(floor(hi * 100.0 - lo * 100.0 + 1e-10) AS BIGINT))) AS k
    FROM s WHERE lo IS NOT NULL)
 SELECT Participant, Condition, (lo * 100.0 + k) / 100.0 AS x, a + b * ((lo * 100.0 + k) / 100.0) AS y FROM g"""))
 def q_p_lin(spark, sf):
@@ -617,8 +628,7 @@ def _stats_sql() -> str:
     rnd = [LMM_NULL, *LMM_RANDOM]
     vals = ["CAST(1 AS DOUBLE)"] + LMM_FIXED + LMM_RESPONSES
     m = len(vals)
-    mv = [f"CAST(round(CAST({v} AS DOUBLE) * 1000000.0) AS HUGEINT)" for v in vals]
-    sums = ", ".join(f"CAST(sum({mv[i]} * {mv[j]}) AS VARCHAR) AS s{i}_{j}"
+    sums = ", ".join(f"{_round_sql(f'sum({vals[i]} * {vals[j]})')} AS s{i}_{j}"
                      for i in range(m) for j in range(i, m))
     sets = ["()"] + [f"({r})" for r in rnd] + [
         f"({a}, {b})" for i, a in enumerate(rnd) for b in rnd[i + 1:]]
@@ -636,9 +646,7 @@ FROM cc GROUP BY GROUPING SETS ({", ".join(sets)})""")
 def q_mixed_stats(spark, sf):
     g, _, _ = mixed.stats_frame(_lmm_input(spark, sf), LMM_RESPONSES, LMM_FIXED,
                                 [LMM_NULL, *LMM_RANDOM])
-    # exact integer sums, shown as text so no engine rounds them
-    return g.select(*[F.col(c).cast("string").alias(c) if c.startswith("s") and "_" in c else F.col(c)
-                      for c in g.columns])
+    return _rounded(g, *[c for c in g.columns if c.startswith("s") and "_" in c])
 
 
 @register("lmm_scan_random")
@@ -679,11 +687,9 @@ def q_concat_label(spark, sf):
                                        .alias("label"))
 
 
-def _raw_kind(spark, sf, kind):
-    root = _log_tree(spark, sf)
-    base, every = logs.list_all(spark, root)
-    files = logs.select_files(base, every, logtree.KIND_PATTERNS[kind] + r"\.csv$")
-    return logs.read_kind(spark, files, kind, base, "logs/")
+def _scan(spark, sf) -> logs.LogScan:
+    patterns = {k: p + r"\.csv$" for k, p in logtree.KIND_PATTERNS.items()}
+    return logs.scan(spark, _log_tree(spark, sf), patterns, label="logs/")
 
 
 RAW_COLS = ["Timestamp", "Event", "SessionID", "MoleId", "Framecount"]
@@ -693,7 +699,8 @@ RAW_SQL = """strftime(t.Timestamp, '%Y-%m-%d %H:%M:%S.%f') AS Timestamp, t.Event
 
 @register("union_logs", with_telemetry(f"SELECT {RAW_SQL} FROM telemetry t"))
 def q_union_logs(spark, sf):
-    return logs.union_logs(_raw_kind(spark, sf, "event"), _raw_kind(spark, sf, "sample")).select(*RAW_COLS)
+    s = _scan(spark, sf)
+    return logs.union_logs(s.table("event"), s.table("sample")).select(*RAW_COLS)
 
 
 @register("merge_logs", with_telemetry(f"""
@@ -704,8 +711,9 @@ SELECT {RAW_SQL}, lower(fm.SessionID) || '@example.org' AS MetaEmail,
   CAST(fm.Participant AS VARCHAR) AS i2, fm.Condition AS i3
 FROM telemetry t LEFT JOIN fm ON t.SessionID IS NOT DISTINCT FROM fm.SessionID AND fm.r = 1"""))
 def q_merge_logs(spark, sf):
-    meta = logs.meta_rename(logs.path_split(_raw_kind(spark, sf, "meta"), keep=False).drop("RowId"))
-    m = logs.merge_logs(meta, _raw_kind(spark, sf, "event"), _raw_kind(spark, sf, "sample"))
+    s = _scan(spark, sf)
+    meta = logs.meta_rename(logs.path_split(s.table("meta"), keep=False).drop("RowId"))
+    m = _plain_keys(logs.merge_logs(meta, s.table("event"), s.table("sample")))
     return m.select(*RAW_COLS, "MetaEmail", "i2", "i3")
 
 
@@ -713,13 +721,10 @@ def q_merge_logs(spark, sf):
 , k AS (SELECT DISTINCT Participant, Condition, CASE WHEN Event = 'Sample' THEN 'Sample' ELSE 'Event' END AS kind
         FROM telemetry
         UNION SELECT DISTINCT Participant, Condition, 'Meta' AS kind FROM telemetry)
-SELECT 'logs' AS i0, '' AS i1, CAST(Participant AS VARCHAR) AS i2, Condition AS i3, kind AS i4 FROM k"""))
+SELECT 'logs' AS i0, '' AS i1, 'Participant=' || CAST(Participant AS VARCHAR) AS i2,
+  'Condition=' || Condition AS i3, 'kind=' || kind AS i4 FROM k"""))
 def q_path_split(spark, sf):
-    root = _log_tree(spark, sf)
-    base, every = logs.list_all(spark, root)
-    rel = [f[len(base) + 1:] for f in every]
-    files = spark.createDataFrame([(f"logs//{r}",) for r in rel], "filename string")
-    return logs.path_split(files).select("i0", "i1", "i2", "i3", "i4").distinct()
+    return logs.path_split(_scan(spark, sf).files).select("i0", "i1", "i2", "i3", "i4").distinct()
 
 
 _CLEAN: dict[tuple[str, str], tuple] = {}

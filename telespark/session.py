@@ -30,7 +30,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     conf = dict(DEFAULT_CONF)
     if master and master.startswith("local"):
         # Local mode runs every task in the driver JVM.
-        conf["spark.driver.memory"] = os.environ.get("TELESPARK_DRIVER_MEMORY", "16g")
+        conf["spark.driver.memory"] = os.environ.get("TELESPARK_DRIVER_MEMORY", "8g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -46,11 +46,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``; it is read from the
-    session.  Only when it is unset (local tests) a scratch folder is created.
+    session.  Where it is unset a scratch folder is created in local mode only:
+    on a cluster, every executor would write to a disk of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="telespark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -6,29 +6,32 @@ path (by default the name ends in ``Event.csv``, ``Sample.csv`` or
 missing.  Files of one kind may have different headers: columns are matched
 by *name*, missing ones are null.
 
-Spark's CSV reader applies one header to every file of a scan, by position,
-so files are grouped by header first: a light text scan takes the first
-line of every file (the smallest row id of the split at byte 0), then each
-header group is one CSV scan with its own all-text schema, and the groups
-are unioned by name.  No file is opened on the driver; only the file index
-(path, header) passes through it, as it does for Spark's own file listing.
-
-````RowId`` records load order - kind (event before sample before meta), file
-path, position in the file - as a sortable struct taken in the scan itself,
-and is the tie-breaker for equal timestamps.
+One text scan takes every line with its path and place, and writes them to
+Parquet in the shared folder: the files are read once, and many small files
+become few large ones.  The first line of each file (smallest row id of the
+split at byte 0) is its header; only the *distinct* headers reach the driver.
+Each line is parsed with its own file's header, so files of any mix of
+headers are one scan.
+
+``RowId`` records load order - kind (event before sample before meta), path,
+position in the file - as a sortable struct and is the tie-breaker for equal
+timestamps.
 """
 
 from __future__ import annotations
 
 import csv
 import logging
-import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telespark.session import scratch_path
+
 log = logging.getLogger(__name__)
 
 # Metadata columns renamed before the merge (they clash with
@@ -40,116 +43,103 @@ UNDERSCORE_PIECES = ("i5", "i6", "i7", "i8", "i9")
 KIND_RANK = {"event": 0, "sample": 1, "meta": 2}
 
 
-# ------------------------------------------------------------------ listing
-
-def _norm(path: str) -> str:
-    # "file:///x" and "file:/x" name the same local file; keep one spelling
-    return re.sub(r"^file:///", "file:/", path)
-
-
-def list_all(spark: SparkSession, root: str) -> tuple[str, list[str]]:
-    """Qualified root and every (non-hidden) file below it, listed by
-    Spark's own file index in the JVM (parallel on large trees)."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = _norm(fs.makeQualified(path).toString().rstrip("/"))
-    files = spark.read.option("recursiveFileLookup", "true").format("text").load(root).inputFiles()
-    return base, sorted(_norm(f) for f in files)
-
+# ------------------------------------------------------------------ scanning
 
-def select_files(base: str, files: Sequence[str], pattern: str) -> list[str]:
-    """Files whose path relative to ``base`` matches ``pattern`` (a regex,
-    searched as R's ``list.files`` does; with the default ``<kind>\\.csv$``
-    only the file name matters)."""
-    rx = re.compile(pattern)
-    cut = len(base) + 1
-    return [f for f in files if rx.search(f[cut:] if f.startswith(base + "/") else f)]
+def _path() -> Column:
+    """Path of the file a row comes from, as its folders are really named
+    (the metadata column escapes spaces and other characters)."""
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^file:///", "file:/")
 
 
-def list_files(spark: SparkSession, root: str, pattern: str) -> tuple[str, list[str]]:
-    """Qualified root and the sorted files below it matching ``pattern``."""
-    base, files = list_all(spark, root)
-    return base, select_files(base, files, pattern)
+def _base(spark: SparkSession, root: str) -> str:
+    """The root as it stands at the start of every path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full.replace("file:///", "file:/", 1).rstrip("/")
 
 
-# ------------------------------------------------------------------ reading
+def _names(line: str, sep: str) -> list[str]:
+    return [n.strip() for n in next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])]
 
-def _parse_header(line: str, sep: str) -> tuple[str, ...]:
-    names = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])
-    return tuple(n.strip() for n in names)
 
+@dataclass
+class LogScan:
+    """Every line of the matching files below a root.
 
-def file_headers(spark: SparkSession, files: Sequence[str], sep: str = ";") -> dict[str, tuple]:
-    """Header (first line) of every non-empty file, from one text scan: the
-    first line is the row with the smallest id in the split starting at
-    byte 0.  Returns one entry per file (file-index sized, like the listing)."""
-    lines = spark.read.text(list(files)).select(
-        "value", F.regexp_replace("_metadata.file_path", "^file:///", "file:/").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_blk"),
-        F.monotonically_increasing_id().alias("_id"))
-    heads = (lines.filter(F.col("_blk") == 0).groupBy("_path")
-             .agg(F.min_by("value", "_id").alias("_h")))
-    return {r["_path"]: _parse_header(r["_h"] or "", sep) for r in heads.collect()}
-
-
-def read_kind(spark: SparkSession, files: Sequence[str], kind: str, root: str,
-              label: str, sep: str = ";", headers: dict[str, tuple] | None = None
-              ) -> DataFrame | None:
-    """All files of one kind as one text table, columns matched by name.
-
-    Files are grouped by header; each group is one CSV scan with its own
-    all-text schema, and the groups are unioned by name.  Adds ``filename``
-    (``label`` + "/" + path below the root, as R's ``list.files(full.names=
-    TRUE)`` spells it) and ``RowId`` = (kind, file number, split start, row
-    id in the split) - the load order.  Empty files contribute nothing;
-    ``None`` if no file has a header.
+    ``lines``: kind, path, split, row, value, header (the file's first line);
+    ``files``: kind, path, filename - one row for each non-empty file;
+    ``headers``: the distinct first lines of each kind.
     """
-    if not files:
-        return None
-    if headers is None:
-        headers = file_headers(spark, files, sep)
-    groups: dict[tuple, list[str]] = {}
-    for path in sorted(files):
-        if path in headers:
-            groups.setdefault(headers[path], []).append(path)
-    if not groups:
-        return None
-    file_no = spark.createDataFrame([(p, i) for i, p in enumerate(sorted(files))],
-                                    "_path string, _fno long")
-    parts = []
-    for names, paths in groups.items():
-        uniq = list(dict.fromkeys(n for n in names if n))
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in uniq])
-        d = (spark.read.schema(schema)
-             .options(sep=sep, header=True, nullValue="NULL", enforceSchema=True, mode="PERMISSIVE")
-             .csv(paths))
-        parts.append(d.select(
-            *[F.when(F.col(n) != "", F.col(n)).alias(n) for n in uniq],
-            F.regexp_replace("_metadata.file_path", "^file:///", "file:/").alias("_path"),
-            F.col("_metadata.file_block_start").alias("_blk"),
-            F.monotonically_increasing_id().alias("_id")))
-    d = parts[0]
-    for p in parts[1:]:
-        d = d.unionByName(p, allowMissingColumns=True)
-    d = d.join(file_no, "_path", "left")
-    rel = F.substring(F.col("_path"), len(root) + 2, 1 << 20)
-    row_id = F.struct(F.lit(KIND_RANK[kind]).alias("kind"), F.col("_fno").alias("file"),
-                      F.col("_blk").alias("split"), F.col("_id").alias("row"))
-    cols = [c for c in d.columns if c not in ("_path", "_blk", "_id", "_fno")]
-    return d.select(F.concat(F.lit(label + "/"), rel).alias("filename"), *cols,
-                    row_id.alias("RowId"))
+
+    lines: DataFrame
+    files: DataFrame
+    headers: dict[str, list[str]]
+    sep: str
+
+    def table(self, kind: str) -> DataFrame | None:
+        """All files of one kind as one text table with ``filename`` and
+        ``RowId``, columns matched by name; None if no file has a header."""
+        headers = self.headers.get(kind)
+        if not headers:
+            return None
+        d, parsed = self.lines.filter((F.col("kind") == kind) & ~F.col("first")), {}
+        for i, line in enumerate(headers):
+            names = _names(line, self.sep)
+            fields, seen = [], set()
+            for k, n in enumerate(names):  # unnamed and repeated columns only keep their place
+                used = n if n and n not in seen else f"_skip{k}"
+                seen.add(n)
+                fields.append("`{}` string".format(used.replace("`", "``")))
+                if used == n:
+                    parsed.setdefault(n, []).append(f"_h{i}")
+            row = F.from_csv("value", ", ".join(fields), {"sep": self.sep, "nullValue": "NULL", "mode": "PERMISSIVE"})
+            d = d.withColumn(f"_h{i}", F.when(F.col("header") == line, row))
+        cols = [F.nullif(F.coalesce(*(F.col(h).getField(n) for h in hs)), F.lit("")).alias(n) for n, hs in parsed.items()]
+        row_id = F.struct(F.lit(KIND_RANK[kind]).alias("kind"), F.col("path").alias("file"),
+                          F.col("split"), F.col("row"))
+        return d.select("filename", *cols, row_id.alias("RowId"))
+
+
+def scan(spark: SparkSession, root: str, patterns: Mapping[str, str], sep: str = ";",
+         label: str | None = None) -> LogScan:
+    """Read the files below ``root`` whose relative path matches a kind's
+    pattern (a regular expression, searched as R's ``list.files`` does).
+
+    ``label`` is how the root is spelled in ``filename`` (R's
+    ``full.names=TRUE``).  ``root`` may be one file."""
+    base, label = _base(spark, root), root if label is None else label
+    d = spark.read.option("recursiveFileLookup", "true").text(root).select(
+        "value", _path().alias("path"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"))
+    below = F.col("path").startswith(base + "/")
+    rel = F.when(below, F.expr(f"substring(path, {len(base) + 2})")).otherwise(F.col("path"))
+    kind = F.lit(None).cast("string")
+    for k, pattern in reversed(patterns.items()):
+        kind = F.when(rel.rlike(pattern), k).otherwise(kind)
+    d = d.withColumn("filename", F.when(below, F.concat(F.lit(label + "/"), rel)).otherwise(F.lit(label)))
+    d = d.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    path = scratch_path(spark, f"lines-{uuid.uuid4().hex}")
+    d.write.option("compression", "zstd").parquet(path)
+    lines = spark.read.schema(d.schema).parquet(path)
+    heads = (lines.filter(F.col("split") == 0).groupBy("kind", "path", "filename")
+             .agg(F.min_by("value", "row").alias("header"), F.min("row").alias("_first")))
+    distinct = heads.filter(F.trim("header") != "").select("kind", "header").distinct().collect()
+    headers: dict[str, list[str]] = {}
+    for r in sorted(distinct):
+        headers.setdefault(r["kind"], []).append(r["header"])
+    lines = lines.join(heads.select("path", "header", "_first"), "path").filter(F.trim("value") != "")
+    first = (F.col("split") == 0) & (F.col("row") == F.col("_first"))
+    return LogScan(lines.withColumn("first", first).drop("_first"), heads.select("kind", "path", "filename"), headers, sep)
 
 
 def path_split(df: DataFrame, col: str = "filename", keep: bool = True) -> DataFrame:
-    """``separate`` the path on "_" into i5..i9 and on "/" into i0..i4:
-    extra pieces dropped, missing ones null.  Hive-style directory names
-    (``key=value``, as written by ``partitionBy``) contribute their value."""
+    """Split the path on "_" into i5..i9 and on "/" into i0..i4, as the pieces
+    stand; extra pieces are dropped, missing ones are null."""
     us = F.split(F.col(col), "_")
     sl = F.split(F.col(col), "/")
     pieces = {n: F.get(us, i) for i, n in enumerate(UNDERSCORE_PIECES)}
-    pieces.update({n: F.regexp_replace(F.get(sl, i), r"^[A-Za-z_][A-Za-z0-9_]*=", "")
-                   for i, n in enumerate(SLASH_PIECES)})
+    pieces.update({n: F.get(sl, i) for i, n in enumerate(SLASH_PIECES)})
     d = df.withColumns(pieces)
     return d if keep else d.drop(col)
 
@@ -165,18 +155,10 @@ def meta_rename(meta: DataFrame) -> DataFrame:
     return meta.withColumnsRenamed(META_RENAMES)
 
 
-def paths_as_meta(spark: SparkSession, tables: Sequence[DataFrame | None]) -> DataFrame:
+def paths_as_meta(scanned: LogScan) -> DataFrame:
     """Without metadata files: the list of read files is the metadata (path
     pieces, no session id)."""
-    parts = [t.select("filename").distinct() for t in tables if t is not None]
-    if not parts:
-        schema = T.StructType([T.StructField("filename", T.StringType())])
-        files = spark.createDataFrame([], schema)
-    else:
-        files = parts[0]
-        for p in parts[1:]:
-            files = files.unionByName(p)
-        files = files.distinct()
+    files = scanned.files.filter(F.col("kind") != "meta").select("filename")
     return path_split(files).withColumn("SessionID", F.lit(None).cast("string"))
 
 
@@ -232,31 +214,19 @@ def load_logs(spark: SparkSession, root: str, event: str | None = "Event",
     ``label`` is how the root is spelled in ``filename`` (default: ``root``
     as given), which fixes the positions of the path pieces i0..i4.
     """
-    label = root if label is None else label
-    tables = {}
-    base, every = list_all(spark, root)
-    kinds = {kind: select_files(base, every, pat + r"\.csv$")
-             for kind, pat in (("event", event), ("sample", sample), ("meta", meta)) if pat}
-    wanted = sorted({f for fs in kinds.values() for f in fs})
-    headers = file_headers(spark, wanted, sep) if wanted else {}   # one scan for all kinds
-    for kind in ("event", "sample", "meta"):
-        files = kinds.get(kind)
-        tables[kind] = read_kind(spark, files, kind, base, label, sep, headers) if files else None
-    if meta is not None and tables["meta"] is not None:
-        m = meta_rename(path_split(tables["meta"], keep=False).drop("RowId"))
-    else:
-        m = paths_as_meta(spark, [tables["event"], tables["sample"]])
-    return merge_logs(m, tables["event"], tables["sample"])
+    patterns = {k: p + r"\.csv$" for k, p in (("event", event), ("sample", sample), ("meta", meta)) if p}
+    scanned = scan(spark, root, patterns, sep, label)
+    info = scanned.table("meta") if meta is not None else None
+    info = paths_as_meta(scanned) if info is None else meta_rename(path_split(info, keep=False).drop("RowId"))
+    return merge_logs(info, scanned.table("event"), scanned.table("sample"))
 
 
 def load_triplet(spark: SparkSession, meta_path: str, event_path: str, sample_path: str,
-                 sep: str = ";") -> DataFrame:
+                 sep: str = ";", pattern: str = r"\.csv$") -> DataFrame:
     """Read one metadata/event/sample triple given as paths (files or
-    directories) and merge them (``LoadFromFilePaths``, as intended)."""
-    def read(path, kind):
-        base, files = list_files(spark, path, r"\.csv$")
-        return read_kind(spark, files, kind, base, path, sep)
-    m = read(meta_path, "meta")
-    m = meta_rename(m.drop("RowId", "filename")) if m is not None else \
-        spark.createDataFrame([], "SessionID string")
-    return merge_logs(m, read(event_path, "event"), read(sample_path, "sample"), on="SessionID")
+    directories) and merge them on the session id (``LoadFromFilePaths``, as
+    intended)."""
+    m, e, s = (scan(spark, p, {k: pattern}, sep).table(k)
+               for k, p in (("meta", meta_path), ("event", event_path), ("sample", sample_path)))
+    m = meta_rename(m.drop("RowId", "filename")) if m is not None else spark.createDataFrame([], "SessionID string")
+    return merge_logs(m, e, s, on="SessionID")

@@ -2,7 +2,8 @@
 
 Rows go to ``<root>/Participant=<p>/Condition=<c>/kind=<Event|Sample|Meta>/``
 as ``;``-separated text with a header, ``NULL`` for missing values and
-timestamps with microseconds.  Used to derive log files from the driver
+timestamps with microseconds; half of the sessions have their columns in
+another order.  Used to derive log files from the driver
 tables so the loader is exercised on data that grows with them.
 """
 
@@ -33,8 +34,12 @@ def write_log_tree(logs: DataFrame, root: str, keys=("Participant", "Condition")
     body = logs.drop("RowId").withColumn("kind", kind)
     meta = session_meta(logs, keys).withColumn("kind", F.lit("Meta"))
     opts = dict(sep=";", header=True, nullValue="NULL", timestampNTZFormat=TS_FORMAT)
+    # Two logger versions: sessions of the second write their columns in reverse.
+    second = F.pmod(F.xxhash64(*keys), F.lit(2)) == 1
     for part in (body, meta):
-        # one file per session and kind, as a logger writes them
-        (part.repartition(*keys, "kind").write.mode("append")
-         .partitionBy(*keys, "kind").options(**opts).csv(root))
+        parts = [*keys, "kind"]
+        turned = part.select(*reversed([c for c in part.columns if c not in parts]), *parts)
+        for version in (part.filter(~second), turned.filter(second)):
+            # one file per session and kind, as a logger writes them
+            (version.repartition(*parts).write.mode("append").partitionBy(*parts).options(**opts).csv(root))
     return root

@@ -84,3 +84,21 @@ def test_cast_numeric_and_integer(spark):
     assert [r.d for r in got][:5] == [1.5, -2.0, None, None, 1000.0]
     assert math.isinf(got[5].d)
     assert [r.i for r in got] == [1, -2, None, None, 1000, None, 3, None]
+
+
+def test_means_keep_small_and_infinite_values(spark):
+    for values, want in (([2e-7, 2e-7], 2e-7), ([1.0, math.inf], math.inf), ([1.0, math.nan, None, 3.0], 2.0), ([1e14, 3e14], 2e14), ([None], None)):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        assert df.agg(mean_narm("x").alias("m")).first().m == want
+
+
+def test_line_reaches_the_last_step(spark):
+    from telespark.operators.fit import p_lin
+    df = spark.createDataFrame([(0.0, 1.0), (0.29, 2.0)], "x double, y double")
+    got = p_lin(df, "y", "x").orderBy("x").collect()
+    assert len(got) == 30 and abs(got[-1].x - 0.29) < 1e-12 and abs(got[-1].y - 2.0) < 1e-9
+
+
+def test_labels_keep_text_as_it_is(spark):
+    df = spark.createDataFrame([(1.0, "2.0")], "p double, m string")
+    assert df.select(concat_label("p", "m")).first()[0] == "1 2.0"

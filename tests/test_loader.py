@@ -96,3 +96,29 @@ def test_load_triplet(spark, tree):
     assert len(rows) == 5                         # 2 events + 3 samples
     assert {r.MetaEmail for r in rows if r.SessionID == "S1"} == {"a@x"}
     assert [r.MetaEmail for r in rows if r.SessionID is None] == [None]
+
+
+def test_folder_names_are_taken_as_they_are(spark):
+    root = tempfile.mkdtemp(prefix="telespark-logs-") + "/my logs"
+    body = "Timestamp;Event;SessionID\n2024-01-01 10:00:01;Game Started;S1\n"
+    _write(f"{root}/0/Test Condition 2/log_1_Event.csv", body)
+    _write(f"{root}/0/dose=5/log_1_Event.csv", body)
+    _write(f"{root}/0/50% + #1/log_1_Event.csv", body)
+    got = {r.Condition for r in clean(logs.load_logs(spark, root, meta=None, label="testdata3/")).collect()}
+    assert got == {"Test Condition 2", "dose=5", "50% + #1"}
+
+
+def test_odd_headers(spark):
+    root = tempfile.mkdtemp(prefix="telespark-logs-")
+    _write(f"{root}/a/1_Event.csv", "\ufeffEvent;;SessionID;Event;a.b `c`\nx;skip;S1;again;1\n\n   \ny;;S1\n\"q;1\";2;S2;3;4;5\n")
+    _write(f"{root}/a/2_Event.csv", "SessionID;Event\n")
+    rows = logs.load_logs(spark, root, meta=None).collect()
+    got = sorted((r.Event, r.SessionID, r["a.b `c`"]) for r in rows if r.Event)
+    assert got == [("q;1", "S2", "4"), ("x", "S1", "1"), ("y", "S1", None)]
+
+
+def test_nan_is_missing(spark):
+    raw = spark.createDataFrame([("2024-01-01 10:00:00", "Mole Spawned", "NaN", "NaN"), ("2024-01-01 10:00:01", "Mole Spawned", "Inf", "1")],
+                                "Timestamp string, Event string, MolePositionWorldX string, Participant string")
+    got = clean(raw).select("MolePositionWorldX", "Participant").collect()
+    assert got[0].MolePositionWorldX is None and got[0].Participant is None and got[1].MolePositionWorldX == float("inf")

@@ -37,7 +37,7 @@ def test_sample_rate_stream(spark):
                                         ("2024-01-01 10:00:01.2", "NULL", "S1"),
                                         ("2024-01-01 10:00:30.0", "Sample", "S1")])
     rates = S.sample_rate_stream(S.log_stream(spark, logs, "Sample", COLS))
-    q = (rates.writeStream.format("memory").queryName("hz_test").outputMode("append")
+    q = (rates.writeStream.format("memory").queryName("hz_test").outputMode("complete")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     got = {str(r.second): r.Hz for r in spark.sql("SELECT * FROM hz_test").collect()}
