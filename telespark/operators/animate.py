@@ -244,6 +244,29 @@ def anim_layers(dense: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (dense.filter(F.col("name") == ACTIVE_MOLE), dense.filter(F.col("name") == LASER))
 
 
+# Fixed value: marker size of an entity of size 1.
+MARKER = 32.0
+
+
+def anim_frames(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second") -> DataFrame:
+    """What the animation draws: the still spawn points (no frame) and, for
+    each frame (second), the target and laser markers."""
+    keys = _keys(spec)
+    points = distinct_spawn_points(prep, spec).select(
+        F.lit("Spawn Points").alias("layer"), *keys, F.lit(None).cast("double").alias("frame"), F.col("MoleId").alias("id"),
+        F.col(X).alias("x"), F.col(Y).alias("y"), F.lit(MARKER).alias("marker_size"))
+    targets, lasers = anim_layers(densify(prep, spec, unit))
+    moving = targets.unionByName(lasers).select(
+        F.col("name").alias("layer"), *keys, F.col("second").alias("frame"), "id", "x", "y", (F.col("size") * MARKER).alias("marker_size"))
+    return points.unionByName(moving)
+
+
+def track_points(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second") -> DataFrame:
+    """Horizontal position over time of the laser and of the targets."""
+    cols = [*_keys(spec), "name", "second", "x"]
+    return laser_per_second(prep, spec, unit).select(*cols).unionByName(mole_activity(prep, spec, unit).select(*cols))
+
+
 def distinct_spawn_points(prep: DataFrame, spec: SessionSpec = DEFAULT) -> DataFrame:
     """Game rows, first row per (session, MoleId) (``distinct(MoleId, .keep_all=T)``)."""
     first = F.min_by(F.struct(F.col(X).alias(X), F.col(Y).alias(Y), F.col(spec.tie).alias(spec.tie)),

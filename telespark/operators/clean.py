@@ -8,6 +8,8 @@ typed nulls so downstream operators see a stable schema.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +43,18 @@ def conform(df: DataFrame) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
+def reorder(df: DataFrame, first: Sequence[str] = ("Timestamp", "Event")) -> DataFrame:
+    """The named columns first, the others after them in their order."""
+    return df.select(*first, *[c for c in df.columns if c not in first])
+
+
+def sort_time(df: DataFrame, ts: str = "Timestamp", tie: str = "RowId") -> DataFrame:
+    """Rows in time order, missing times last, load order on ties: ranges of
+    time in separate partitions, each sorted (files written from it prune by time)."""
+    order = [F.col(ts).asc_nulls_last(), F.col(tie)]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def clean(raw: DataFrame, participant: str = "i2", condition: str = "i3") -> DataFrame:
     """Typed table from the merged text logs.
 
@@ -57,6 +71,4 @@ def clean(raw: DataFrame, participant: str = "i2", condition: str = "i3") -> Dat
     if "Participant" in d.columns:
         casts["Participant"] = nan_to_null(cast_numeric("Participant"))
     casts.update({c: nan_to_null(cast_numeric(c)) for c in NUMERIC_COLUMNS if c in d.columns})
-    d = conform(d.withColumns(casts))
-    first = ["Timestamp", "Event"]
-    return d.select(*first, *[c for c in d.columns if c not in first])
+    return reorder(conform(d.withColumns(casts)))

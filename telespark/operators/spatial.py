@@ -59,6 +59,13 @@ def travel_direction(sp: DataFrame, spec: SessionSpec = DEFAULT,
     return d.withColumns({"travelLeadHor": hor, "travelLeadVer": ver}).drop("_nx", "_ny")
 
 
+def geometry_lead(sp: DataFrame, spec: SessionSpec = DEFAULT) -> DataFrame:
+    """Point of the next spawn of the same session; null for the last one."""
+    d = ordered.shift(sp, spec.keys, spec.ts, spec.tie, {X: "_nx", Y: "_ny"}, lead=True, unit=spec.unit)
+    d = ordered.drop_scan_keys(d)
+    return d.withColumn("geometry_lead", make_point("_nx", "_ny")).drop("_nx", "_ny")
+
+
 def spawn_travel(prep: DataFrame, spec: SessionSpec = DEFAULT, scope: str = "global") -> DataFrame:
     """``Sm``: spawns with distance to the previous and direction to the next."""
     return travel_direction(travel_distance(spawns(prep, spec), spec), spec, scope=scope)
@@ -97,6 +104,11 @@ def travel_points(sm: DataFrame) -> DataFrame:
                     "PatternSegmentLabel", "measured")
 
 
+def measured_points(sm: DataFrame) -> DataFrame:
+    """The travel points of the measured ids."""
+    return travel_points(sm).filter("measured")
+
+
 def spawn_points(prep: DataFrame, spec: SessionSpec = DEFAULT) -> DataFrame:
     """Game rows with position, segment and hover label (spawn-point check)."""
     return prep.filter(F.col("PlayPeriod") == "Game").select(

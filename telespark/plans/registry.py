@@ -14,11 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telespark.functions.scalars import concat_label, n_clip, t_color
-from telespark.functions.time import (NUMERIC_TEXT, TIMESTAMP_PREFIX, cast_integer, cast_numeric,
-                                      parse_timestamp)
+from telespark.functions.scalars import concat_label, if_else, n_clip, null_to_zero, t_color
+from telespark.functions.time import (NUMERIC_TEXT, TIMESTAMP_PREFIX, add_seconds, cast_integer,
+                                      cast_numeric, format_time, parse_timestamp)
 from telespark.operators import animate, fit, mixed, sessions, spatial, summarize
-from telespark.operators.clean import clean, conform
+from telespark.operators.clean import clean, conform, reorder, sort_time
 from telespark.plans.oracle import delta, with_prep, with_telemetry
 from telespark.session import scratch_path
 from telespark.sources import logs, logtree, sinks
@@ -727,15 +727,113 @@ def q_path_split(spark, sf):
     return logs.path_split(_scan(spark, sf).files).select("i0", "i1", "i2", "i3", "i4").distinct()
 
 
-_CLEAN: dict[tuple[str, str], tuple] = {}
-
-
 @register("sink_clean", with_prep(f"SELECT {_sel(PREP_COLS)} FROM prep"))
 def q_sink_clean(spark, sf):
     """Prepared table written partitioned by session, read back with its schema."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _CLEAN:
-        path = scratch_path(spark, f"clean-{uuid.uuid4().hex}")
-        _CLEAN[key] = (path, sinks.write_clean(prepared(spark, sf).select(*PREP_COLS), path))
-    path, schema = _CLEAN[key]
+    path = scratch_path(spark, f"clean-{uuid.uuid4().hex}")
+    schema = sinks.write_clean(prepared(spark, sf).select(*PREP_COLS), path)
     return sinks.read_clean(spark, path, schema)
+
+
+@register("sink_raw", with_telemetry(f"SELECT {RAW_SQL}, lower(t.SessionID) || '@example.org' AS MetaEmail FROM telemetry t"))
+def q_sink_raw(spark, sf):
+    """Merged text logs written as loaded and read back."""
+    pats, path = logtree.KIND_PATTERNS, scratch_path(spark, f"raw-{uuid.uuid4().hex}")
+    raw = logs.load_logs(spark, _log_tree(spark, sf), **pats, label="logs/")
+    sinks.write_raw(raw, path)
+    return spark.read.parquet(path).select(*RAW_COLS, "MetaEmail")
+
+
+@register("load_triplet", with_telemetry(f"SELECT {RAW_SQL}, lower(t.SessionID) || '@example.org' AS MetaEmail FROM telemetry t"))
+def q_load_triplet(spark, sf):
+    root = _log_tree(spark, sf)
+    d = logs.load_triplet(spark, *(f"{root}/*/*/kind={k}" for k in ("Meta", "Event", "Sample")))
+    return d.select(*RAW_COLS, "MetaEmail")
+
+
+@register("scan_union_files", with_telemetry(f"SELECT {RAW_SQL} FROM telemetry t WHERE t.Event IS DISTINCT FROM 'Sample'"))
+def q_scan_union_files(spark, sf):
+    """Event files of two logger versions, columns matched by name."""
+    return _scan(spark, sf).table("event").select(*RAW_COLS)
+
+
+# ---------------------------------------------------------------- outputs and row helpers
+
+@register("geometry_lead", with_prep(spawn_sql() + f"""
+, gl AS (SELECT RowId, lead(MolePositionWorldX) OVER ({sessions_sql_window()}) AS x, lead(MolePositionWorldY) OVER ({sessions_sql_window()}) AS y FROM sp)
+SELECT RowId, CASE WHEN y IS NOT NULL THEN x END AS next_x, CASE WHEN x IS NOT NULL THEN y END AS next_y FROM gl"""))
+def q_geometry_lead(spark, sf):
+    d = spatial.geometry_lead(spatial.spawns(prepared(spark, sf)))
+    return d.select("RowId", F.col("geometry_lead.x").alias("next_x"), F.col("geometry_lead.y").alias("next_y"))
+
+
+@register("filter_flag", with_prep(spawn_sql() + f"""
+SELECT Participant, Condition, RowId, MoleId, distance_lag AS distance,
+  CAST(trunc(TRY_CAST(MoleSpawnOrder AS DOUBLE)) AS INTEGER) AS spawn_order, PatternSegmentLabel, true AS measured
+FROM sm WHERE MoleId IN ({MEASURE_SQL})"""))
+def q_filter_flag(spark, sf):
+    return spatial.measured_points(_spawn_travel(spark, sf))
+
+
+@register("filter_session", with_prep(f"SELECT {_sel(PREP_COLS)} FROM prep WHERE Participant = 7 AND Condition = 'CondA'"))
+def q_filter_session(spark, sf):
+    """One session of the prepared table (the choice of a session is the feature)."""
+    return prepared(spark, sf).filter((F.col("Participant") == 7) & (F.col("Condition") == "CondA")).select(*PREP_COLS)
+
+
+@register("filter_name", with_anim(f"SELECT {_sel(DENSE_COLS)} FROM dense WHERE second <= total_time AND name = 'Laser'"))
+def q_filter_name(spark, sf):
+    return animate.anim_layers(animate.densify(prepared(spark, sf), unit=ANIM_UNIT))[1].select(*DENSE_COLS)
+
+
+@register("anti_laser", with_anim("SELECT Participant, Condition, second, id, x, y, size, name FROM laser_anti"))
+def q_anti_laser(spark, sf):
+    d = animate.laser_layer(prepared(spark, sf), unit=ANIM_UNIT)
+    return d.filter(F.col("has_hit").isNull()).select("Participant", "Condition", "second", "id", "x", "y", "size", "name")
+
+
+@register("anim_frames", with_anim("""
+SELECT 'Spawn Points' AS layer, Participant, Condition, CAST(NULL AS DOUBLE) AS frame, MoleId AS id, MolePositionWorldX AS x,
+  MolePositionWorldY AS y, CAST(32 AS DOUBLE) AS marker_size FROM (
+  SELECT *, row_number() OVER (PARTITION BY Participant, Condition, MoleId ORDER BY Timestamp ASC NULLS LAST, RowId) AS r
+  FROM prep WHERE PlayPeriod = 'Game') WHERE r = 1
+UNION ALL SELECT name, Participant, Condition, second, id, x, y, size * 32 FROM dense WHERE second <= total_time"""))
+def q_anim_frames(spark, sf):
+    return animate.anim_frames(prepared(spark, sf), unit=ANIM_UNIT)
+
+
+@register("track_points", with_prep(anim_sql("second", 1) + """
+SELECT Participant, Condition, name, second, x FROM ld UNION ALL SELECT Participant, Condition, name, second, x FROM md"""))
+def q_track_points(spark, sf):
+    return animate.track_points(prepared(spark, sf), unit="second")
+
+
+@register("sort_time", with_prep(f"SELECT {_sel(PREP_COLS)} FROM prep"))
+def q_sort_time(spark, sf):
+    return sort_time(prepared(spark, sf).select(*PREP_COLS))
+
+
+@register("reorder_cols", with_telemetry("SELECT Timestamp, Event, RowId, Participant, Condition, MoleId FROM telemetry"))
+def q_reorder_cols(spark, sf):
+    return reorder(telemetry(spark, sf).select("RowId", "Participant", "Timestamp", "Condition", "Event", "MoleId"))
+
+
+@register("if_else", with_telemetry("""
+SELECT RowId, CASE WHEN Event IS NULL THEN NULL WHEN Event = 'Mole Spawned' THEN 'shown' ELSE 'other' END AS state FROM telemetry"""))
+def q_if_else(spark, sf):
+    return telemetry(spark, sf).select("RowId", if_else(F.col("Event") == "Mole Spawned", F.lit("shown"), F.lit("other")).alias("state"))
+
+
+@register("null_to_zero", with_telemetry("SELECT RowId, coalesce(WorldGazeHitPositionX, 0) AS gaze FROM telemetry"))
+def q_null_to_zero(spark, sf):
+    return telemetry(spark, sf).select("RowId", null_to_zero("WorldGazeHitPositionX").alias("gaze"))
+
+
+@register("format_time", with_telemetry("SELECT RowId, strftime(Timestamp, '%Y-%m-%d %H:%M:%S') AS text FROM telemetry"))
+def q_format_time(spark, sf):
+    return telemetry(spark, sf).select("RowId", format_time("Timestamp").alias("text"))
+
+
+@register("add_seconds", with_telemetry("SELECT RowId, Timestamp + to_milliseconds(RowId * 500) AS later FROM telemetry"))
+def q_add_seconds(spark, sf):
+    return telemetry(spark, sf).select("RowId", add_seconds("Timestamp", F.col("RowId") / 2).alias("later"))

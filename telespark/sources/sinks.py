@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -11,10 +12,13 @@ def write_raw(raw: DataFrame, path: str) -> None:
     raw.write.mode("overwrite").parquet(path)
 
 
-def write_clean(prep: DataFrame, path: str, keys=("Participant", "Condition")) -> T.StructType:
+def write_clean(prep: DataFrame, path: str, keys=("Participant", "Condition"), ts: str = "Timestamp") -> T.StructType:
     """Cleaned table partitioned by session keys, so a per-session query
-    prunes to its directory.  Returns the schema to read it back with."""
-    prep.write.mode("overwrite").partitionBy(*keys).parquet(path)
+    prunes to its directory.  Rows are dealt out by session and day first: a
+    session's day is one file, and a long session is written by many tasks.
+    Returns the schema to read it back with."""
+    day = F.date_trunc("day", F.col(ts)) if ts in prep.columns else F.lit(0)
+    prep.repartition(*keys, day).write.mode("overwrite").partitionBy(*keys).parquet(path)
     return prep.schema
 
 
