@@ -123,4 +123,6 @@ def classify(docs: DataFrame, model: RuleModel, threshold: float = 0.3, id_col:
 def keep_good(docs: DataFrame, model: RuleModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs that the model predicts as label 1, with the columns of docs."""
     rows = with_statistics(docs.select(F.struct(*docs.columns).alias("row"), whole_text(text_col).alias("_text")), F.col("_text"))
-    return rows.where(model.score([F.col(c) for c in STATISTICS]) >= threshold).select("row.*")
+    good = model.score([F.col(c) for c in STATISTICS]) >= threshold
+    # A filter would be pushed below the statistics, which its every use of them would then compute anew.
+    return rows.select(F.explode(F.filter(F.array("row"), lambda _: good)).alias("row")).select("row.*")
