@@ -51,6 +51,7 @@ def p_lin(df: DataFrame, response: str, term: str, by: Sequence[str] = (),
 def _nknots(n: int) -> int:
     """Number of knots for n distinct x (the usual smoothing-spline rule:
     all of them up to 49, then slowly growing)."""
+    # The published rule.
     if n < 50:
         return n
     a1, a2, a3, a4 = np.log2(50), np.log2(100), np.log2(140), np.log2(200)
@@ -121,13 +122,14 @@ def smooth_spline(x: np.ndarray, w: np.ndarray, ybar: np.ndarray, spar: float) -
     """Penalised cubic B-spline fit at the distinct, sorted ``x`` with
     weights ``w`` (counts) and mean responses ``ybar``.  The smoothing
     parameter follows the ``spar`` scale: lambda = r * 256^(3*spar - 1),
-    r = tr(X'WX) / tr(Omega), on x rescaled to [0, 1]."""
+    r = tr(X'WX) / tr(Omega), on x rescaled to [0, 1].  Fewer than 4 distinct
+    x have no such curve: the fit is missing."""
     n = len(x)
     if n < 4:
-        return ybar.astype(float)
+        return np.full(n, np.nan)
     xs = (x - x[0]) / (x[-1] - x[0])
     nk = _nknots(n)
-    idx = np.round(np.linspace(0, n - 1, nk)).astype(int)
+    idx = np.linspace(1, n, nk).astype(int) - 1  # fractional places are cut off
     kn = xs[idx]
     t = np.concatenate([[kn[0]] * 3, kn, [kn[-1]] * 3])
     X = _bspline(xs, t)
@@ -158,7 +160,7 @@ def p_supsmu(df: DataFrame, response: str, term: str, by: Sequence[str] = (),
         y = smooth_spline(pdf["x"].to_numpy(float), pdf["w"].to_numpy(float),
                           pdf["ybar"].to_numpy(float), spar)
         out = pdf[keys + ["x"]].copy()
-        out["y"] = y
+        out["y"] = pd.Series(y, out.index).astype(object).where(~np.isnan(y), None)
         return out
 
     if keys:

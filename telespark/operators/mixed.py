@@ -1,32 +1,33 @@
 """Random-intercept linear mixed models by maximum likelihood, likelihood
 ratio tests, R-squared, and stepwise selection of random and fixed terms.
 
-Spark computes the sufficient statistics in one aggregation with grouping
-sets over all rows (partial aggregation, so row count and skew do not
-matter):
+One factor, the grouping factor, may have any number of levels and is never
+collected.  Its levels stay a Spark table with the row count and the sum of
+every column in each level.  For a relative scale theta of that factor, the
+profiled ML deviance
 
-* ``X'X, X'Y, Y'Y`` for every candidate fixed column and every response;
-* per level of each random factor: count, column sums, response sums;
-* for each pair of random factors: counts of co-occurring levels.
+    d(theta) = log|L|^2 + n (1 + log(2 pi r^2 / n))
 
-Every candidate model is a sub-matrix of these, so all fits of a selection
-run on the driver on matrices whose size depends on the number of levels
-and columns, not on the number of rows.  The profiled ML deviance for
-relative scales theta is (lme4's formulation)
+needs of this table only ``sum log(1 + theta^2 n_j)`` and the matrix
+``sum theta^2 / (1 + theta^2 n_j) a_j a_j'`` over the level sums ``a_j``: one
+aggregate over the level table and a grid of thetas gives both, and what comes
+to the driver is grid x columns^2 numbers, whatever the rows and levels.
+Finer grids around each model's best point follow.
 
-    d(theta) = log|L_theta|^2 + n (1 + log(2 pi r^2(theta) / n)),
+The other factors are categories; their levels are columns, as a text term's
+are, with scales of their own that are optimised in the small system.
 
-with ``L L' = Lambda Z'Z Lambda + I`` and ``r^2`` the penalised residual sum
-of squares; the largest factor forms a diagonal block that is eliminated
-first, so the dense work is only over the remaining levels and columns.
+Every comparison of two models uses the rows that are complete in the columns
+of that pair, and no other column.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from itertools import combinations
+import uuid
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,33 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telespark.functions.nulls import nan_to_null
+from telespark.session import scratch_path
 
 INTERCEPT = "(Intercept)"
+#: Relative scales of the grouping factor on the first grid; points of a finer grid, and how many follow.
+COARSE, FINE, GRIDS = (0.0, *np.geomspace(1e-3, 1e3, 33)), 17, 4
 
 
 # ------------------------------------------------------------------ statistics
 
-@dataclass
-class FactorStats:
-    levels: list
-    n: np.ndarray            # (q,)
-    zx: np.ndarray           # (q, P)
-    zy: np.ndarray           # (q, K)
-
-
-@dataclass
-class MixedStats:
-    n: int
-    columns: list[str]                       # design columns, intercept first
-    terms: dict[str, list[int]]              # fixed term -> its design columns
-    responses: list[str]
-    xx: np.ndarray
-    xy: np.ndarray
-    yy: np.ndarray
-    factors: dict[str, FactorStats] = field(default_factory=dict)
-    cross: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
-
-
 def _design(df: DataFrame, fixed: Sequence[str]) -> tuple[DataFrame, list[str], dict]:
     """Numeric terms as they are; text terms as treatment dummies (first
     level is the reference), levels read with one small distinct query."""
@@ -103,58 +86,132 @@ def stats_frame(df: DataFrame, responses: Sequence[str], fixed: Sequence[str],
     return g, columns, terms
 
 
-def mixed_stats(df: DataFrame, responses: Sequence[str], fixed: Sequence[str],
-                random: Sequence[str]) -> MixedStats:
-    """Sufficient statistics over the complete cases of all named columns
-    (one Spark aggregation, collected: its size does not grow with rows)."""
-    g, columns, terms = stats_frame(df, responses, fixed, random)
-    rows = g.collect()
-    p, m = len(columns), len(columns) + len(responses)
-    nr = len(random)
+def deviance_profile(df: DataFrame, response: str, term: str, group: str, thetas: Iterable[float]) -> DataFrame:
+    """(theta, n, deviance) of ``response ~ term + (1|group)`` over a grid of
+    scales, as aggregates alone: level sums, then one row for each theta."""
+    y, x = nan_to_null(response), nan_to_null(term)
+    rows = df.select(F.col(group).alias("g"), y.alias("y"), x.alias("x")).dropna()
+    sums = {"n": F.lit(1.0), "x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "xy": F.col("x") * F.col("y"), "yy": F.col("y") * F.col("y")}
+    levels = rows.groupBy("g").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    t2 = F.col("theta") * F.col("theta")
+    w = t2 / (1 + t2 * F.col("n"))
+    grid = levels.withColumn("theta", F.explode(F.array(*(F.lit(float(t)) for t in thetas))))
+    m = {"nn": ("n", "n", "n"), "nx": ("x", "n", "x"), "ny": ("y", "n", "y"), "xx": ("xx", "x", "x"), "xy": ("xy", "x", "y"), "yy": ("yy", "y", "y")}
+    tot = grid.groupBy("theta").agg(
+        F.sum("n").alias("n"), F.sum(F.log1p(t2 * F.col("n"))).alias("logdet"),
+        *(F.sum(F.col(a) - w * F.col(p) * F.col(q)).alias(f"m_{k}") for k, (a, p, q) in m.items()))
+    c = {k: F.col(f"m_{k}") for k in m}
+    det = c["nn"] * c["xx"] - c["nx"] * c["nx"]
+    r2 = c["yy"] - (c["xx"] * c["ny"] * c["ny"] - 2 * c["nx"] * c["ny"] * c["xy"] + c["nn"] * c["xy"] * c["xy"]) / det
+    return tot.select("theta", F.col("n").cast("long").alias("n"), (F.col("logdet") + F.col("n") * (1 + F.log(2 * math.pi * r2 / F.col("n")))).alias("deviance"))
 
-    def val(x):
-        return float(x) if x is not None else 0.0
 
-    def gram(row):
-        out = np.zeros((m, m))
-        for i in range(m):
-            for j in range(i, m):
-                out[i, j] = out[j, i] = val(row[f"s{i}_{j}"])
-        return out
-
-    def gid_of(grouped: set) -> int:
-        return sum(1 << (nr - 1 - i) for i, r in enumerate(random) if r not in grouped)
+@dataclass
+class Moments:
+    """Of one set of complete rows: count, products of all columns, and for
+    each theta the log determinant and the grouping factor's correction."""
 
-    by_gid: dict[int, list] = {}
-    for r in rows:
-        by_gid.setdefault(r["gid"], []).append(r)
-    top = by_gid[gid_of(set())][0]
-    gm = gram(top)
-    st = MixedStats(n=int(top["n"]), columns=columns,
-                    terms={t: [columns.index(c) for c in cs] for t, cs in terms.items()},
-                    responses=list(responses), xx=gm[:p, :p], xy=gm[:p, p:], yy=gm[p:, p:])
-    for r in random:
-        lv = sorted(by_gid.get(gid_of({r}), []), key=lambda x: x[r])
-        sums = np.array([[val(x[f"s0_{j}"]) for j in range(m)] for x in lv]).reshape(len(lv), m)
-        st.factors[r] = FactorStats(levels=[x[r] for x in lv],
-                                    n=np.array([x["n"] for x in lv], dtype=float),
-                                    zx=sums[:, :p], zy=sums[:, p:])
-    for a, b in combinations(random, 2):
-        fa, fb = st.factors[a], st.factors[b]
-        ia = {lv: k for k, lv in enumerate(fa.levels)}
-        ib = {lv: k for k, lv in enumerate(fb.levels)}
-        cnt = np.zeros((len(fa.levels), len(fb.levels)))
-        for x in by_gid.get(gid_of({a, b}), []):
-            cnt[ia[x[a]], ib[x[b]]] = x["n"]
-        st.cross[(a, b)] = cnt
-        st.cross[(b, a)] = cnt.T
-    return st
+    n: int
+    gram: np.ndarray
+    grid: dict[float, tuple[float, np.ndarray]] = field(default_factory=dict)
+
+
+class MixedData:
+    """Rows and columns that the candidate models of a selection use."""
+
+    def __init__(self, df: DataFrame, responses: Sequence[str], fixed: Sequence[str], group: str, factors: Sequence[str] = ()):
+        self.group, self.responses = group, list(responses)
+        used = list(dict.fromkeys([*responses, *fixed, *factors, group]))
+        types = dict(df.dtypes)
+        d = df.select(*[nan_to_null(c).alias(c) if types[c] in ("double", "float") else F.col(c) for c in used])
+        d, self.columns, terms = _design(d, fixed)
+        self.terms = {t: [self.columns.index(c) for c in cs] for t, cs in terms.items()}
+        values = {c: F.col(f"_x_{c}") for c in self.columns}
+        self.factors: dict[str, list[int]] = {}
+        for f in factors:  # categories: a column for each level
+            levels = sorted(r[0] for r in d.select(F.col(f).cast("string")).dropna().distinct().collect())
+            names = [f"{f}={lv}" for lv in levels]
+            values.update({n: (F.col(f).cast("string") == lv).cast("double") for n, lv in zip(names, levels)})
+            self.factors[f] = list(range(len(self.columns), len(self.columns) + len(names)))
+            self.columns += names
+        for r in responses:
+            values[f"y:{r}"] = F.col(r).cast("double")
+            self.columns.append(f"y:{r}")
+        # A value that is missing counts as 0: only rows complete in the columns of a pair enter its sums.
+        there = [F.col(c).isNotNull().alias(f"_has_{i}") for i, c in enumerate(used)]
+        self.has = {c: f"_has_{i}" for i, c in enumerate(used)}
+        self.rows = d.select(F.col(group).cast("string").alias("_g"), *there,
+                             F.array(*(F.coalesce(values[c], F.lit(0.0)) for c in self.columns)).alias("_v"))
+        self._known: dict[frozenset, Moments] = {}
+        self._levels: dict[frozenset, DataFrame] = {}
+        self._best: dict[tuple, tuple[float, np.ndarray]] = {}  # least deviance at a theta
+
+    def case(self, model: Model, response: str) -> frozenset:
+        return frozenset([response, self.group, *model.fixed, *model.random])
+
+    def _products(self, v) -> list:
+        m = len(self.columns)
+        return [v[i] * v[j] for i in range(m) for j in range(i, m)]
+
+    def _matrix(self, values: Sequence[float]) -> np.ndarray:
+        m = len(self.columns)
+        out = np.zeros((m, m))
+        out[np.triu_indices(m)] = [x or 0.0 for x in values]
+        return out + np.triu(out, 1).T
+
+    def moments(self, cases: Sequence[frozenset]) -> None:
+        """Row products and the level table of the given sets of complete rows, on the coarse grid."""
+        new = [c for c in dict.fromkeys(cases) if c not in self._known]
+        if not new:
+            return
+        spark, m = self.rows.sparkSession, len(self.columns)
+        fits = F.array(*(F.when(_all([F.col(self.has[x]) for x in sorted(c)]), F.lit(i)) for i, c in enumerate(new)))
+        d = self.rows.withColumn("_case", F.explode(F.array_compact(fits)))
+        v = [F.col("_v")[i] for i in range(m)]
+        for r in d.groupBy("_case").agg(F.count("*").alias("n"), F.array(*(F.sum(p) for p in self._products(v))).alias("g")).collect():
+            self._known[new[r["_case"]]] = Moments(r["n"], self._matrix(r["g"]))
+        for c in new:
+            self._known.setdefault(c, Moments(0, np.zeros((m, m))))
+        path = scratch_path(spark, f"levels-{uuid.uuid4().hex}")
+        d.groupBy("_case", "_g").agg(F.count("*").cast("double").alias("n"), F.array(*(F.sum(x) for x in v)).alias("a")).write.parquet(path)
+        levels = spark.read.parquet(path)
+        for i, c in enumerate(new):
+            self._levels[c] = levels.filter(F.col("_case") == i)
+        self.refine({c: COARSE for c in new})
+
+    def refine(self, wanted: dict[frozenset, Iterable[float]]) -> None:
+        """Add thetas to the grids: one aggregate over the level tables."""
+        parts, cases = [], list(wanted)
+        for i, c in enumerate(cases):
+            thetas = [t for t in dict.fromkeys(map(float, wanted[c])) if t not in self._known[c].grid]
+            if thetas:
+                parts.append(self._levels[c].select(F.lit(i).alias("i"), "n", "a", F.explode(F.array(*map(F.lit, thetas))).alias("theta")))
+        if not parts:
+            return
+        d = parts[0]
+        for p in parts[1:]:
+            d = d.unionByName(p)
+        t2 = F.col("theta") * F.col("theta")
+        d = d.withColumn("w", t2 / (1 + t2 * F.col("n")))
+        a = [F.col("a")[k] for k in range(len(self.columns))]
+        g = d.groupBy("i", "theta").agg(F.sum(F.log1p(t2 * F.col("n"))).alias("logdet"), F.array(*(F.sum(F.col("w") * p) for p in self._products(a))).alias("g"))
+        for r in g.collect():
+            self._known[cases[r["i"]]].grid[r["theta"]] = (r["logdet"], self._matrix(r["g"]))
+
+
+def _all(conditions: Sequence) -> object:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
 
 
 # ------------------------------------------------------------------ fitting
 
 @dataclass(frozen=True)
 class Model:
+    """``random`` starts with the grouping factor (or is empty)."""
+
     fixed: tuple[str, ...]
     random: tuple[str, ...]
     text: str
@@ -183,71 +240,34 @@ class Fit:
         return self.deviance + self.npar * math.log(self.n)
 
 
-def _blocks(st: MixedStats, model: Model, k: int):
-    cols = [0] + [c for t in model.fixed for c in st.terms[t]]
-    xx = st.xx[np.ix_(cols, cols)]
-    xy = st.xy[cols, k]
-    facs = sorted(model.random, key=lambda r: -len(st.factors[r].levels))
-    return cols, xx, xy, facs
-
-
-def _solve(st: MixedStats, model: Model, k: int, theta: np.ndarray):
-    """Penalised least squares at theta: (log|L|^2, r^2, beta)."""
-    cols, xx, xy, facs = _blocks(st, model, k)
-    yy = st.yy[k, k]
-    if not facs:
-        beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
-        return 0.0, yy - beta @ xy, beta
-    f0 = st.factors[facs[0]]
-    th0 = theta[0]
-    d0 = th0 * th0 * f0.n + 1.0
-    rest = facs[1:]
-    qs = [len(st.factors[r].levels) for r in rest]
-    qr = sum(qs)
-    p = len(cols)
-    m = qr + p
-    # coupling of the diagonal block with (other levels, fixed columns)
-    a0r = np.zeros((len(f0.levels), m))
-    arr = np.zeros((m, m))
-    rhs_r = np.zeros(m)
-    off = 0
-    for i, r in enumerate(rest):
-        fr, thr = st.factors[r], theta[i + 1]
-        sl = slice(off, off + qs[i])
-        a0r[:, sl] = th0 * thr * st.cross[(facs[0], r)]
-        arr[sl, sl] = np.diag(thr * thr * fr.n + 1.0)
-        off2 = 0
-        for j, r2 in enumerate(rest):
-            if j != i:
-                arr[sl, off2:off2 + qs[j]] = thr * theta[j + 1] * st.cross[(r, r2)]
-            off2 += qs[j]
-        arr[sl, qr:] = thr * fr.zx[:, cols]
-        arr[qr:, sl] = arr[sl, qr:].T
-        rhs_r[sl] = thr * fr.zy[:, k]
-        off += qs[i]
-    a0r[:, qr:] = th0 * f0.zx[:, cols]
-    arr[qr:, qr:] = xx
-    rhs_r[qr:] = xy
-    rhs0 = th0 * f0.zy[:, k]
-    # eliminate the diagonal block
-    s = arr - a0r.T @ (a0r / d0[:, None])
-    rhs = rhs_r - a0r.T @ (rhs0 / d0)
-    x_r = np.linalg.solve(s, rhs)
-    x0 = (rhs0 - a0r @ x_r) / d0
-    r2 = yy - x0 @ rhs0 - x_r @ rhs_r
-    logdet = float(np.sum(np.log(d0)))
-    if qr:
-        sr = s[:qr, :qr]
-        sign, ld = np.linalg.slogdet(sr)
-        logdet += ld
-    return logdet, r2, x_r[qr:]
-
-
-def _deviance(st, model, k, theta):
-    logdet, r2, _ = _solve(st, model, k, np.abs(theta))
-    n = st.n
-    r2 = max(r2, 1e-300)
-    return logdet + n * (1.0 + math.log(2 * math.pi * r2 / n))
+def _fixed_columns(data: MixedData, model: Model) -> list[int]:
+    return [0] + [c for t in model.fixed for c in data.terms[t]]
+
+
+def _solve(data: MixedData, mom: Moments, model: Model, response: str, theta: Sequence[float]):
+    """Penalised least squares: (log|L|^2, r^2, beta).  ``theta[0]`` is the
+    grouping factor's scale and has to be on the grid."""
+    x, y = _fixed_columns(data, model), data.columns.index(f"y:{response}")
+    logdet, corr = mom.grid[float(theta[0])] if model.random else (0.0, 0.0)
+    m = mom.gram - corr
+    z = [(c, t) for f, t in zip(model.random[1:], theta[1:]) for c in data.factors[f]]
+    cols = [c for c, _ in z] + x
+    scale = np.array([t for _, t in z] + [1.0] * len(x))
+    q = len(z)
+    k = m[np.ix_(cols, cols)] * np.outer(scale, scale)
+    k[:q, :q] += np.eye(q)
+    b = m[cols, y] * scale
+    unit = np.sqrt(np.diag(k))
+    unit[unit == 0] = 1.0  # columns of very different size are no reason to drop one
+    sol = np.linalg.lstsq(k / np.outer(unit, unit), b / unit, rcond=None)[0] / unit
+    if q:
+        logdet += np.linalg.slogdet(k[:q, :q])[1]
+    return logdet, m[y, y] - sol @ b, sol[q:]
+
+
+def deviance(data: MixedData, mom: Moments, model: Model, response: str, theta: Sequence[float]) -> float:
+    logdet, r2, _ = _solve(data, mom, model, response, np.abs(theta))
+    return logdet + mom.n * (1.0 + math.log(2 * math.pi * max(r2, 1e-300) / mom.n))
 
 
 def _nelder_mead(f, x0, tol=1e-10, max_iter=2000):
@@ -285,35 +305,69 @@ def _nelder_mead(f, x0, tol=1e-10, max_iter=2000):
     return pts[i], vals[i]
 
 
-def fit(st: MixedStats, model: Model, response: str) -> Fit:
-    """ML fit of ``response ~ fixed + (1|r) ...``."""
-    k = st.responses.index(response)
-    nr = len(model.random)
-    _, xx, _, facs = _blocks(st, model, k)
-    if nr:
-        best, dev = _nelder_mead(lambda t: _deviance(st, model, k, t), np.ones(nr))
-        theta = np.abs(best)
-        # the boundary theta = 0 of each factor
-        for i in range(nr):
-            t0 = theta.copy()
-            t0[i] = 0.0
-            d0 = _deviance(st, model, k, t0)
-            if d0 < dev:
-                theta, dev = t0, d0
-    else:
-        theta = np.zeros(0)
-        dev = _deviance(st, model, k, theta)
-    _, r2, beta = _solve(st, model, k, theta)
-    sigma2 = r2 / st.n
-    n = st.n
-    xb_sum = xx[0] @ beta                    # sum of fitted fixed part
-    xb_sq = beta @ xx @ beta
-    var_fixed = (xb_sq - xb_sum * xb_sum / n) / (n - 1)
-    npar = len(beta) + nr + 1
-    var_random = theta ** 2 * sigma2
-    # theta follows the factor order used in the solve (largest first)
-    return Fit(deviance=dev, npar=npar, beta=beta, sigma2=sigma2,
-               var_random=var_random, var_fixed=var_fixed, n=n)
+def _at(data, mom, model, response, theta0: float) -> tuple[float, np.ndarray]:
+    """Least deviance, and the scales, with the grouping factor's scale fixed."""
+    rest = len(model.random) - 1
+    if rest <= 0:
+        theta = np.array([theta0] if model.random else [])
+        return deviance(data, mom, model, response, theta), theta
+    best, dev = _nelder_mead(lambda t: deviance(data, mom, model, response, [theta0, *t]), np.ones(rest))
+    theta = np.array([theta0, *np.abs(best)])
+    for i in range(1, rest + 1):  # the boundary of each scale
+        t0 = theta.copy()
+        t0[i] = 0.0
+        if (d0 := deviance(data, mom, model, response, t0)) < dev:
+            theta, dev = t0, d0
+    return dev, theta
+
+
+def _profile(data: MixedData, c: frozenset, model: Model, response: str) -> list[tuple[float, float, np.ndarray]]:
+    """(theta0, deviance, scales) along the grid."""
+    mom, out = data._known[c], []
+    for t in sorted(mom.grid) if model.random else [0.0]:
+        key = (c, model, response, t)
+        if key not in data._best:
+            data._best[key] = _at(data, mom, model, response, t)
+        out.append((t, *data._best[key]))
+    return out
+
+
+def _bracket(profile) -> tuple[float, float]:
+    k = min(range(len(profile)), key=lambda i: profile[i][1])
+    return profile[max(k - 1, 0)][0], profile[min(k + 1, len(profile) - 1)][0]
+
+
+def _finer(lo: float, hi: float) -> np.ndarray:
+    return np.linspace(lo, hi, FINE) if lo == 0.0 else np.geomspace(lo, hi, FINE)
+
+
+def fits(data: MixedData, wanted: Sequence[tuple[Model, str, frozenset]]) -> list[Fit]:
+    """ML fits of (model, response, complete rows); each finer grid is one
+    aggregate for all models together."""
+    data.moments([c for _, _, c in wanted])
+    for _ in range(GRIDS):
+        more: dict[frozenset, list[float]] = {}
+        for model, response, c in wanted:
+            if model.random and data._known[c].n:
+                more.setdefault(c, []).extend(_finer(*_bracket(_profile(data, c, model, response))))
+        data.refine(more)
+    return [_fit(data, c, model, response) for model, response, c in wanted]
+
+
+def _fit(data: MixedData, c: frozenset, model: Model, response: str) -> Fit:
+    mom = data._known[c]
+    if not mom.n:  # no complete row
+        nan, x = float("nan"), _fixed_columns(data, model)
+        return Fit(nan, len(x) + len(model.random) + 1, np.full(len(x), nan), nan, np.full(len(model.random), nan), nan, 0)
+    _, dev, theta = min(_profile(data, c, model, response), key=lambda p: p[1])
+    _, r2, beta = _solve(data, mom, model, response, theta)
+    x, n = _fixed_columns(data, model), mom.n
+    xx = mom.gram[np.ix_(x, x)]
+    xb = xx[0] @ beta                        # sum of the fitted fixed part
+    var_fixed = (beta @ xx @ beta - xb * xb / n) / (n - 1) if n > 1 else float("nan")
+    sigma2 = r2 / n
+    return Fit(deviance=dev, npar=len(beta) + len(model.random) + 1, beta=beta, sigma2=sigma2,
+               var_random=theta ** 2 * sigma2, var_fixed=var_fixed, n=n)
 
 
 # ------------------------------------------------------------------ tests
@@ -360,9 +414,8 @@ def r_squared(f: Fit) -> tuple[float, float]:
     return f.var_fixed / tot, (f.var_fixed + vr) / tot
 
 
-def compare(st: MixedStats, null: Model, alt: Model, response: str) -> dict:
+def compare(null: Model, alt: Model, fn: Fit, fa: Fit) -> dict:
     """Likelihood-ratio row of ``alt`` against ``null`` with R-squared of alt."""
-    fn, fa = fit(st, null, response), fit(st, alt, response)
     chisq = max(fn.deviance - fa.deviance, 0.0)
     dfree = fa.npar - fn.npar
     r2m, r2c = r_squared(fa)
@@ -382,17 +435,18 @@ def _fixed_text(f: str, base: str) -> str:
     return f"{f} + {base}"
 
 
-def scan(st: MixedStats, response: str, features: Sequence[str], null: Model,
+def scan(data: MixedData, response: str, features: Sequence[str], null: Model,
          mode: str) -> list[tuple[Model, dict]]:
-    """Test each feature on top of ``null`` (last feature first)."""
-    out = []
+    """Test each feature on top of ``null`` (last feature first), both models
+    on the rows that are complete in the larger one's columns."""
+    alts = []
     for ft in reversed(list(features)):
         if mode == "random":
-            alt = Model(null.fixed, (*null.random, ft), _random_text(ft, null.text))
+            alts.append(Model(null.fixed, (*null.random, ft), _random_text(ft, null.text)))
         else:
-            alt = Model((*null.fixed, ft), null.random, _fixed_text(ft, null.text))
-        out.append((alt, compare(st, null, alt, response)))
-    return out
+            alts.append(Model((*null.fixed, ft), null.random, _fixed_text(ft, null.text)))
+    found = fits(data, [(m, response, data.case(alt, response)) for alt in alts for m in (null, alt)])
+    return [(alt, compare(null, alt, *found[2 * k : 2 * k + 2])) for k, alt in enumerate(alts)]
 
 
 def _flag(rows: list[dict], threshold: float) -> None:
@@ -405,9 +459,9 @@ def _flag(rows: list[dict], threshold: float) -> None:
         r["r2_pass"] = bool(r["p_pass"] and top is not None and r["R2m"] == top)
 
 
-def step(st, response, features, null: Model, threshold, table, models, mode):
+def step(data, response, features, null: Model, threshold, table, models, mode):
     """Forward step: test, flag, adopt the last passing model, repeat."""
-    found = scan(st, response, features, null, mode)
+    found = scan(data, response, features, null, mode)
     rows = [dict(r, stage=mode) for _, r in found]
     _flag(rows, threshold)
     for (m, _), r in zip(found, rows):
@@ -420,19 +474,19 @@ def step(st, response, features, null: Model, threshold, table, models, mode):
         terms = set(new_null.fixed) | set(new_null.random)
         rest = [f for f in features if f not in terms]
         if rest:
-            rows += step(st, response, rest, new_null, threshold, table, models, mode)
+            rows += step(data, response, rest, new_null, threshold, table, models, mode)
     return rows
 
 
-def select(st: MixedStats, responses: Sequence[str], random: Sequence[str],
-           fixed: Sequence[str], null: str, threshold: float = 0.05,
+def select(data: MixedData, random: Sequence[str], fixed: Sequence[str], threshold: float = 0.05,
            carry_random: bool = False) -> list[dict]:
     """Stepwise selection per response (last response first): random terms,
     then fixed terms.  The fixed stage starts from the base model, as the
     reference does (its R2m sort puts the base, with no R2m, last); with
     ``carry_random`` it starts from the best random model instead."""
     out = []
-    for resp in reversed(list(responses)):
+    null = data.group
+    for resp in reversed(data.responses):
         base = Model((), (null,), f"(1| {null} )")
         base_row = {"Predicted": resp, "nullmodel": None, "model": base.text, "npar": None,
                     "AIC": None, "BIC": None, "logLik": None, "deviance": None, "Chisq": None,
@@ -440,13 +494,13 @@ def select(st: MixedStats, responses: Sequence[str], random: Sequence[str],
                     "p_pass": True, "r2_pass": True, "stage": "base"}
         table = [base_row]
         models = {base.text: base}
-        step(st, resp, list(random), base, threshold, table, models, "random")
+        step(data, resp, list(random), base, threshold, table, models, "random")
         start = base
         if carry_random:
             ok = [r for r in table if r["p_pass"] and r["r2_pass"] and r["R2m"] is not None]
             if ok:
                 start = models[max(ok, key=lambda r: r["R2m"])["model"]]
-        step(st, resp, list(fixed), start, threshold, table, models, "fixed")
+        step(data, resp, list(fixed), start, threshold, table, models, "fixed")
         for r in table:
             r["Predicted"] = resp
         out.extend(table)

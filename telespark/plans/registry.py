@@ -619,9 +619,8 @@ def _lmm_input(spark, sf):
     return prepared(spark, sf).filter(F.col("PlayPeriod") == "Game")
 
 
-def _lmm_stats(spark, sf):
-    return mixed.mixed_stats(_lmm_input(spark, sf), LMM_RESPONSES, LMM_FIXED,
-                             [LMM_NULL, *LMM_RANDOM])
+def _lmm_data(spark, sf):
+    return mixed.MixedData(_lmm_input(spark, sf), LMM_RESPONSES, LMM_FIXED, LMM_NULL, LMM_RANDOM)
 
 
 def _stats_sql() -> str:
@@ -649,9 +648,27 @@ def q_mixed_stats(spark, sf):
     return _rounded(g, *[c for c in g.columns if c.startswith("s") and "_" in c])
 
 
+LMM_THETAS = (0.0, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0)
+
+
+@register("lmm_deviance", with_prep(f"""
+, r AS (SELECT CAST(Participant AS VARCHAR) AS g, RightControllerLaserPosWorldY AS y, MolePositionWorldX AS x FROM prep
+  WHERE PlayPeriod = 'Game' AND Participant IS NOT NULL AND RightControllerLaserPosWorldY IS NOT NULL AND MolePositionWorldX IS NOT NULL),
+l AS (SELECT g, CAST(count(*) AS DOUBLE) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM r GROUP BY g),
+t AS (SELECT *, theta * theta / (1 + theta * theta * n) AS w
+  FROM (SELECT l.*, CAST(unnest([{', '.join(map(str, LMM_THETAS))}]) AS DOUBLE) AS theta FROM l)),
+mm AS (SELECT theta, sum(n) AS n, sum(ln(1 + theta * theta * n)) AS ld, sum(n - w * n * n) AS nn, sum(x - w * n * x) AS nx, sum(y - w * n * y) AS ny,
+  sum(xx - w * x * x) AS xx, sum(xy - w * x * y) AS xy, sum(yy - w * y * y) AS yy FROM t GROUP BY theta),
+d AS (SELECT theta, CAST(n AS BIGINT) AS n, ld + n * (1 + ln(2 * pi() * (yy - (xx * ny * ny - 2 * nx * ny * xy + nn * xy * xy) / (nn * xx - nx * nx)) / n)) AS dev FROM mm)
+SELECT theta, n, {_round_sql("dev")} AS deviance FROM d"""))
+def q_lmm_deviance(spark, sf):
+    d = mixed.deviance_profile(_lmm_input(spark, sf), "RightControllerLaserPosWorldY", "MolePositionWorldX", LMM_NULL, LMM_THETAS)
+    return _rounded(d, "deviance")
+
+
 @register("lmm_scan_random")
 def q_lmm_scan_random(spark, sf):
-    st = _lmm_stats(spark, sf)
+    st = _lmm_data(spark, sf)
     base = mixed.Model((), (LMM_NULL,), f"(1| {LMM_NULL} )")
     rows = [dict(r, Predicted=resp, stage="random", p_pass=None, r2_pass=None)
             for resp in LMM_RESPONSES
@@ -661,7 +678,7 @@ def q_lmm_scan_random(spark, sf):
 
 @register("lmm_scan_fixed")
 def q_lmm_scan_fixed(spark, sf):
-    st = _lmm_stats(spark, sf)
+    st = _lmm_data(spark, sf)
     base = mixed.Model((), (LMM_NULL,), f"(1| {LMM_NULL} )")
     rows = [dict(r, Predicted=resp, stage="fixed", p_pass=None, r2_pass=None)
             for resp in LMM_RESPONSES
@@ -671,8 +688,8 @@ def q_lmm_scan_fixed(spark, sf):
 
 @register("lmm_select")
 def q_lmm_select(spark, sf):
-    st = _lmm_stats(spark, sf)
-    return mixed.to_frame(spark, mixed.select(st, LMM_RESPONSES, LMM_RANDOM, LMM_FIXED, LMM_NULL))
+    st = _lmm_data(spark, sf)
+    return mixed.to_frame(spark, mixed.select(st, LMM_RANDOM, LMM_FIXED))
 
 
 @register("lmm_table")

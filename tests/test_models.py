@@ -23,10 +23,6 @@ def data(spark):
 
 
 def _dense_deviance(pdf, theta, fixed, rand, response="y"):
-    # the statistics hold values as exact micro-units: quantise the same way
-    pdf = pdf.copy()
-    for c in ("x", "z", "y"):
-        pdf[c] = np.round(pdf[c] * 1e6) / 1e6
     n = len(pdf)
     cols = [np.ones(n)]
     for f in fixed:
@@ -53,23 +49,64 @@ def _dense_deviance(pdf, theta, fixed, rand, response="y"):
 @pytest.mark.parametrize("fixed,rand", [(("x",), ("g",)), (("x", "c"), ("g", "h")), (("z",), ())])
 def test_deviance_matches_dense(spark, data, fixed, rand):
     pdf, df = data
-    st = mixed.mixed_stats(df, ["y"], ["x", "z", "c"], ["g", "h"])
+    d = mixed.MixedData(df, ["y"], ["x", "z", "c"], "g", ["h"])
     model = mixed.Model(fixed, rand, "m")
-    levels = {r: len(st.factors[r].levels) for r in rand}
-    order = sorted(rand, key=lambda r: -levels[r])       # the solver's factor order
-    theta = {r: t for r, t in zip(order, [0.9, 0.3])}
-    got = mixed._deviance(st, model, 0, np.array([theta[r] for r in order]))
-    want = _dense_deviance(pdf, [theta[r] for r in rand], fixed, rand)
-    assert got == pytest.approx(want, rel=1e-10)
+    case = d.case(model, "y")
+    d.moments([case])
+    d.refine({case: [0.9]})
+    theta = [0.9, 0.3][: len(rand)]
+    got = mixed.deviance(d, d._known[case], model, "y", theta)
+    assert got == pytest.approx(_dense_deviance(pdf, theta, fixed, rand), rel=1e-10)
+
+
+def test_large_values_and_offsets(spark):
+    rng = np.random.default_rng(3)
+    g = rng.integers(0, 6, 200)
+    pdf = pd.DataFrame({"y": 1e14 + 1e13 * rng.normal(size=200) + 1e13 * g, "x": 1e7 * rng.normal(size=200), "g": [f"g{v}" for v in g]})
+    d = mixed.MixedData(spark.createDataFrame(pdf), ["y"], ["x"], "g")
+    model = mixed.Model(("x",), ("g",), "m")
+    case = d.case(model, "y")
+    d.moments([case])
+    d.refine({case: [1.0]})
+    assert mixed.deviance(d, d._known[case], model, "y", [1.0]) == pytest.approx(_dense_deviance(pdf, [1.0], ["x"], ["g"]), rel=1e-6)
 
 
 def test_fit_is_minimum(spark, data):
     pdf, df = data
-    st = mixed.mixed_stats(df, ["y"], ["x"], ["g"])
-    f = mixed.fit(st, mixed.Model(("x",), ("g",), "m"), "y")
-    for t in (0.5, 1.0, 2.0, 4.0):
-        assert f.deviance <= _dense_deviance(pdf, [t], ["x"], ["g"]) + 1e-6
+    d = mixed.MixedData(df, ["y"], ["x"], "g", ["h"])
+    one, two = mixed.Model(("x",), ("g",), "m"), mixed.Model(("x",), ("g", "h"), "m")
+    f, f2 = mixed.fits(d, [(m, "y", d.case(m, "y")) for m in (one, two)])
+    least = min(_dense_deviance(pdf, [t], ["x"], ["g"]) for t in np.geomspace(0.8, 3, 60))
+    assert least - 0.01 <= f.deviance <= least + 1e-6
     assert f.beta[1] == pytest.approx(0.8, abs=0.15)
+    t0, t1 = np.sqrt(f2.var_random / f2.sigma2)
+    assert f2.deviance == pytest.approx(_dense_deviance(pdf, [t0, t1], ["x"], ["g", "h"]), rel=1e-9)
+    for a in (0.97, 1.03):
+        assert f2.deviance <= _dense_deviance(pdf, [t0 * a, t1], ["x"], ["g", "h"])
+        assert f2.deviance <= _dense_deviance(pdf, [t0, t1 * a], ["x"], ["g", "h"]) + 1e-9
+
+
+def test_rows_complete_in_the_compared_pair_are_used(spark, data):
+    pdf, _ = data
+    pdf = pdf.copy()
+    pdf.loc[:99, "z"] = np.nan        # missing in a candidate of another pair
+    pdf.loc[100:129, "x"] = np.nan
+    d = mixed.MixedData(spark.createDataFrame(pdf), ["y"], ["x", "z"], "g")
+    base = mixed.Model((), ("g",), "(1| g )")
+    rows = {m.fixed: r for m, r in mixed.scan(d, "y", ["x", "z"], base, "fixed")}
+    for term in ("x", "z"):
+        part = pdf.dropna(subset=[term])
+        null = min(_dense_deviance(part, [t], [], ["g"]) for t in np.geomspace(0.4, 3, 80))
+        alt = min(_dense_deviance(part, [t], [term], ["g"]) for t in np.geomspace(0.4, 3, 80))
+        assert rows[(term,)]["deviance"] == pytest.approx(alt, abs=0.02)
+        assert rows[(term,)]["Chisq"] == pytest.approx(null - alt, abs=0.03)
+
+
+def test_deviance_profile_matches_dense(spark, data):
+    pdf, df = data
+    got = {r.theta: r.deviance for r in mixed.deviance_profile(df, "y", "x", "g", [0.0, 0.7, 2.0]).collect()}
+    for t, v in got.items():
+        assert v == pytest.approx(_dense_deviance(pdf, [t], ["x"], ["g"]), rel=1e-10)
 
 
 def test_chi2_sf():
@@ -80,8 +117,8 @@ def test_chi2_sf():
 
 def test_selection_adds_true_terms(spark, data):
     _, df = data
-    st = mixed.mixed_stats(df, ["y"], ["x", "z"], ["g", "h"])
-    rows = mixed.select(st, ["y"], ["h"], ["x", "z"], "g")
+    d = mixed.MixedData(df, ["y"], ["x", "z"], "g", ["h"])
+    rows = mixed.select(d, ["h"], ["x", "z"])
     adopted = [r["model"] for r in rows if r["p_pass"] and r["r2_pass"] and r["stage"] != "base"]
     assert "(1| h ) + (1| g )" in adopted
     assert any(m.startswith("x + ") for m in adopted)
@@ -99,14 +136,36 @@ def test_p_lin_matches_polyfit(spark, data):
     assert got.y.to_numpy() == pytest.approx(a + b * got.x.to_numpy(), rel=1e-9)
 
 
-def test_spline_matches_dense_penalised_fit(spark, data):
+def test_spline_matches_the_natural_smoothing_spline(spark):
+    """With a knot at every x, the fit is the natural cubic smoothing spline,
+    solved here from second differences instead of B-splines."""
+    rng = np.random.default_rng(5)
+    x = np.sort(rng.uniform(-2, 7, 40))
+    w = rng.integers(1, 4, 40)
+    pdf = pd.DataFrame({"x": np.repeat(x, w)})
+    pdf["y"] = np.sin(pdf.x) + rng.normal(0, 0.3, len(pdf))
+    spar = 0.5
+    got = fit.p_supsmu(spark.createDataFrame(pdf), "y", "x", spar=spar).toPandas().sort_values("x")
+    assert np.allclose(got.x, x)
+    u = (x - x[0]) / (x[-1] - x[0])
+    t = np.concatenate([[u[0]] * 3, u, [u[-1]] * 3])
+    basis = fit._bspline(u, t)
+    lam = np.trace(basis.T @ (basis * w[:, None])) / np.trace(fit._penalty(t)) * 256.0 ** (3 * spar - 1)
+    h, n = np.diff(u), len(u)
+    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+    for j in range(n - 2):
+        q[j, j], q[j + 1, j], q[j + 2, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
+        r[j, j] = (h[j] + h[j + 1]) / 3
+        if j:
+            r[j - 1, j] = r[j, j - 1] = h[j] / 6
+    want = np.linalg.solve(np.diag(w) + lam * q @ np.linalg.solve(r, q.T), w * pdf.groupby("x").y.mean().loc[x].to_numpy())
+    assert np.allclose(got.y.astype(float), want, atol=1e-6)
+
+
+def test_spline_of_many_and_of_few_points(spark, data):
     pdf, df = data
-    got = fit.p_supsmu(df, "y", "x", spar=0.6).toPandas().sort_values("x")
-    x = np.sort(pdf.x.unique())
-    assert np.allclose(got.x.to_numpy(), x)
-    ref = fit.smooth_spline(x, np.ones(len(x)), pdf.groupby("x").y.mean().loc[x].to_numpy(), 0.6)
-    assert np.allclose(got.y.to_numpy(), ref)
-    # smoother than the data, close to the line for a large spar
-    line = fit.p_supsmu(df, "y", "x", spar=1.5).toPandas().sort_values("x")
-    coef = np.polyfit(line.x, line.y, 1)
+    line = fit.p_supsmu(df, "y", "x", spar=1.5).toPandas().sort_values("x")  # close to the line
+    coef = np.polyfit(line.x, line.y.astype(float), 1)
     assert np.abs(line.y - np.polyval(coef, line.x)).max() < 0.05
+    few = fit.p_supsmu(spark.createDataFrame([(1.0, 2.0), (2.0, 3.0), (3.0, 1.0)], "x double, y double"), "y", "x").collect()
+    assert [r.y for r in few] == [None, None, None]
