@@ -216,33 +216,24 @@ def _residual(m: DataFrame, members: DataFrame, links: DataFrame, s: Settings) -
     cluster = components(named.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     rows = named.select("id", "component").distinct().join(cluster.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
     rows = materialise(rows, "rows")
-    # Blocks: a large component has blocks of its own, the small ones share blocks.
+    # Blocks: a large component has blocks of its own, the small ones share blocks (own: null).
     sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") >= BLOCK)
-    small = sizes.where(F.col("n") < BLOCK).groupBy("cluster").agg(F.sum("n").alias("n")).withColumn("component", F.lit(None).cast("long"))
-    blocks = (large.select("cluster", "component", "n").unionByName(small.select("cluster", "component", "n"))
-              .withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")))
-    block = blocks.select("cluster", F.col("component").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    block = materialise(block, "block")
-    one, two = block.alias("x"), block.alias("y")
-    x, y = (F.struct(F.col(f"{k}.own").isNotNull(), F.coalesce(F.col(f"{k}.own"), F.lit(0)), F.col(f"{k}.part")) for k in "xy")
-    mixed = F.col("x.own").isNull() & F.col("y.own").isNull()
-    pairs = one.join(two, (F.col("x.cluster") == F.col("y.cluster")) & ((mixed & (x <= y)) | (~mixed & (x < y) & ~F.col("x.own").eqNullSafe(F.col("y.own")))))
-    same = F.col("x.own").eqNullSafe(F.col("y.own")) & (F.col("x.part") == F.col("y.part"))
-    pairs = pairs.select(F.col("x.cluster").alias("cluster"), F.hash(x, y).alias("task"), F.col("x.own").alias("own0"), F.col("x.part").alias("part0"),
-                         F.when(~same, F.struct(F.col("y.own").alias("own"), F.col("y.part").alias("part"))).alias("other"))
-    task = pairs.withColumn("task", F.struct("own0", "part0", "other"))
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("own0").alias("own"), F.col("part0").alias("part")),
-                    F.when(F.col("other").isNotNull(), F.struct(F.lit(1).alias("side"), F.col("other.own").alias("own"), F.col("other.part").alias("part"))))
-    task = task.select("cluster", "task", F.explode(sides).alias("at")).where("at is not null").select("cluster", "task", "at.*")
-    placed = (rows.join(large.select("cluster", "component", F.col("n").alias("mine")), ["cluster", "component"], "left")
-              .join(blocks.where("component is null").select("cluster", F.col("parts").alias("shared")), "cluster", "left")
-              .withColumn("own", F.when(F.col("mine").isNotNull(), F.col("component")))
-              .withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("mine").isNotNull(), F.ceil(F.col("mine") / BLOCK)).otherwise(F.col("shared"))).cast("int"))
-              .select("cluster", "own", "part", "id", "component"))
-    a, b = placed.alias("m"), task.alias("t")
-    dealt = a.join(b, (F.col("m.cluster") == F.col("t.cluster")) & (F.col("m.part") == F.col("t.part")) & F.col("m.own").eqNullSafe(F.col("t.own")))
-    dealt = dealt.select(F.col("m.cluster").alias("cluster"), F.to_json("t.task").alias("task"), "t.side", "m.id", "m.component").join(members, "id")
+    large = sizes.where(F.col("n") >= BLOCK).select("cluster", F.col("component").alias("own"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    small = sizes.where(F.col("n") < BLOCK).groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
+    name = F.concat_ws("/", F.col("own").cast("string"), F.col("part").cast("string"))
+    block = large.unionByName(small, allowMissingColumns=True)
+    block = materialise(block.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", "own", name.alias("block")), "block")
+    # Tasks: two blocks of a cluster, or one shared block with itself; never two of one component.
+    x, y = (block.select("cluster", F.col("own").alias(f"own_{k}"), F.col("block").alias(k)) for k in "xy")
+    tasks = x.join(y, "cluster").where("x <= y AND ((own_x IS NULL AND own_y IS NULL) OR NOT own_x <=> own_y)")
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("block")), F.when(F.col("x") < F.col("y"), F.struct(F.lit(1).alias("side"), F.col("y").alias("block"))))
+    sides = tasks.select("cluster", F.concat_ws("|", "x", "y").alias("task"), F.explode(F.array_compact(sides)).alias("at")).select("cluster", "task", "at.*")
+    placed = (rows.join(large.withColumnRenamed("own", "component"), ["cluster", "component"], "left")
+              .join(small.withColumnRenamed("parts", "shared"), "cluster", "left")
+              .withColumn("own", F.when(F.col("parts").isNotNull(), F.col("component")))
+              .withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", "shared")))
+              .select("cluster", name.alias("block"), "id", "component"))
+    dealt = placed.join(sides, ["cluster", "block"]).join(members, "id").select("cluster", "task", "side", "id", "component", "sig", "found")
     return dealt.groupBy("cluster", "task").applyInArrow(_rest(s), "a long, b long")
 
 
