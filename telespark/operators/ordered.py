@@ -114,6 +114,19 @@ def running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str, col: str,
     return d.withColumn(out, total).drop("_ls", "_ln", "_ps", "_pn")
 
 
+def row_numbers(df: DataFrame, keys: Sequence[str], ts: str, tie: str, number: str, total: str,
+                *, unit: str = "hour") -> DataFrame:
+    """Row number within each group in (ts, tie) order, and the group's rows:
+    numbered inside chunks, shifted by the rows of the chunks before."""
+    d = with_scan_keys(df, keys, ts, unit)
+    before = _chunks().rowsBetween(Window.unboundedPreceding, -1)
+    chunks = (d.groupBy(KEY, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+              .select(KEY, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                      F.sum("_n").over(Window.partitionBy(KEY)).alias(total)))
+    d = _join_chunks(d.withColumn("_r", F.row_number().over(_in_chunk(ts, tie))), chunks)
+    return drop_scan_keys(d.withColumn(number, F.col("_before") + F.col("_r"))).drop("_before", "_r")
+
+
 def fill_down(df: DataFrame, keys: Sequence[str], ts: str, tie: str, col: str, out: str,
               *, unit: str = "hour", source: DataFrame | None = None,
               chunk_index: DataFrame | None = None) -> DataFrame:

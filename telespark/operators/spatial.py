@@ -40,15 +40,16 @@ def travel_distance(sp: DataFrame, spec: SessionSpec = DEFAULT) -> DataFrame:
 
 
 def travel_direction(sp: DataFrame, spec: SessionSpec = DEFAULT,
-                     scope: str = "global", unit: str = "hour") -> DataFrame:
+                     scope: str = "global", unit: str = "minute") -> DataFrame:
     """``travelLeadHor``/``travelLeadVer`` against the *next* spawn.
 
     With ``scope="global"`` the next spawn is taken over all sessions in time
     order, as the reference does after ``ungroup()``; ``scope="session"``
     keeps it within the session.  Right if x > next x, Left if smaller, None
     if equal; Down if y < next y, Up if larger, None if equal; null when a
-    value or the next row is missing.  The global order is scanned in time
-    chunks, never in a single partition.
+    value or the next row is missing.  The global order is scanned in chunks of
+    a minute: the spawns of one minute of all sessions are a task, and only
+    the chunk table, a row for each minute, is ordered as a whole.
     """
     keys: Sequence[str] = spec.keys if scope == "session" else ()
     d = ordered.shift(sp, keys, spec.ts, spec.tie, {X: "_nx", Y: "_ny"}, lead=True, unit=unit)

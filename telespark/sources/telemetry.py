@@ -10,9 +10,10 @@ missing gaze values.  The same mapping is written in SQL in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telespark.operators import ordered
 from telespark.sources.tables import read_table
 
 # The date splitting the two conditions and the condition names.
@@ -26,9 +27,8 @@ def telemetry_from_events(events: DataFrame) -> DataFrame:
                   F.lit(CONDITIONS[0])).otherwise(F.lit(CONDITIONS[1]))
     b = events.select("event_id", "ts", "user_id", "event_type", "value",
                       k.alias("k"), cond.alias("cond"))
-    w = Window.partitionBy("user_id", "cond")
-    b = b.withColumns({"rn": F.row_number().over(w.orderBy("ts", "event_id")),
-                       "cnt": F.count(F.lit(1)).over(w)})
+    # In day chunks: a user who holds a large share of the rows is many tasks.
+    b = ordered.row_numbers(b, ["user_id", "cond"], "ts", "event_id", "rn", "cnt", unit="day")
     u, rn, cnt = F.col("user_id"), F.col("rn"), F.col("cnt")
     ev = (F.when((u % 23 == 5) & (rn == 7), F.lit(None).cast("string"))
           .when((rn == 3) & (u % 17 != 4), "Game Started")

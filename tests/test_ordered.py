@@ -79,3 +79,39 @@ def test_fill_down(spark):
     for rid, e in zip(d["rid"], exp):
         g = got[rid]
         assert (g is None and pd.isna(e)) or g == e
+
+
+@pytest.mark.parametrize("unit", ["hour", "day"])
+def test_row_numbers(spark, unit):
+    pdf = _data(4)
+    got = {r.rid: (r.n, r.total) for r in ordered.row_numbers(_sdf(spark, pdf), ("g",), "ts", "rid", "n", "total", unit=unit).collect()}
+    d = _sorted(pdf, ("g",))
+    want = {int(i): (int(n) + 1, int(t)) for i, n, t in zip(d.rid, d.groupby("_gk").cumcount(), d.groupby("_gk")["rid"].transform("size"))}
+    assert got == want
+
+
+def test_a_user_with_half_of_the_rows_is_many_tasks(spark):
+    """Rows that the largest task of the telemetry view and of the session pass holds."""
+    from pyspark.sql import functions as F
+
+    from telespark.operators.clean import conform
+    from telespark.operators.sessions import session_pass
+    from telespark.sources.telemetry import telemetry_from_events
+
+    n = 20_000
+    events = spark.range(n).select(
+        F.col("id").alias("event_id"), F.timestamp_add("SECOND", F.col("id") * 120, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("ts"),
+        F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 997).cast("long").alias("user_id"), F.lit("view").alias("event_type"),
+        F.lit(1.0).alias("value"), F.lit('{"k": 7}').alias("props"))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(was, ("64", "false", "-1")):
+        spark.conf.set(k, v)
+    try:
+        view = telemetry_from_events(events)
+        for df in (view, session_pass(conform(view))):
+            used = df.select(F.spark_partition_id().alias("p"), F.hash(*df.columns).cast("long").alias("h"))  # no column is pruned
+            sizes = [r["n"] for r in used.groupBy("p").agg(F.count("*").alias("n"), F.sum("h")).collect()]
+            assert sum(sizes) == n and max(sizes) < n / 8
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
