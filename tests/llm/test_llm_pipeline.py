@@ -64,3 +64,33 @@ def test_packing_holds_every_token(stages):
 def test_run_equals_the_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF_SMALL)
     assert sorted(map(tuple, got.select("doc_id", "piece", "n_tokens").collect())) == sorted(map(tuple, stages[5].select("doc_id", "piece", "n_tokens").collect()))
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing extra columns; then no rows at all."""
+    import random
+
+    from llm_rows import docs, edited, prose
+
+    rng = random.Random(8)
+    text = prose(rng, 300)
+    rows = [(1, text), (1, text), (2, text), (3, edited(rng, text, 2)), (4, None), (5, ""), (None, "word"), (None, None), (6, prose(rng, 30_000)), (7, "x" * 200_000)]
+    rows += [(100 + i, prose(rng, rng.randrange(1, 80))) for i in range(60)]
+    table = docs(spark, rows).selectExpr("*", "CASE WHEN doc_id > 120 THEN 'en' END AS lang", "CASE WHEN doc_id > 110 THEN 'src0' END AS source", "CAST(NULL AS LONG) AS n_chars")
+    labels = [(1, 1, 0), (100, 0, None), (101, 0, 1), (102, None, 0), (None, 1, 0), (103, 1, 0), (103, 0, 0)]
+    for k, df in enumerate((table, table.limit(0))):
+        sf_dir = f"{tmp_path}/{k}"
+        df.write.parquet(f"{sf_dir}/documents.parquet")
+        spark.createDataFrame(labels if not k else [], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+        got = read_table(spark, sf_dir, "documents")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = materialise(stage(spark, got, sf_dir), "test")
+            assert got.columns == df.columns, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, got, sf_dir).collect()
+        tokens = sum(len((r.text or "").split()) for r in got.collect())
+        assert sum(r.n_tokens for r in packed) == tokens
+        if not k:
+            kept = [r.doc_id for r in got.collect()]
+            assert len([i for i in kept if i in (1, 2, 3)]) <= 1
+        else:
+            assert packed == []
