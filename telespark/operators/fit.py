@@ -1,23 +1,24 @@
 """Curve fits for plots: least-squares line and smoothing spline.
 
 Both reduce the rows to sufficient statistics with Spark aggregates (partial
-aggregation, so any number of rows and any skew), and only the small
-per-series result is solved: the line in SQL expressions, the spline with
-numpy inside ``applyInPandas`` (one task per series, input size = number of
-distinct x values of the series, output = the fitted value at each of them).
+aggregation, so any number of rows and any skew): the line is solved in SQL
+expressions, the spline's banded system of bounded size in one small group a
+series; both curves are expressions over the x values again.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from telespark.functions.nulls import nan_to_null
 
 
 # The per-series solver runs in Python workers: ship this module's code with
@@ -48,122 +49,130 @@ def p_lin(df: DataFrame, response: str, term: str, by: Sequence[str] = (),
 
 # ---------------------------------------------------------------- smoothing spline
 
-def _nknots(n: int) -> int:
-    """Number of knots for n distinct x (the usual smoothing-spline rule:
-    all of them up to 49, then slowly growing)."""
-    # The published rule.
-    if n < 50:
-        return n
-    a1, a2, a3, a4 = np.log2(50), np.log2(100), np.log2(140), np.log2(200)
-    if n < 200:
-        v = 2 ** (a1 + (a2 - a1) * (n - 50) / 150)
-    elif n < 800:
-        v = 2 ** (a2 + (a3 - a2) * (n - 200) / 600)
-    elif n < 3200:
-        v = 2 ** (a3 + (a4 - a3) * (n - 800) / 2400)
-    else:
-        v = 200 + (n - 3200) ** 0.2
-    return int(np.trunc(v))
-
-
-def _basis(x: np.ndarray, t: np.ndarray, k: int) -> np.ndarray:
-    """All degree-k B-splines on knots t at x (Cox-de Boor recursion); the
-    last non-empty knot interval is closed on the right."""
-    m = len(t) - 1
-    b = np.zeros((len(x), m))
-    for i in range(m):
-        if t[i] < t[i + 1]:
-            b[:, i] = (x >= t[i]) & (x < t[i + 1])
-    last = np.nonzero(t[:-1] < t[1:])[0][-1]
-    b[x >= t[last + 1], last] = 1.0
-    for d in range(1, k + 1):
-        nxt = np.zeros((len(x), m - d))
-        for i in range(m - d):
-            den1, den2 = t[i + d] - t[i], t[i + d + 1] - t[i + 1]
-            if den1 > 0:
-                nxt[:, i] += (x - t[i]) / den1 * b[:, i]
-            if den2 > 0:
-                nxt[:, i] += (t[i + d + 1] - x) / den2 * b[:, i + 1]
-        b = nxt
-    return b
-
-
-def _bspline(x: np.ndarray, t: np.ndarray, deriv: int = 0, k: int = 3) -> np.ndarray:
-    """Degree-k B-spline basis at x, or its ``deriv``-th derivative:
-    B'_{i,k} = k (B_{i,k-1} / (t_{i+k} - t_i) - B_{i+1,k-1} / (t_{i+k+1} - t_{i+1}))."""
-    if deriv == 0:
-        return _basis(x, t, k)
-    lower = _bspline(x, t, deriv - 1, k - 1)
-    out = np.zeros((len(x), len(t) - k - 1))
-    for i in range(out.shape[1]):
-        den1, den2 = t[i + k] - t[i], t[i + k + 1] - t[i + 1]
-        if den1 > 0:
-            out[:, i] += k * lower[:, i] / den1
-        if den2 > 0:
-            out[:, i] -= k * lower[:, i + 1] / den2
-    return out
-
-
-def _penalty(t: np.ndarray) -> np.ndarray:
-    """Gram matrix of second derivatives, integral of B_i'' B_j'' (exact:
-    second derivatives are linear on each knot interval, Simpson's rule)."""
-    inner = np.unique(t)
-    lo, hi = inner[:-1], inner[1:]
-    pts = np.concatenate([lo, (lo + hi) / 2, hi])
-    w = np.concatenate([hi - lo, 4 * (hi - lo), hi - lo]) / 6
-    # points on an interval's right end belong to that interval's piece
-    d2 = _bspline(pts, t, deriv=2)
-    right = _bspline(np.nextafter(hi, lo), t, deriv=2)
-    d2[2 * len(lo):] = right
-    return (d2 * w[:, None]).T @ d2
-
-
-def smooth_spline(x: np.ndarray, w: np.ndarray, ybar: np.ndarray, spar: float) -> np.ndarray:
-    """Penalised cubic B-spline fit at the distinct, sorted ``x`` with
-    weights ``w`` (counts) and mean responses ``ybar``.  The smoothing
-    parameter follows the ``spar`` scale: lambda = r * 256^(3*spar - 1),
-    r = tr(X'WX) / tr(Omega), on x rescaled to [0, 1].  Fewer than 4 distinct
-    x have no such curve: the fit is missing."""
-    n = len(x)
-    if n < 4:
-        return np.full(n, np.nan)
-    xs = (x - x[0]) / (x[-1] - x[0])
-    nk = _nknots(n)
-    idx = np.linspace(1, n, nk).astype(int) - 1  # fractional places are cut off
-    kn = xs[idx]
-    t = np.concatenate([[kn[0]] * 3, kn, [kn[-1]] * 3])
-    X = _bspline(xs, t)
-    om = _penalty(t)
-    xtwx = X.T @ (X * w[:, None])
-    xtwy = X.T @ (w * ybar)
-    r = np.trace(xtwx) / np.trace(om)
-    lam = r * 256.0 ** (3.0 * spar - 1.0)
-    beta = np.linalg.solve(xtwx + lam * om, xtwy)
-    return X @ beta
+def spline_points(df: DataFrame, response: str, term: str, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Distinct x of each series with everything a cubic B-spline fit needs.
+
+    Points: (_s, x, w, ybar, n, i, b0..b3) - count and mean response at x,
+    the series' distinct x, the knot interval that x lies in, and the four
+    basis functions that are not zero there, on x scaled to [0, 1].  Knots:
+    (_s, i, a..f) - for each interval its two knots c, d and two to each side
+    (the ends repeat).  Series with under 4 distinct x have none."""
+    s = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    y, x = nan_to_null(response), nan_to_null(term)
+    d = (df.select(s.alias("_s"), x.alias("x"), y.alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+         .groupBy("_s", "x").agg(F.count(F.lit(1)).cast("double").alias("w"), F.avg("y").alias("ybar")))
+    own, up = Window.partitionBy("_s"), Window.partitionBy("_s").orderBy("x")
+    d = d.withColumns({"n": F.count(F.lit(1)).over(own), "_r": F.row_number().over(up), "_lo": F.min("x").over(own), "_hi": F.max("x").over(own)})
+    d = d.withColumn("u", F.when(F.col("n") >= 4, (F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))))
+    # Knot k stands at place floor(1 + k (n - 1) / (nk - 1)), k = 0 .. nk - 1.
+    nk = n_knots(F.col("n"))
+    d = d.withColumn("nk", nk)
+    k = F.ceil((F.col("_r") - 1) * (F.col("nk") - 1) / (F.col("n") - 1) - 1e-12)
+    knot = F.floor(1 + k * (F.col("n") - 1) / (F.col("nk") - 1) + 1e-12) == F.col("_r")
+    d = d.withColumn("_knot", F.when(knot & (k < F.col("nk")), 1).otherwise(0))
+    d = d.withColumn("i", F.least(F.sum("_knot").over(up) - 1, F.col("nk") - 2).cast("int"))
+    on = Window.partitionBy("_s").orderBy("u")
+    first, last = (f("u").over(on.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for f in (F.first, F.last))
+    kn = d.filter((F.col("n") >= 4) & (F.col("_knot") == 1)).select("_s", "u", "nk")
+    kn = kn.select("_s", "nk", (F.row_number().over(on) - 1).cast("int").alias("i"),
+                   F.coalesce(F.lag("u", 2).over(on), first).alias("a"), F.coalesce(F.lag("u", 1).over(on), first).alias("b"), F.col("u").alias("c"),
+                   *(F.coalesce(F.lead("u", j).over(on), last).alias(n) for j, n in ((1, "d"), (2, "e"), (3, "f"))))
+    knots = kn.filter(F.col("i") < F.col("nk") - 1)
+    d = d.join(knots.drop("nk"), ["_s", "i"], "left")
+    return _with_basis(d).select("_s", "x", "w", "ybar", "n", "nk", "i", "b0", "b1", "b2", "b3"), knots
+
+
+def n_knots(n):
+    """Number of knots for n distinct x: all of them up to 49, then slowly growing."""
+    # The published rule of the smoothing-spline function.
+    a = [math.log2(v) for v in (50, 100, 140, 200)]
+
+    def between(lo: float, hi: float, start: int, width: int):
+        return F.pow(F.lit(2.0), lo + (hi - lo) * (n - start) / width)
+
+    v = (F.when(n < 50, n.cast("double")).when(n < 200, between(a[0], a[1], 50, 150)).when(n < 800, between(a[1], a[2], 200, 600))
+         .when(n < 3200, between(a[2], a[3], 800, 2400)).otherwise(200 + F.pow((n - 3200).cast("double"), F.lit(0.2))))
+    return F.floor(v).cast("int")
+
+
+def _with_basis(d: DataFrame) -> DataFrame:
+    """Add b0..b3 from u and the local knots (de Boor's recursion)."""
+    u = F.col("u")
+    left = {j: u - F.col(c) for j, c in ((1, "c"), (2, "b"), (3, "a"))}
+    right = {j: F.col(c) - u for j, c in ((1, "d"), (2, "e"), (3, "f"))}
+    b = [F.lit(1.0)]
+    for j in (1, 2, 3):
+        saved, out = F.lit(0.0), []
+        for r in range(j):
+            temp = b[r] / (right[r + 1] + left[j - r])
+            out.append(saved + right[r + 1] * temp)
+            saved = left[j - r] * temp
+        names = [f"_b{j}{r}" for r in range(j + 1)]
+        d = d.withColumns(dict(zip(names, [*out, saved])))
+        b = [F.col(n) for n in names]
+    return d.withColumns({f"b{r}": b[r] for r in range(4)})
+
+
+def spline_stats(points: DataFrame) -> DataFrame:
+    """(_s, col, d0..d3, rhs): the band of X'WX (d0 the diagonal) and X'Wy for
+    each basis column of each series - a bounded table, whatever the rows."""
+    w, b = F.col("w"), [F.col(f"b{r}") for r in range(4)]
+    rows = [F.struct((F.col("i") + p).alias("col"), *((w * b[p] * b[p + q] if p + q < 4 else F.lit(0.0)).alias(f"d{q}") for q in range(4)), (w * F.col("ybar") * b[p]).alias("rhs"))
+            for p in range(4)]
+    d = points.filter(F.col("b0").isNotNull()).select("_s", F.explode(F.array(*rows)).alias("r"))
+    return d.groupBy("_s", "r.col").agg(*(F.sum(f"r.{c}").alias(c) for c in ("d0", "d1", "d2", "d3", "rhs")))
+
+
+def penalty(knots: np.ndarray) -> np.ndarray:
+    """Integrals of products of second derivatives of the cubic B-splines on
+    ``knots`` (ends repeated): second differences of the coefficients weigh
+    hat functions, whose products have known integrals."""
+    t = np.concatenate([[knots[0]] * 3, knots, [knots[-1]] * 3])
+    c = np.eye(len(t) - 4)
+    for k in (3, 2):
+        tt = t[3 - k : len(t) - (3 - k)]
+        width = (tt[k + 1 : len(tt) - 1] - tt[1 : len(tt) - 1 - k])[:, None]
+        c = k * np.diff(c, axis=0) / width
+    h = np.diff(knots)
+    g = np.zeros((len(knots), len(knots)))
+    at = np.arange(len(h))
+    g[at, at] += h / 3
+    g[at + 1, at + 1] += h / 3
+    g[at, at + 1] = g[at + 1, at] = h / 6
+    return c.T @ g @ c
+
+
+def _coefficients(spar: float):
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("col")
+        m = len(pdf)
+        xtwx = np.zeros((m, m))
+        for q in range(4):
+            v = pdf[f"d{q}"].to_numpy()[: m - q]
+            xtwx[np.arange(m - q), np.arange(q, m)] = v
+            xtwx[np.arange(q, m), np.arange(m - q)] = v
+        om = penalty(np.array(pdf["knots"].iloc[0], float))
+        lam = np.trace(xtwx) / np.trace(om) * 256.0 ** (3.0 * spar - 1.0)
+        beta = np.linalg.solve(xtwx + lam * om, pdf["rhs"].to_numpy())
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "beta": [beta]})
+
+    return solve
 
 
 def p_supsmu(df: DataFrame, response: str, term: str, by: Sequence[str] = (),
              spar: float = 0.1) -> DataFrame:
     """Smoothing spline of ``response ~ term`` per group: (x, fitted y) at the
-    distinct x values, sorted.  Rows with a missing value are left out."""
-    keys = list(by)
-    stats = (df.filter(F.col(response).isNotNull() & F.col(term).isNotNull())
-             .groupBy(*keys, F.col(term).cast("double").alias("x"))
-             .agg(F.count(F.lit(1)).cast("double").alias("w"),
-                  F.avg(F.col(response).cast("double")).alias("ybar")))
-    key_fields = [f for f in stats.schema.fields if f.name in keys]
-    out_schema = T.StructType(key_fields + [T.StructField("x", T.DoubleType()),
-                                            T.StructField("y", T.DoubleType())])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        y = smooth_spline(pdf["x"].to_numpy(float), pdf["w"].to_numpy(float),
-                          pdf["ybar"].to_numpy(float), spar)
-        out = pdf[keys + ["x"]].copy()
-        out["y"] = pd.Series(y, out.index).astype(object).where(~np.isnan(y), None)
-        return out
-
-    if keys:
-        return stats.groupBy(*keys).applyInPandas(fit, out_schema)
-    return stats.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(
-        lambda p: fit(p.drop(columns="_one")), out_schema)
+    distinct x values.  Rows with a missing value are left out; a series with
+    fewer than 4 distinct x has no curve (null).
+
+    A penalised cubic B-spline with ``lambda = r 256^(3 spar - 1)``, ``r`` the
+    ratio of the traces.  The band of the normal equations is a Spark
+    aggregate; each series' bounded system (about 200 columns at most) is
+    solved in one small group, and the curve is an expression again."""
+    points, knots = spline_points(df, response, term, by)
+    ends = knots.groupBy("_s").agg(F.concat(F.array_sort(F.collect_list("c")), F.array(F.max("d"))).alias("knots"))
+    sys_ = spline_stats(points).join(ends, "_s").withColumn("id", F.to_json("_s"))
+    beta = sys_.drop("_s").groupBy("id").applyInPandas(_coefficients(spar), "id string, beta array<double>")
+    d = points.withColumn("id", F.to_json("_s")).join(beta, "id", "left")
+    y = sum((F.col(f"b{r}") * F.get("beta", F.col("i") + r) for r in range(1, 4)), F.col("b0") * F.get("beta", F.col("i")))
+    return d.select(*[F.col(f"_s.{c}").alias(c) for c in by], "x", F.when(F.col("n") >= 4, y).alias("y"))

@@ -608,6 +608,57 @@ def q_p_supsmu(spark, sf):
                         by=("Participant", "Condition"), spar=0.1)
 
 
+def _basis_sql() -> str:
+    """CTEs k1..k3: de Boor's recursion as in the operator, one level each."""
+    left = {1: "(u - c)", 2: "(u - b)", 3: "(u - a)"}
+    right = {1: "(d - u)", 2: "(e - u)", 3: "(f - u)"}
+    b, ctes = ["1.0"], []
+    for j in (1, 2, 3):
+        saved, out = "0.0", []
+        for r in range(j):
+            temp = f"({b[r]} / ({right[r + 1]} + {left[j - r]}))"
+            out.append(f"({saved} + {right[r + 1]} * {temp})")
+            saved = f"({left[j - r]} * {temp})"
+        out.append(saved)
+        ctes.append(f"k{j} AS (SELECT *, {', '.join(f'CAST({x} AS DOUBLE) AS b{j}{r}' for r, x in enumerate(out))} FROM {'kj' if j == 1 else f'k{j - 1}'})")
+        b = [f"b{j}{r}" for r in range(j + 1)]
+    return ",\n".join(ctes)
+
+
+SPLINE_KEYS = "Participant, Condition"
+SPLINE_SQL = with_telemetry(f"""
+, sp AS (SELECT {SPLINE_KEYS}, GazeConfidence AS x, CAST(count(*) AS DOUBLE) AS w, avg(RightControllerLaserPosWorldY) AS ybar FROM telemetry
+  WHERE GazeConfidence IS NOT NULL AND RightControllerLaserPosWorldY IS NOT NULL GROUP BY {SPLINE_KEYS}, GazeConfidence),
+sr AS (SELECT *, count(*) OVER s AS nn, row_number() OVER (PARTITION BY {SPLINE_KEYS} ORDER BY x) AS r, min(x) OVER s AS lo, max(x) OVER s AS hi
+  FROM sp WINDOW s AS (PARTITION BY {SPLINE_KEYS})),
+su AS (SELECT *, (x - lo) / (hi - lo) AS u, CAST(floor(CASE WHEN nn < 50 THEN nn
+    WHEN nn < 200 THEN pow(2.0, log2(50) + (log2(100) - log2(50)) * (nn - 50) / 150) WHEN nn < 800 THEN pow(2.0, log2(100) + (log2(140) - log2(100)) * (nn - 200) / 600)
+    WHEN nn < 3200 THEN pow(2.0, log2(140) + (log2(200) - log2(140)) * (nn - 800) / 2400) ELSE 200 + pow(nn - 3200, 0.2) END) AS INTEGER) AS nk FROM sr WHERE nn >= 4),
+sk AS (SELECT *, ceil((r - 1) * (nk - 1) / (nn - 1) - 1e-12) AS kk FROM su),
+sf AS (SELECT *, CASE WHEN floor(1 + kk * (nn - 1) / (nk - 1) + 1e-12) = r AND kk < nk THEN 1 ELSE 0 END AS knot FROM sk),
+si AS (SELECT *, CAST(least(sum(knot) OVER (PARTITION BY {SPLINE_KEYS} ORDER BY x) - 1, nk - 2) AS INTEGER) AS i FROM sf),
+kn AS (SELECT {SPLINE_KEYS}, row_number() OVER o - 1 AS i, u AS c,
+  coalesce(lag(u, 2) OVER o, first_value(u) OVER w0) AS a, coalesce(lag(u, 1) OVER o, first_value(u) OVER w0) AS b,
+  coalesce(lead(u, 1) OVER o, last_value(u) OVER w0) AS d, coalesce(lead(u, 2) OVER o, last_value(u) OVER w0) AS e, coalesce(lead(u, 3) OVER o, last_value(u) OVER w0) AS f
+  FROM si WHERE knot = 1 WINDOW o AS (PARTITION BY {SPLINE_KEYS} ORDER BY u),
+  w0 AS (PARTITION BY {SPLINE_KEYS} ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+kj AS (SELECT si.{SPLINE_KEYS.replace(', ', ', si.')}, si.i, w, ybar, u, a, b, c, d, e, f
+  FROM si JOIN kn ON {NS.format(a='si', b='kn')} AND si.i = kn.i),
+{_basis_sql()},
+rows AS ({' UNION ALL '.join(
+    f"SELECT {SPLINE_KEYS}, i + {p} AS col, {', '.join((f'w * b3{p} * b3{p + q}' if p + q < 4 else '0.0') + f' AS d{q}' for q in range(4))}, w * ybar * b3{p} AS rhs FROM k3"
+    for p in range(4))})
+SELECT {SPLINE_KEYS}, CAST(col AS INTEGER) AS col, {', '.join(_round_sql(f'sum({x})') + f' AS {x}' for x in ('d0', 'd1', 'd2', 'd3', 'rhs'))}
+FROM rows GROUP BY {SPLINE_KEYS}, col""")
+
+
+@register("spline_stats", SPLINE_SQL)
+def q_spline_stats(spark, sf):
+    points, _ = fit.spline_points(telemetry(spark, sf), "RightControllerLaserPosWorldY", "GazeConfidence", by=("Participant", "Condition"))
+    d = fit.spline_stats(points).select("_s.Participant", "_s.Condition", "col", "d0", "d1", "d2", "d3", "rhs")
+    return _rounded(d, "d0", "d1", "d2", "d3", "rhs")
+
+
 # Model selection inputs: target events of the Game period.
 LMM_RESPONSES = ["RightControllerLaserPosWorldY", "GazeConfidence"]
 LMM_FIXED = ["MolePositionWorldX", "MolePositionWorldY", "WorldGazeHitPositionX"]

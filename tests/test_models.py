@@ -148,9 +148,29 @@ def test_spline_matches_the_natural_smoothing_spline(spark):
     got = fit.p_supsmu(spark.createDataFrame(pdf), "y", "x", spar=spar).toPandas().sort_values("x")
     assert np.allclose(got.x, x)
     u = (x - x[0]) / (x[-1] - x[0])
+    # The scale of lambda, from basis functions by their recursive definition.
     t = np.concatenate([[u[0]] * 3, u, [u[-1]] * 3])
-    basis = fit._bspline(u, t)
-    lam = np.trace(basis.T @ (basis * w[:, None])) / np.trace(fit._penalty(t)) * 256.0 ** (3 * spar - 1)
+
+    def basis(i, k, v):
+        if k == 0:
+            return float(t[i] <= v < t[i + 1] or (v == t[-1] and t[i] < t[i + 1] == t[-1]))
+        out = 0.0
+        if t[i + k] > t[i]:
+            out += (v - t[i]) / (t[i + k] - t[i]) * basis(i, k - 1, v)
+        if t[i + k + 1] > t[i + 1]:
+            out += (t[i + k + 1] - v) / (t[i + k + 1] - t[i + 1]) * basis(i + 1, k - 1, v)
+        return out
+
+    m = len(t) - 4
+    trace_x = sum(w[j] * basis(i, 3, u[j]) ** 2 for i in range(m) for j in range(len(u)))
+    fine = np.linspace(0, 1, 20001)[1:-1]
+    step = fine[1] - fine[0]
+    trace_o = 0.0
+    for i in range(m):
+        inside = fine[(fine > t[i] - 3 * step) & (fine < t[i + 4] + 3 * step)]
+        trace_o += np.sum((np.diff([basis(i, 3, v) for v in inside], 2) / step**2) ** 2) * step
+    assert np.trace(fit.penalty(u)) == pytest.approx(trace_o, rel=0.02)
+    lam = trace_x / np.trace(fit.penalty(u)) * 256.0 ** (3 * spar - 1)
     h, n = np.diff(u), len(u)
     q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
     for j in range(n - 2):
