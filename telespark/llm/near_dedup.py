@@ -137,12 +137,19 @@ def probable(a: np.ndarray, b: np.ndarray, s: Settings) -> np.ndarray:
     return alive
 
 
+def _matrix(signatures: pa.BinaryArray) -> np.ndarray:
+    """Signatures as rows of a matrix, without a copy."""
+    _, offsets, data = signatures.buffers()
+    start = np.frombuffer(offsets, np.int32)[signatures.offset]
+    return np.frombuffer(data, np.uint32, len(signatures) * WIDTH, int(start)).reshape(-1, WIDTH)
+
+
 def _pruned(s: Settings):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            one, two = (np.stack([np.frombuffer(x, np.uint32) for x in batch.column(k).to_pylist()]) for k in (2, 3))
+            one, two = (_matrix(batch.column(k)) for k in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(probable(one, two, s)))
 
     return run
@@ -160,8 +167,8 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _verified(s: Settings):
     def run(batches):
         for batch in batches:
-            x, y = (batch.column(k).to_pylist() for k in (2, 3))
-            yes = [similar(np.frombuffer(p, _U), np.frombuffer(q, _U), s.percent) for p, q in zip(x, y)]
+            x, y = batch.column(2), batch.column(3)
+            yes = [similar(np.frombuffer(x[i].as_buffer(), _U), np.frombuffer(y[i].as_buffer(), _U), s.percent) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     return run
