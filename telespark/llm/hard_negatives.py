@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Candidates in a block, and anchors that meet it in one task.
-BLOCK, ANCHORS = 4096, 1024
+#: Values (rows x dimensions) in a block of candidates, and anchors that meet it in one task.
+BLOCK, ANCHORS = 1 << 18, 512
 #: Dimensions that a scan reads before the bounds are looked at again.
 STEP = 8
 #: Products beyond this are not exact in doubles; Python's integers take their place.
@@ -169,15 +169,6 @@ def _rows(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})
 
 
-def _meet(anchors: DataFrame, candidates: DataFrame, keys: list[str], task, schema: str) -> DataFrame:
-    """Blocks of anchors meet blocks of candidates that agree on ``keys``: one task each, returning k rows an anchor."""
-    return anchors.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(task, schema)
-
-
-def _blocks(total: Column, size: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(total / size)).cast("int")
-
-
 # ------------------------------------------------------------------ the operator
 
 def usable_rows(embeddings: DataFrame, label: Column, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -195,75 +186,72 @@ def usable_rows(embeddings: DataFrame, label: Column, scale: int = 256, id_col:
     return times.withColumn("first", first).select("id", F.explode(F.sequence("first", F.col("first") + F.col("times") - 1)).alias("copy"), "label", "v")
 
 
+def _dealt(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(anchors, candidates): the rows of each key in blocks, its anchors in turns; every block is there for each turn."""
+    size = F.greatest(F.lit(1), F.floor(BLOCK / F.greatest(F.lit(1), F.col("dims"))))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("a").alias("na")).where("na > 0")
+    sizes = sizes.select(*keys, F.ceil(F.col("n") / size).cast("int").alias("blocks"), F.ceil(F.col("na") / ANCHORS).cast("int").alias("turns"))
+    sized, deal = rows.join(sizes, keys), F.xxhash64(*ROW)
+    anchors = sized.where("a").withColumn("turn", F.pmod(deal, "turns").cast("int"))
+    candidates = sized.withColumn("block", F.pmod(deal, "blocks").cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    return anchors, candidates
+
+
+def _best(keys: list[str], anchors: Callable[[DataFrame | None], DataFrame], candidates: DataFrame, state: str, task, schema: str, own: list[str], found: list[str], k: int) -> DataFrame:
+    """The k best rows (by score, then ``found``) of each ``own``, ranked, from scans of every block.
+
+    Block 0 is scanned first.  The k-th scores found there are the floors with which the scans of the others begin:
+    ``anchors`` gives the anchors with their ``state``, for the floors known so far."""
+    keys = [*keys, "block", "turn"]
+    columns = list(dict.fromkeys([*keys, *ROW, "label", "v"]))
+
+    def scan(a: DataFrame, c: DataFrame) -> DataFrame:
+        c = c.select(*(F.col(x).alias(x) for x in columns))  # both sides come from one table
+        return a.select(*columns, state).groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(task, schema)
+
+    first = materialise(scan(anchors(None).withColumn("block", F.lit(0)), candidates.where("block = 0")), "first")
+    floors = first.groupBy(*own).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    later = anchors(floors).where("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+    order = Window.partitionBy(*own).orderBy(F.col("score").desc(), *found)
+    return first.unionByName(scan(later, candidates.where("block > 0"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score).
 
     ``rows`` as from ``usable_rows``.  An anchor's positives are its best other rows of the same label; for each
-    positive, the best rows of other labels with low% <= negative / positive <= high% of the positive's score are its
-    negatives.  Best: highest inner product, ties by smaller id.  Only vectors of one length are compared.  A negative
-    positive score leaves an empty window, and a zero one takes zero scores.
+    positive, the best rows of other labels whose score is low% to high% of the positive's are its negatives.  Best:
+    highest inner product, ties by smaller id.  Only vectors of one length are compared.  A negative positive score
+    leaves an empty window, and a zero one takes zero scores.
 
     Candidates are dealt into blocks, for the positives inside a label, so that an anchor meets its own label alone.
-    The first block is scanned first; its k-th scores are the floor with which the scans of the other blocks begin.
     An empty table, no anchors, or no row of another label give no rows.  Scores have to fit into a long.
     """
     rows = materialise(rows.withColumns({"dims": F.size("v"), "a": F.coalesce(is_anchor, F.lit(False))}), "vectors")
-    deal = F.xxhash64(*ROW)
+    anchor = ["a_id", "a_copy"]
 
-    # Positives: blocks inside a label.
-    sizes = rows.groupBy("dims", "label").agg(F.count("*").alias("n"), F.count_if("a").alias("na"))
-    sizes = sizes.select("dims", "label", _blocks(F.col("n"), BLOCK).alias("blocks"), _blocks(F.col("na"), ANCHORS).alias("turns")).where("na > 0")
-    sized = rows.join(sizes, ["dims", "label"])
-    candidates = sized.withColumn("block", F.pmod(deal, "blocks").cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    anchors = sized.where("a").withColumn("turn", F.pmod(deal, "turns").cast("int"))
-    keys = ["dims", "label", "block", "turn"]
-    best = _two_passes(anchors, candidates, keys, ["label"], _positive_task(positives), POSITIVES, ["a_id", "a_copy", "a_label"], positives,
-                       lambda a, found: a.join(_floor(found, ["a_id", "a_copy"], positives), [a["id"] == F.col("a_id"), a["copy"] == F.col("a_copy")], "left").drop("a_id", "a_copy"))
-
-    # Negatives: windows of each anchor against blocks of all rows.
-    p = F.col("score")
-    windows = best.select("a_id", "a_copy", "p_id", "p_copy", p.alias("p_score"), F.ceil(p * low / F.lit(100).cast("decimal(20,0)")).cast("long").alias("low"),
-                          F.floor(p * high / F.lit(100).cast("decimal(20,0)")).cast("long").alias("high")).where("low <= high")
-    windows = materialise(windows, "windows")
-    sizes = rows.groupBy("dims").agg(F.count("*").alias("n"), F.count_if("a").alias("na"))
-    sizes = sizes.select("dims", _blocks(F.col("n"), BLOCK).alias("blocks"), _blocks(F.col("na"), ANCHORS).alias("turns")).where("na > 0")
-    sized = rows.join(sizes, "dims")
-    candidates = sized.withColumn("block", F.pmod(deal, "blocks").cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    anchors = sized.where("a").withColumn("turn", F.pmod(deal, "turns").cast("int"))
-    own = ["a_id", "a_copy", "p_id", "p_copy"]
+    def known(a: DataFrame, about: DataFrame, how: str) -> DataFrame:
+        return a.join(about, [a["id"] == about["a_id"], a["copy"] == about["a_copy"]], how).drop(*anchor)
 
-    def with_floors(a: DataFrame, found: DataFrame | None) -> DataFrame:
-        w = windows
-        w = w.join(_floor(found, own, negatives), own, "left") if found is not None else w.withColumn("floor", F.lit(None).cast("long"))
-        w = w.groupBy("a_id", "a_copy").agg(F.collect_list(F.struct("p_id", "p_copy", "p_score", "low", "high", "floor")).alias("windows"))
-        return a.join(w, [a["id"] == w["a_id"], a["copy"] == w["a_copy"]]).drop("a_id", "a_copy", "floor")
+    some, candidates = _dealt(rows, ["dims", "label"])
 
-    last = _two_passes(anchors, candidates, ["dims", "block", "turn"], [], _negative_task(negatives), NEGATIVES, own, negatives, with_floors, id_col="n_id")
-    return last.select(F.col("a_id").alias("anchor_id"), F.col("p_id").alias("positive_id"), F.col("rank"), F.col("n_id").alias("negative_id"),
-                       F.col("p_score").alias("positive_score"), F.col("score").alias("negative_score"))
-
-
-def _ranked(found: DataFrame, own: list[str], k: int, id_col: str) -> DataFrame:
-    order = [F.col("score").desc(), F.col(id_col), F.col(id_col.replace("_id", "_copy"))]
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).where(F.col("rank") <= k)
+    def with_floor(floors: DataFrame | None) -> DataFrame:
+        return some.withColumn("floor", F.lit(None).cast("long")) if floors is None else known(some, floors, "left")
 
+    best = _best(["dims", "label"], with_floor, candidates, "floor", _positive_task(positives), POSITIVES, anchor, ["p_id", "p_copy"], positives)
 
-def _floor(found: DataFrame, own: list[str], k: int) -> DataFrame:
-    """The k-th score, where k rows are known."""
-    return found.groupBy(*own).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    def percent(p: int) -> Column:
+        return F.col("score").cast("decimal(24,0)") * p / F.lit(100).cast("decimal(3,0)")
 
+    windows = best.select(*anchor, "p_id", "p_copy", F.col("score").alias("p_score"), F.ceil(percent(low)).cast("long").alias("low"), F.floor(percent(high)).cast("long").alias("high"))
+    windows = materialise(windows.where("low <= high"), "windows")
+    own = [*anchor, "p_id", "p_copy"]
+    asked, every = _dealt(rows, ["dims"])
 
-def _two_passes(anchors: DataFrame, candidates: DataFrame, keys: list[str], _inside: list[str], task, schema: str, own: list[str], k: int, with_floors, id_col: str = "p_id") -> DataFrame:
-    columns = ["id", "copy", "label", "v"]
+    def with_windows(floors: DataFrame | None) -> DataFrame:
+        w = windows.withColumn("floor", F.lit(None).cast("long")) if floors is None else windows.join(floors, own, "left")
+        return known(asked, w.groupBy(*anchor).agg(F.collect_list(F.struct("p_id", "p_copy", "p_score", "low", "high", "floor")).alias("windows")), "inner")
 
-    def scan(first: bool, found: DataFrame | None) -> DataFrame:
-        a = with_floors(anchors.withColumn("floor", F.lit(None).cast("long")) if found is None else anchors, found) if id_col == "n_id" or found is not None else anchors.withColumn("floor", F.lit(None).cast("long"))
-        a = a.withColumn("block", F.explode(F.array(F.lit(0)) if first else F.sequence(F.lit(1), F.col("blocks") - 1))) if first else \
-            a.where("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
-        extra = ["windows"] if id_col == "n_id" else ["floor"]
-        c = candidates.where("block = 0" if first else "block > 0")
-        return _meet(a.select(*dict.fromkeys([*keys, *columns, *extra])), c.select(*dict.fromkeys([*keys, *columns])), keys, task, schema)
-
-    seed = materialise(scan(True, None), "seed")
-    rest = scan(False, seed)
-    return _ranked(seed.unionByName(rest), own, k, id_col)
+    last = _best(["dims"], with_windows, every, "windows", _negative_task(negatives), NEGATIVES, own, ["n_id", "n_copy"], negatives)
+    return last.select(F.col("a_id").alias("anchor_id"), F.col("p_id").alias("positive_id"), "rank", F.col("n_id").alias("negative_id"),
+                       F.col("p_score").alias("positive_score"), F.col("score").alias("negative_score"))
