@@ -8,10 +8,12 @@ by *name*, missing ones are null.
 
 One text scan takes every line with its path and place, and writes them to
 Parquet in the shared folder: the files are read once, and many small files
-become few large ones.  The first line of each file (smallest row id of the
-split at byte 0) is its header; only the *distinct* headers reach the driver.
-Each line is parsed with its own file's header, so files of any mix of
-headers are one scan.
+become few large ones.  Files whose names do not match are dropped when the
+folders are listed and never opened.  Lines become records (``quoted.py``): a
+quoted field may hold line breaks, also across the borders of file splits.
+The first record of each file (smallest row id of the split at byte 0) is its
+header; only the *distinct* headers reach the driver.  Each record is parsed
+with its own file's header, so files of any mix of headers are one scan.
 
 ``RowId`` records load order - kind (event before sample before meta), path,
 position in the file - as a sortable struct and is the tie-breaker for equal
@@ -21,8 +23,8 @@ timestamps.
 from __future__ import annotations
 
 import csv
+import io
 import logging
-import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -30,7 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telespark.session import scratch_path
+from telespark.session import written
+from telespark.sources import quoted
 
 log = logging.getLogger(__name__)
 
@@ -60,19 +63,19 @@ def _base(spark: SparkSession, root: str) -> str:
 
 
 def _names(line: str, sep: str) -> list[str]:
-    return [n.strip() for n in next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])]
+    return [n.strip() for n in next(csv.reader(io.StringIO(line.lstrip("\ufeff"), newline=""), delimiter=sep), [])]
 
 
 @dataclass
 class LogScan:
-    """Every line of the matching files below a root.
+    """Every record of the matching files below a root.
 
-    ``lines``: kind, path, split, row, value, header (the file's first line);
-    ``files``: kind, path, filename - one row for each non-empty file;
-    ``headers``: the distinct first lines of each kind.
+    ``records``: kind, path, split, row, value, header (the file's first
+    record); ``files``: kind, path, filename - one row for each non-empty
+    file; ``headers``: the distinct first records of each kind.
     """
 
-    lines: DataFrame
+    records: DataFrame
     files: DataFrame
     headers: dict[str, list[str]]
     sep: str
@@ -83,7 +86,7 @@ class LogScan:
         headers = self.headers.get(kind)
         if not headers:
             return None
-        d, parsed = self.lines.filter((F.col("kind") == kind) & ~F.col("first")), {}
+        d, parsed = self.records.filter((F.col("kind") == kind) & ~F.col("first")), {}
         for i, line in enumerate(headers):
             names = _names(line, self.sep)
             fields, seen = [], set()
@@ -93,7 +96,7 @@ class LogScan:
                 fields.append("`{}` string".format(used.replace("`", "``")))
                 if used == n:
                     parsed.setdefault(n, []).append(f"_h{i}")
-            row = F.from_csv("value", ", ".join(fields), {"sep": self.sep, "nullValue": "NULL", "mode": "PERMISSIVE"})
+            row = F.from_csv("value", ", ".join(fields), {"sep": self.sep, "nullValue": "NULL", "escape": '"', "mode": "PERMISSIVE"})
             d = d.withColumn(f"_h{i}", F.when(F.col("header") == line, row))
         cols = [F.nullif(F.coalesce(*(F.col(h).getField(n) for h in hs)), F.lit("")).alias(n) for n, hs in parsed.items()]
         row_id = F.struct(F.lit(KIND_RANK[kind]).alias("kind"), F.col("path").alias("file"),
@@ -109,28 +112,25 @@ def scan(spark: SparkSession, root: str, patterns: Mapping[str, str], sep: str =
     ``label`` is how the root is spelled in ``filename`` (R's
     ``full.names=TRUE``).  ``root`` may be one file."""
     base, label = _base(spark, root), root if label is None else label
-    d = spark.read.option("recursiveFileLookup", "true").text(root).select(
-        "value", _path().alias("path"), F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("row"))
     below = F.col("path").startswith(base + "/")
     rel = F.when(below, F.expr(f"substring(path, {len(base) + 2})")).otherwise(F.col("path"))
     kind = F.lit(None).cast("string")
     for k, pattern in reversed(patterns.items()):
         kind = F.when(rel.rlike(pattern), k).otherwise(kind)
-    d = d.withColumn("filename", F.when(below, F.concat(F.lit(label + "/"), rel)).otherwise(F.lit(label)))
-    d = d.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    path = scratch_path(spark, f"lines-{uuid.uuid4().hex}")
-    d.write.option("compression", "zstd").parquet(path)
-    lines = spark.read.schema(d.schema).parquet(path)
-    heads = (lines.filter(F.col("split") == 0).groupBy("kind", "path", "filename")
+    filename = F.when(below, F.concat(F.lit(label + "/"), rel)).otherwise(F.lit(label))
+    # The filter uses the path alone and stands below the row id, so it is applied to the list of files.
+    d = spark.read.option("recursiveFileLookup", "true").text(root).withColumn("path", _path()).where(kind.isNotNull())
+    d = d.select("value", "path", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), filename.alias("filename"), kind.alias("kind"))
+    records = quoted.records(written(quoted.with_states(d, sep), "lines"))
+    heads = (records.filter(F.col("split") == 0).groupBy("kind", "path", "filename")
              .agg(F.min_by("value", "row").alias("header"), F.min("row").alias("_first")))
     distinct = heads.filter(F.trim("header") != "").select("kind", "header").distinct().collect()
     headers: dict[str, list[str]] = {}
     for r in sorted(distinct):
         headers.setdefault(r["kind"], []).append(r["header"])
-    lines = lines.join(heads.select("path", "header", "_first"), "path").filter(F.trim("value") != "")
+    records = records.join(heads.select("path", "header", "_first"), "path").filter(F.trim("value") != "")
     first = (F.col("split") == 0) & (F.col("row") == F.col("_first"))
-    return LogScan(lines.withColumn("first", first).drop("_first"), heads.select("kind", "path", "filename"), headers, sep)
+    return LogScan(records.withColumn("first", first).drop("_first"), heads.select("kind", "path", "filename"), headers, sep)
 
 
 def path_split(df: DataFrame, col: str = "filename", keep: bool = True) -> DataFrame:
