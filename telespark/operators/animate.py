@@ -13,6 +13,8 @@ exploded; nothing above the explode moves the generated rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,12 +142,6 @@ def time_grid(extent: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "secon
     return ticks.withColumn("second", second).drop("_n", "_b", "_t")
 
 
-def _anti(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    r = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)]).distinct()
-    on = [left[k].eqNullSafe(r[f"_r{i}"]) for i, k in enumerate(keys)]
-    return left.join(r, on, "left_anti")
-
-
 def _with_extent(df: DataFrame, extent: DataFrame, keys: list[str]) -> DataFrame:
     """Attach ``time_start``/``total_time`` (inner: sessions without a
     playback extent have no playback rows)."""
@@ -159,15 +155,17 @@ def _entities(extent: DataFrame, template: DataFrame, keys: list[str]) -> DataFr
     return _with_extent(template, extent, keys)
 
 
-def _free_ticks(real: DataFrame, entities: DataFrame, keys: list[str], unit: str) -> DataFrame:
-    """Grid rows of the ticks that hold no real row of their entity.
+def _tick(c: str, unit: str):
+    """Place of a time in its session's grid."""
+    return F.floor((epoch_micros(c) - epoch_micros("time_start")) / F.lit(UNIT_MICROS[unit])).cast("long")
+
+
+def _free_runs(real: DataFrame, entities: DataFrame, keys: list[str], unit: str) -> DataFrame:
+    """Runs ``_lo`` .. ``_hi`` of the grid ticks that hold no real row of their entity.
 
     ``real`` has (keys, id, second, size), one row for each tick with real
     rows.  Between two real ticks of an entity the carried size does not
-    change, so only the real ticks are ordered and joined (a small table);
-    the ticks between them are then generated, and nothing is shuffled after
-    that.  Long spans are cut into blocks that are dealt out before."""
-    micros = F.lit(UNIT_MICROS[unit])
+    change, so only the real ticks are ordered and joined (a small table)."""
     ent = entities.select(F.struct(*keys, "id").alias("_e"), *keys, "id", "x", "y", "name", "time_start", "total_time")
     last = F.greatest(F.floor(F.col("total_time") / F.lit(UNIT_MICROS[unit] // 1_000_000)), F.lit(0)).cast("long")
     r = real.filter(F.col("second").isNotNull()).select(F.struct(*keys, "id").alias("_e"), "second", "size")
@@ -176,22 +174,44 @@ def _free_ticks(real: DataFrame, entities: DataFrame, keys: list[str], unit: str
     before = r.groupBy("_e").agg(F.min("second").alias("_next"))
     spans = (ent.join(r, "_e").unionByName(ent.join(before, "_e", "left").withColumns(
         {"second": F.lit(None).cast("timestamp_ntz"), "size": F.lit(0.0)})))
+    spans = spans.withColumns({"_lo": F.greatest(F.coalesce(_tick("second", unit) + 1, F.lit(0)), F.lit(0)).cast("long"),
+                               "_hi": F.least(F.coalesce(_tick("_next", unit) - 1, last), last)})
+    return spans.filter(F.col("_lo") <= F.col("_hi")).drop("second", "_next", "_e")
+
 
-    def tick(c: str):
-        return F.floor((epoch_micros(c) - epoch_micros("time_start")) / micros).cast("long")
-
-    spans = spans.withColumns({"_lo": F.greatest(F.coalesce(tick("second") + 1, F.lit(0)), F.lit(0)).cast("long"),
-                               "_hi": F.least(F.coalesce(tick("_next") - 1, last), last)})
-    spans = spans.filter(F.col("_lo") <= F.col("_hi")).drop("second", "_next", "_e")
-    block = F.lit(TICK_BLOCK)
-    blocks = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / block), F.floor(F.col("_hi") / block))))
-    blocks = blocks.repartition(*keys, "id", "_b")
-    ticks = blocks.withColumn("_t", F.explode(F.sequence(
-        F.greatest("_lo", F.col("_b") * block), F.least("_hi", F.col("_b") * block + block - 1))))
+def _in_blocks(runs: DataFrame, ticks: int) -> DataFrame:
+    """Runs cut at the borders of blocks of ``ticks`` ticks (``_b``)."""
+    block = F.lit(ticks)
+    d = runs.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / block), F.floor(F.col("_hi") / block))))
+    return d.withColumns({"_lo": F.greatest("_lo", F.col("_b") * block), "_hi": F.least("_hi", F.col("_b") * block + block - 1)})
+
+
+def _free_ticks(real: DataFrame, entities: DataFrame, keys: list[str], unit: str) -> DataFrame:
+    """Grid rows of the free runs.  Long runs are cut into blocks that are
+    dealt out before the ticks are generated; nothing is shuffled after that."""
+    blocks = _in_blocks(_free_runs(real, entities, keys, unit), TICK_BLOCK).repartition(*keys, "id", "_b")
+    ticks = blocks.withColumn("_t", F.explode(F.sequence("_lo", "_hi")))
     second = F.timestamp_add("SECOND", F.col("_t") * F.lit(UNIT_MICROS[unit] // 1_000_000), F.col("time_start"))
     return ticks.withColumn("second", second).drop("_lo", "_hi", "_b", "_t")
 
 
+def _real_ticks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Ticks of the targets' real rows, with the size that the last of them leaves."""
+    return (rows.filter(F.col("id").isNotNull()).groupBy(*keys, "id", "second")
+            .agg(F.max_by("size", F.struct(F.col("_ts"), F.col("_tie"))).alias("size")))
+
+
+def free_spine(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second") -> DataFrame:
+    """Every tick x template row without the ticks at which a target has real
+    rows (``anti_join`` of the spine), as the playback generates it."""
+    keys = _keys(spec)
+    extent = playback_extent(prep, spec, unit)
+    template = mole_template(prep, spec).unionByName(laser_template(prep, spec))
+    real = _real_ticks(_with_extent(mole_activity(prep, spec, unit), extent, keys), keys)
+    free = _free_ticks(real, _entities(extent, template, keys), keys, unit)
+    return free.withColumn("size", F.when(F.col("name") == LASER, F.lit(0.0)))
+
+
 def filled_targets(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
                    extent: DataFrame | None = None) -> DataFrame:
     """Target layer: every tick x target id, real target rows in place of grid
@@ -201,8 +221,7 @@ def filled_targets(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "se
     keys = _keys(spec)
     extent = playback_extent(prep, spec, unit) if extent is None else extent
     moles = _with_extent(mole_activity(prep, spec, unit), extent, keys)
-    real = (moles.filter(F.col("id").isNotNull()).groupBy(*keys, "id", "second")
-            .agg(F.max_by("size", F.struct(F.col("_ts"), F.col("_tie"))).alias("size")))
+    real = _real_ticks(moles, keys)
     free = _free_ticks(real, _entities(extent, mole_template(prep, spec), keys), keys, unit)
     return free.unionByName(moles, allowMissingColumns=True).drop("_ts", "_tie")
 
@@ -239,6 +258,52 @@ def densify(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
     return d.select(*keys, "second", "id", "name", "x", "y", "size", spec.event, "has_hit")
 
 
+#: Ticks of a block whose runs are one row of the sorted playback.
+SORTED_BLOCK = 512
+
+
+def sorted_blocks(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second") -> DataFrame:
+    """(keys, block, total_time, runs): the playback's rows of each block of ticks as runs, by entity.
+
+    A run is one entity's rows over neighbouring ticks: a free run of the
+    grid, or a single real row.  Blocks come in the order of (keys, block);
+    the runs of a block are ordered by (id, time, load order).  A block holds
+    as many runs as its ticks have entities and events."""
+    keys = _keys(spec)
+    extent = playback_extent(prep, spec, unit)
+    moles = _with_extent(mole_activity(prep, spec, unit), extent, keys)
+    lasers = _with_extent(laser_per_second(prep, spec, unit), extent, keys)
+    at = _tick("second", unit)
+    rows = moles.unionByName(lasers, allowMissingColumns=True).filter(F.col("second").isNotNull()).withColumns({"_lo": at, "_hi": at}).drop("second")
+    runs = (_free_runs(_real_ticks(moles, keys), _entities(extent, mole_template(prep, spec), keys), keys, unit)
+            .unionByName(_free_runs(lasers.select(*keys, "id", "second", F.lit(0.0).alias("size")), _entities(extent, laser_template(prep, spec), keys), keys, unit))
+            .unionByName(rows, allowMissingColumns=True))
+    run = F.struct("id", "_ts", "_tie", "_lo", "_hi", "name", "x", "y", "size", spec.event, "has_hit")
+    blocks = _in_blocks(runs, SORTED_BLOCK).groupBy(*keys, F.col("_b").alias("block"), "total_time").agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    return blocks.repartitionByRange(*keys, "block").sortWithinPartitions(*keys, "block")
+
+
+def sorted_frames(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second", lower: float | None = None) -> DataFrame:
+    """(keys, second, rows): one row for each tick, its entities in order, ticks in order; up to the end of the game.
+
+    The blocks are sorted before a tick is generated; the ticks of a block are
+    generated in order, and the runs that hold a tick are in order already, so
+    nothing above the blocks sorts or moves rows."""
+    step = UNIT_MICROS[unit] // 1_000_000
+    first, last = F.col("block") * SORTED_BLOCK, F.floor(F.col("total_time") / step)
+    low, high = F.greatest(first, F.lit(None if lower is None else math.ceil(lower / step)).cast("long")), F.least(first + SORTED_BLOCK - 1, last)
+    d = sorted_blocks(prep, spec, unit).where(low <= high).withColumn("_t", F.explode(F.sequence(low, high)))
+    held = F.filter("runs", lambda r: (r["_lo"] <= F.col("_t")) & (F.col("_t") <= r["_hi"]))
+    d = d.select(*spec.keys, (F.col("_t") * step).cast("double").alias("second"), held.alias("rows"))
+    return d.where(F.size("rows") > 0)
+
+
+def sorted_playback(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second", lower: float | None = None) -> DataFrame:
+    """``densify`` in the order of (session, second, id)."""
+    d = sorted_frames(prep, spec, unit, lower).withColumn("_r", F.explode("rows"))
+    return d.select(*spec.keys, "second", *(F.col("_r")[c].alias(c) for c in ("id", "name", "x", "y", "size", spec.event, "has_hit")))
+
+
 def anim_layers(dense: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split the playback table into its target and laser layers."""
     return (dense.filter(F.col("name") == ACTIVE_MOLE), dense.filter(F.col("name") == LASER))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telespark.functions.nulls import nan_to_null
+from telespark.operators import ordered
 
 
 # The per-series solver runs in Python workers: ship this module's code with
@@ -49,31 +50,31 @@ def p_lin(df: DataFrame, response: str, term: str, by: Sequence[str] = (),
 
 # ---------------------------------------------------------------- smoothing spline
 
-def spline_points(df: DataFrame, response: str, term: str, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def spline_points(df: DataFrame, response: str, term: str, by: Sequence[str] = (), rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct x of each series with everything a cubic B-spline fit needs.
 
     Points: (_s, x, w, ybar, n, i, b0..b3) - count and mean response at x,
     the series' distinct x, the knot interval that x lies in, and the four
     basis functions that are not zero there, on x scaled to [0, 1].  Knots:
     (_s, i, a..f) - for each interval its two knots c, d and two to each side
-    (the ends repeat).  Series with under 4 distinct x have none."""
+    (the ends repeat).  Series with under 4 distinct x have none.  ``rows``:
+    points of a chunk in which ranks are counted."""
     s = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     y, x = nan_to_null(response), nan_to_null(term)
     d = (df.select(s.alias("_s"), x.alias("x"), y.alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
          .groupBy("_s", "x").agg(F.count(F.lit(1)).cast("double").alias("w"), F.avg("y").alias("ybar")))
-    own, up = Window.partitionBy("_s"), Window.partitionBy("_s").orderBy("x")
-    d = d.withColumns({"n": F.count(F.lit(1)).over(own), "_r": F.row_number().over(up), "_lo": F.min("x").over(own), "_hi": F.max("x").over(own)})
+    # Ranks from chunks that the data cut: a series of any length is many tasks, and no window holds a series.
+    d = ordered.range_chunks(d, ["_s"], [F.col("x")], rows)
+    ends = d.groupBy("_s").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.count(F.lit(1)).alias("n"))
+    d = ordered.row_numbers(d, ["_s"], "x", "x", "place", "total").drop("total").join(ends.withColumn("nk", n_knots(F.col("n"))), "_s")
     d = d.withColumn("u", F.when(F.col("n") >= 4, (F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))))
-    # Knot k stands at place floor(1 + k (n - 1) / (nk - 1)), k = 0 .. nk - 1.
-    nk = n_knots(F.col("n"))
-    d = d.withColumn("nk", nk)
-    k = F.ceil((F.col("_r") - 1) * (F.col("nk") - 1) / (F.col("n") - 1) - 1e-12)
-    knot = F.floor(1 + k * (F.col("n") - 1) / (F.col("nk") - 1) + 1e-12) == F.col("_r")
-    d = d.withColumn("_knot", F.when(knot & (k < F.col("nk")), 1).otherwise(0))
-    d = d.withColumn("i", F.least(F.sum("_knot").over(up) - 1, F.col("nk") - 2).cast("int"))
+    # Knot k stands at place 1 + floor(k (n - 1) / (nk - 1)), k = 0 .. nk - 1: the last one up to place r follows from r.
+    d = d.withColumn("_at", F.when(F.col("n") >= 4, F.expr("(place * (nk - 1) - 1) div (n - 1)")))
+    d = d.withColumn("_knot", F.expr("_at < nk AND 1 + (_at * (n - 1)) div (nk - 1) = place"))
+    d = d.withColumn("i", F.least(F.col("_at"), F.col("nk") - 2).cast("int"))
     on = Window.partitionBy("_s").orderBy("u")
     first, last = (f("u").over(on.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for f in (F.first, F.last))
-    kn = d.filter((F.col("n") >= 4) & (F.col("_knot") == 1)).select("_s", "u", "nk")
+    kn = d.filter("_knot").select("_s", "u", "nk")
     kn = kn.select("_s", "nk", (F.row_number().over(on) - 1).cast("int").alias("i"),
                    F.coalesce(F.lag("u", 2).over(on), first).alias("a"), F.coalesce(F.lag("u", 1).over(on), first).alias("b"), F.col("u").alias("c"),
                    *(F.coalesce(F.lead("u", j).over(on), last).alias(n) for j, n in ((1, "d"), (2, "e"), (3, "f"))))

@@ -2,31 +2,34 @@
 ratio tests, R-squared, and stepwise selection of random and fixed terms.
 
 One factor, the grouping factor, may have any number of levels and is never
-collected.  Its levels stay a Spark table with the row count and the sum of
-every column in each level.  For a relative scale theta of that factor, the
-profiled ML deviance
+collected.  One scan of the rows makes the *level table*: for each level and
+each pattern of missing values, the row count, the sum of every column and of
+every product of two columns.  Every set of complete rows that a comparison
+of two models uses is a union of patterns, so no later step reads the rows.
 
-    d(theta) = log|L|^2 + n (1 + log(2 pi r^2 / n))
-
-needs of this table only ``sum log(1 + theta^2 n_j)`` and the matrix
-``sum theta^2 / (1 + theta^2 n_j) a_j a_j'`` over the level sums ``a_j``: one
-aggregate over the level table and a grid of thetas gives both, and what comes
-to the driver is grid x columns^2 numbers, whatever the rows and levels.
-Finer grids around each model's best point follow.
+For a relative scale theta of the grouping factor, the profiled ML deviance
 
-The other factors are categories; their levels are columns, as a text term's
-are, with scales of their own that are optimised in the small system.
+    d(theta) = log|L|^2 + n (1 + log(2 pi r^2 / n))
 
-Every comparison of two models uses the rows that are complete in the columns
-of that pair, and no other column.
+needs of the levels only ``sum log(1 + theta^2 n_j)`` and the matrix
+``sum theta^2 / (1 + theta^2 n_j) a_j a_j'`` over the level sums ``a_j``.
+Both weigh a level by its size alone, so the levels are summed by size into
+the *size table*, which serves every theta, model and response.  It comes to
+the driver while it is small (``MAX_SIZES`` rows), else each grid of thetas is
+one aggregate over it, for all models together; the results are the same.
+
+The other factors are categories with up to ``MAX_CATEGORIES`` levels; their
+levels are columns, as a text term's are, with scales of their own that are
+optimised in the small system.  Two factors with many levels each:
+``telespark.operators.crossed``.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -35,28 +38,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telespark.functions.nulls import nan_to_null
-from telespark.session import scratch_path
+from telespark.session import written
 
 INTERCEPT = "(Intercept)"
 #: Relative scales of the grouping factor on the first grid; points of a finer grid, and how many follow.
 COARSE, FINE, GRIDS = (0.0, *np.geomspace(1e-3, 1e3, 33)), 17, 4
+#: Levels of a category; rows of the size table that come to the driver.
+MAX_CATEGORIES, MAX_SIZES = 200, 20_000
 
 
 # ------------------------------------------------------------------ statistics
 
-def _design(df: DataFrame, fixed: Sequence[str]) -> tuple[DataFrame, list[str], dict]:
-    """Numeric terms as they are; text terms as treatment dummies (first
-    level is the reference), levels read with one small distinct query."""
-    types = dict(df.dtypes)
+def category_levels(d: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Levels of categorical columns as text.  They are counted before any of them is collected."""
+    if not columns:
+        return {}
+    d = d.select(*(F.col(c).cast("string").alias(c) for c in columns))
+    about = d.agg(*(F.approx_count_distinct(c).alias(c) for c in columns)).first()
+    many = [c for c in columns if about[c] > 1.2 * MAX_CATEGORIES]
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    if not many:
+        for name, level in d.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns))).alias("x")).select("x.*").dropna().distinct().collect():
+            found[name].append(level)
+        many = [c for c in columns if len(found[c]) > MAX_CATEGORIES]
+    if many:
+        raise ValueError(f"{', '.join(many)}: more than {MAX_CATEGORIES} levels; make it the grouping factor, or use telespark.operators.crossed")
+    return {c: sorted(v) for c, v in found.items()}
+
+
+def _design(df: DataFrame, fixed: Sequence[str], levels: dict[str, list[str]]) -> tuple[DataFrame, list[str], dict]:
+    """Numeric terms as they are; text terms as treatment dummies (the first
+    level is the reference)."""
     cols: dict[str, object] = {INTERCEPT: F.lit(1.0)}
     terms: dict[str, list[str]] = {}
     for t in fixed:
-        if types[t] == "string":
-            levels = sorted(r[0] for r in df.select(t).distinct().collect())
-            names = [f"{t}{lv}" for lv in levels[1:]]
-            for lv, nm in zip(levels[1:], names):
-                cols[nm] = (F.col(t) == lv).cast("double")
-            terms[t] = names
+        if t in levels:
+            terms[t] = [f"{t}{lv}" for lv in levels[t][1:]]
+            cols.update({nm: (F.col(t) == lv).cast("double") for lv, nm in zip(levels[t][1:], terms[t])})
         else:
             cols[t] = F.col(t).cast("double")
             terms[t] = [t]
@@ -73,7 +91,7 @@ def stats_frame(df: DataFrame, responses: Sequence[str], fixed: Sequence[str],
     types = dict(df.dtypes)
     d = df.select(*[nan_to_null(c).alias(c) if types[c] in ("double", "float") else F.col(c) for c in used]).dropna()
     d = d.withColumns({r: F.col(r).cast("string") for r in random})
-    d, columns, terms = _design(d, fixed)
+    d, columns, terms = _design(d, fixed, category_levels(d, [t for t in fixed if types[t] == "string"]))
     allv = [F.col(f"_x_{c}") for c in columns] + [F.col(r).cast("double") for r in responses]
     m = len(allv)
     sets = [[]] + [[r] for r in random] + [list(p) for p in combinations(random, 2)]
@@ -86,72 +104,58 @@ def stats_frame(df: DataFrame, responses: Sequence[str], fixed: Sequence[str],
     return g, columns, terms
 
 
-def deviance_profile(df: DataFrame, response: str, term: str, group: str, thetas: Iterable[float]) -> DataFrame:
-    """(theta, n, deviance) of ``response ~ term + (1|group)`` over a grid of
-    scales, as aggregates alone: level sums, then one row for each theta."""
-    y, x = nan_to_null(response), nan_to_null(term)
-    rows = df.select(F.col(group).alias("g"), y.alias("y"), x.alias("x")).dropna()
-    sums = {"n": F.lit(1.0), "x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "xy": F.col("x") * F.col("y"), "yy": F.col("y") * F.col("y")}
-    levels = rows.groupBy("g").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
-    t2 = F.col("theta") * F.col("theta")
-    w = t2 / (1 + t2 * F.col("n"))
-    grid = levels.withColumn("theta", F.explode(F.array(*(F.lit(float(t)) for t in thetas))))
-    m = {"nn": ("n", "n", "n"), "nx": ("x", "n", "x"), "ny": ("y", "n", "y"), "xx": ("xx", "x", "x"), "xy": ("xy", "x", "y"), "yy": ("yy", "y", "y")}
-    tot = grid.groupBy("theta").agg(
-        F.sum("n").alias("n"), F.sum(F.log1p(t2 * F.col("n"))).alias("logdet"),
-        *(F.sum(F.col(a) - w * F.col(p) * F.col(q)).alias(f"m_{k}") for k, (a, p, q) in m.items()))
-    c = {k: F.col(f"m_{k}") for k in m}
-    det = c["nn"] * c["xx"] - c["nx"] * c["nx"]
-    r2 = c["yy"] - (c["xx"] * c["ny"] * c["ny"] - 2 * c["nx"] * c["ny"] * c["xy"] + c["nn"] * c["xy"] * c["xy"]) / det
-    return tot.select("theta", F.col("n").cast("long").alias("n"), (F.col("logdet") + F.col("n") * (1 + F.log(2 * math.pi * r2 / F.col("n")))).alias("deviance"))
-
-
 @dataclass
 class Moments:
-    """Of one set of complete rows: count, products of all columns, and for
-    each theta the log determinant and the grouping factor's correction."""
+    """Of one set of complete rows: count, products of all columns, levels by
+    size (sizes, how many, summed products of their sums) or, where there are
+    too many sizes, their table, and for each theta the log determinant and
+    the grouping factor's correction."""
 
     n: int
     gram: np.ndarray
+    sizes: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    table: DataFrame | None = None
     grid: dict[float, tuple[float, np.ndarray]] = field(default_factory=dict)
 
 
 class MixedData:
-    """Rows and columns that the candidate models of a selection use."""
+    """The statistics that the candidate models of a selection need."""
 
     def __init__(self, df: DataFrame, responses: Sequence[str], fixed: Sequence[str], group: str, factors: Sequence[str] = ()):
         self.group, self.responses = group, list(responses)
         used = list(dict.fromkeys([*responses, *fixed, *factors, group]))
         types = dict(df.dtypes)
-        d = df.select(*[nan_to_null(c).alias(c) if types[c] in ("double", "float") else F.col(c) for c in used])
-        d, self.columns, terms = _design(d, fixed)
+        d = written(df.select(*[nan_to_null(c).alias(c) if types[c] in ("double", "float") else F.col(c) for c in used]), "model-rows")
+        levels = category_levels(d, [*(t for t in fixed if types[t] == "string"), *(f for f in factors if f not in fixed or types[f] != "string")])
+        d, self.columns, terms = _design(d, fixed, {t: lv for t, lv in levels.items() if types[t] == "string"})
         self.terms = {t: [self.columns.index(c) for c in cs] for t, cs in terms.items()}
         values = {c: F.col(f"_x_{c}") for c in self.columns}
         self.factors: dict[str, list[int]] = {}
         for f in factors:  # categories: a column for each level
-            levels = sorted(r[0] for r in d.select(F.col(f).cast("string")).dropna().distinct().collect())
-            names = [f"{f}={lv}" for lv in levels]
-            values.update({n: (F.col(f).cast("string") == lv).cast("double") for n, lv in zip(names, levels)})
+            names = [f"{f}={lv}" for lv in levels[f]]
+            values.update({n: (F.col(f).cast("string") == lv).cast("double") for n, lv in zip(names, levels[f])})
             self.factors[f] = list(range(len(self.columns), len(self.columns) + len(names)))
             self.columns += names
         for r in responses:
             values[f"y:{r}"] = F.col(r).cast("double")
             self.columns.append(f"y:{r}")
         # A value that is missing counts as 0: only rows complete in the columns of a pair enter its sums.
-        there = [F.col(c).isNotNull().alias(f"_has_{i}") for i, c in enumerate(used)]
-        self.has = {c: f"_has_{i}" for i, c in enumerate(used)}
-        self.rows = d.select(F.col(group).cast("string").alias("_g"), *there,
-                             F.array(*(F.coalesce(values[c], F.lit(0.0)) for c in self.columns)).alias("_v"))
+        self.bit = {c: i for i, c in enumerate(used)}
+        there = sum((F.col(c).isNotNull().cast("long") * (1 << i) for c, i in self.bit.items()), F.lit(0).cast("long"))
+        rows = d.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("_g"), there.alias("_has"),
+                                                        *(F.coalesce(values[c], F.lit(0.0)).alias(f"_v{i}") for i, c in enumerate(self.columns)))
+        v = [F.col(f"_v{i}") for i in range(len(self.columns))]
+        self.levels = written(rows.groupBy("_g", "_has").agg(F.count("*").alias("n"), F.array(*map(F.sum, v)).alias("a"), F.array(*map(F.sum, _products(v))).alias("p")), "levels")
+        k = len(_products(v))
+        self._patterns = {r["_has"]: (r["n"], self._matrix(r["p"])) for r in self.levels.groupBy("_has").agg(
+            F.sum("n").alias("n"), F.array(*(F.sum(F.col("p")[i]) for i in range(k))).alias("p")).collect()}
         self._known: dict[frozenset, Moments] = {}
-        self._levels: dict[frozenset, DataFrame] = {}
         self._best: dict[tuple, tuple[float, np.ndarray]] = {}  # least deviance at a theta
 
     def case(self, model: Model, response: str) -> frozenset:
-        return frozenset([response, self.group, *model.fixed, *model.random])
-
-    def _products(self, v) -> list:
-        m = len(self.columns)
-        return [v[i] * v[j] for i in range(m) for j in range(i, m)]
+        """The set of complete rows of a model: the patterns that have all of its columns."""
+        needed = sum(1 << self.bit[c] for c in {response, self.group, *model.fixed, *model.random})
+        return frozenset(p for p in self._patterns if p & needed == needed)
 
     def _matrix(self, values: Sequence[float]) -> np.ndarray:
         m = len(self.columns)
@@ -160,50 +164,67 @@ class MixedData:
         return out + np.triu(out, 1).T
 
     def moments(self, cases: Sequence[frozenset]) -> None:
-        """Row products and the level table of the given sets of complete rows, on the coarse grid."""
+        """Products and level sizes of the given sets of complete rows, on the coarse grid."""
         new = [c for c in dict.fromkeys(cases) if c not in self._known]
         if not new:
             return
-        spark, m = self.rows.sparkSession, len(self.columns)
-        fits = F.array(*(F.when(_all([F.col(self.has[x]) for x in sorted(c)]), F.lit(i)) for i, c in enumerate(new)))
-        d = self.rows.withColumn("_case", F.explode(F.array_compact(fits)))
-        v = [F.col("_v")[i] for i in range(m)]
-        for r in d.groupBy("_case").agg(F.count("*").alias("n"), F.array(*(F.sum(p) for p in self._products(v))).alias("g")).collect():
-            self._known[new[r["_case"]]] = Moments(r["n"], self._matrix(r["g"]))
+        m = len(self.columns)
         for c in new:
-            self._known.setdefault(c, Moments(0, np.zeros((m, m))))
-        path = scratch_path(spark, f"levels-{uuid.uuid4().hex}")
-        d.groupBy("_case", "_g").agg(F.count("*").cast("double").alias("n"), F.array(*(F.sum(x) for x in v)).alias("a")).write.parquet(path)
-        levels = spark.read.parquet(path)
-        for i, c in enumerate(new):
-            self._levels[c] = levels.filter(F.col("_case") == i)
-        self.refine({c: COARSE for c in new})
+            self._known[c] = Moments(sum(self._patterns[p][0] for p in c), sum((self._patterns[p][1] for p in c), np.zeros((m, m))))
+        there = [c for c in new if c]
+        if there:
+            fits = F.array(*(F.when(F.col("_has").isin(sorted(c)), F.lit(i)) for i, c in enumerate(there)))
+            level = self.levels.withColumn("_case", F.explode(F.array_compact(fits))).groupBy("_case", "_g").agg(
+                F.sum("n").alias("n"), *(F.sum(F.col("a")[i]).alias(f"a{i}") for i in range(m)))
+            sizes = written(level.groupBy("_case", "n").agg(F.count("*").alias("levels"), F.array(*map(F.sum, _products([F.col(f"a{i}") for i in range(m)]))).alias("s")), "sizes")
+            if sizes.count() <= MAX_SIZES:
+                rows = sizes.collect()
+                for i, c in enumerate(there):
+                    own = [r for r in rows if r["_case"] == i]
+                    self._known[c].sizes = (np.array([r["n"] for r in own], float), np.array([r["levels"] for r in own], float), np.array([self._matrix(r["s"]) for r in own]))
+            else:
+                for i, c in enumerate(there):
+                    self._known[c].table = sizes.where(F.col("_case") == i)
+        self.refine({c: COARSE for c in there})
 
     def refine(self, wanted: dict[frozenset, Iterable[float]]) -> None:
-        """Add thetas to the grids: one aggregate over the level tables."""
+        """Add thetas to the grids: from the sizes on the driver, or by one aggregate over the size tables."""
         parts, cases = [], list(wanted)
         for i, c in enumerate(cases):
-            thetas = [t for t in dict.fromkeys(map(float, wanted[c])) if t not in self._known[c].grid]
-            if thetas:
-                parts.append(self._levels[c].select(F.lit(i).alias("i"), "n", "a", F.explode(F.array(*map(F.lit, thetas))).alias("theta")))
+            mom = self._known[c]
+            thetas = [t for t in dict.fromkeys(map(float, wanted[c])) if t not in mom.grid]
+            if mom.sizes is not None:
+                n, levels, s = mom.sizes
+                for t in thetas:
+                    mom.grid[t] = (float(np.sum(levels * np.log1p(t * t * n))), np.tensordot(t * t / (1 + t * t * n), s, 1))
+            elif thetas:
+                parts.append(mom.table.select(F.lit(i).alias("i"), "n", "levels", "s", F.explode(F.array(*map(F.lit, thetas))).alias("theta")))
         if not parts:
             return
-        d = parts[0]
-        for p in parts[1:]:
-            d = d.unionByName(p)
+        d = reduce(DataFrame.unionByName, parts)
         t2 = F.col("theta") * F.col("theta")
         d = d.withColumn("w", t2 / (1 + t2 * F.col("n")))
-        a = [F.col("a")[k] for k in range(len(self.columns))]
-        g = d.groupBy("i", "theta").agg(F.sum(F.log1p(t2 * F.col("n"))).alias("logdet"), F.array(*(F.sum(F.col("w") * p) for p in self._products(a))).alias("g"))
+        k = len(_products(self.columns))
+        g = d.groupBy("i", "theta").agg(F.sum(F.col("levels") * F.log1p(t2 * F.col("n"))).alias("logdet"), F.array(*(F.sum(F.col("w") * F.col("s")[j]) for j in range(k))).alias("g"))
         for r in g.collect():
             self._known[cases[r["i"]]].grid[r["theta"]] = (r["logdet"], self._matrix(r["g"]))
 
 
-def _all(conditions: Sequence) -> object:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
+def _products(v: Sequence) -> list:
+    """Every product of two columns, the upper triangle by rows."""
+    if isinstance(v[0], str):
+        return [(a, b) for i, a in enumerate(v) for b in v[i:]]
+    return [a * b for i, a in enumerate(v) for b in v[i:]]
+
+
+def deviance_profile(df: DataFrame, response: str, term: str, group: str, thetas: Iterable[float]) -> list[tuple[float, int, float]]:
+    """(theta, n, deviance) of ``response ~ term + (1|group)`` at the given scales, as the fits compute it."""
+    data, model, thetas = MixedData(df, [response], [term], group), Model((term,), (group,), ""), list(map(float, thetas))
+    c = data.case(model, response)
+    data.moments([c])
+    data.refine({c: thetas})
+    mom = data._known[c]
+    return [(t, mom.n, deviance(data, mom, model, response, [t])) for t in thetas] if mom.n else []
 
 
 # ------------------------------------------------------------------ fitting

@@ -13,6 +13,12 @@ and is joined back on ``(group, chunk)``.  The big side is shuffled once on
 ``(group, chunk)``; the join reuses that partitioning, and AQE decides at run
 time whether the chunk table is small enough to broadcast.
 
+Where a clock unit may be crowded (all sessions together, or values instead of
+times), ``range_chunks`` cuts the chunks by the data: Spark's range partitioner
+draws the borders from a sample of the whole order, so rows with equal times
+are cut too, and each row keeps the chunk that was written down with it.  The
+scans take those chunks as they are.
+
 Rows are ordered by ``(ts ASC NULLS LAST, tie)``; rows without a timestamp
 form the last chunk of their group.  The group key is one struct column, so
 null key parts group together (as dplyr does) and joins stay plain equi-joins.
@@ -26,16 +32,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telespark.functions.time import unit_chunk
+from telespark.session import written
 
 KEY = "_k"
 CHUNK = "_ch"
+#: Rows of a chunk that the data cut.
+CHUNK_ROWS = 1_000_000
+
+
+def _key(keys: Sequence[str]) -> Column:
+    return F.struct(*[F.col(c) for c in keys]) if keys else F.struct(F.lit(0).alias("all"))
+
+
+def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int | None = None) -> DataFrame:
+    """Add the group key and chunks of about ``rows`` rows along (keys, order).
+
+    The table is written twice, with its chunk the second time, so a chunk
+    never changes when a task is repeated; up to ``rows`` rows are one chunk
+    and are written once.  ``order`` has to tell rows apart where they could
+    crowd."""
+    rows = CHUNK_ROWS if rows is None else rows
+    d = written(df.withColumn(KEY, _key(keys)), "ordered")
+    n = -(-d.count() // rows)
+    if n <= 1:
+        return d.withColumn(CHUNK, F.lit(0))
+    return written(d.repartitionByRange(n, KEY, *order).withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 
 def with_scan_keys(df: DataFrame, keys: Sequence[str], ts: str, unit: str) -> DataFrame:
     """Add the struct group key ``_k`` and the chunk id ``_ch`` (idempotent)."""
     if KEY not in df.columns:
-        k = F.struct(*[F.col(c) for c in keys]) if keys else F.struct(F.lit(0).alias("all"))
-        df = df.withColumn(KEY, k)
+        df = df.withColumn(KEY, _key(keys))
     if CHUNK not in df.columns:
         df = df.withColumn(CHUNK, unit_chunk(ts, unit))
     return df

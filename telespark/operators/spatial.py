@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from telespark.functions.nulls import count_if, in_set, nan_to_null, strict_sum
 from telespark.functions.scalars import concat_label, euclid_distance, make_point
 from telespark.functions.time import cast_integer
-from telespark.operators import ordered
+from telespark.operators import existence, ordered
 from telespark.operators.sessions import DEFAULT, MOLE_SPAWNED, SessionSpec
+from telespark.session import written
 
 # The target ids marked for measurement in the travel plot.
 MEASURE_MOLES = ('0705', '0104', '0505', '0701', '0902', '0501', '0205', '0401',
@@ -40,19 +41,20 @@ def travel_distance(sp: DataFrame, spec: SessionSpec = DEFAULT) -> DataFrame:
 
 
 def travel_direction(sp: DataFrame, spec: SessionSpec = DEFAULT,
-                     scope: str = "global", unit: str = "minute") -> DataFrame:
+                     scope: str = "global", rows: int | None = None) -> DataFrame:
     """``travelLeadHor``/``travelLeadVer`` against the *next* spawn.
 
     With ``scope="global"`` the next spawn is taken over all sessions in time
     order, as the reference does after ``ungroup()``; ``scope="session"``
     keeps it within the session.  Right if x > next x, Left if smaller, None
     if equal; Down if y < next y, Up if larger, None if equal; null when a
-    value or the next row is missing.  The global order is scanned in chunks of
-    a minute: the spawns of one minute of all sessions are a task, and only
-    the chunk table, a row for each minute, is ordered as a whole.
+    value or the next row is missing.  The order is cut into chunks of about
+    ``rows`` spawns by the data itself, however crowded a second is; only the
+    chunk table, a row for each chunk, is ordered as a whole.
     """
     keys: Sequence[str] = spec.keys if scope == "session" else ()
-    d = ordered.shift(sp, keys, spec.ts, spec.tie, {X: "_nx", Y: "_ny"}, lead=True, unit=unit)
+    d = ordered.range_chunks(sp, keys, [F.col(spec.ts).asc_nulls_last(), F.col(spec.tie)], rows)
+    d = ordered.shift(d, keys, spec.ts, spec.tie, {X: "_nx", Y: "_ny"}, lead=True)
     d = ordered.drop_scan_keys(d)
     x, y, nx, ny = (nan_to_null(c) for c in (X, Y, "_nx", "_ny"))
     hor = F.when(x == nx, "None").when(x > nx, "Right").when(x < nx, "Left")
@@ -68,8 +70,11 @@ def geometry_lead(sp: DataFrame, spec: SessionSpec = DEFAULT) -> DataFrame:
 
 
 def spawn_travel(prep: DataFrame, spec: SessionSpec = DEFAULT, scope: str = "global") -> DataFrame:
-    """``Sm``: spawns with distance to the previous and direction to the next."""
-    return travel_direction(travel_distance(spawns(prep, spec), spec), spec, scope=scope)
+    """``Sm``: spawns with distance to the previous and direction to the next.
+
+    The few columns of the spawns are written once; both scans read them."""
+    sp = written(spawns(prep, spec), "spawns")
+    return travel_direction(travel_distance(sp, spec), spec, scope=scope)
 
 
 def segment_summary(sm: DataFrame) -> DataFrame:
@@ -90,9 +95,14 @@ def segment_geometry(sm: DataFrame) -> DataFrame:
     return p.select("PatternSegmentLabel", "geometry.x", "geometry.y").distinct()
 
 
-def in_set_flag(df: DataFrame, col: str = "MoleId", values: Sequence[str] = MEASURE_MOLES,
+def in_set_flag(df: DataFrame, col: str = "MoleId", values: Sequence[str] | DataFrame = MEASURE_MOLES,
                 out: str = "measured") -> DataFrame:
-    """Flag the rows whose value is one of the measured ids (never null)."""
+    """Flag the rows whose value is one of the measured ids (never null).
+
+    ``values``: a short list, or a table of one column with any number of
+    values (``existence.flag``)."""
+    if isinstance(values, DataFrame):
+        return existence.flag(df, col, values, out)
     return df.withColumn(out, in_set(col, values))
 
 

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from telespark.functions.scalars import concat_label, if_else, n_clip, null_to_zero, t_color
 from telespark.functions.time import (NUMERIC_TEXT, TIMESTAMP_PREFIX, add_seconds, cast_integer,
                                       cast_numeric, format_time, parse_timestamp)
-from telespark.operators import animate, fit, mixed, sessions, spatial, summarize
+from telespark.operators import animate, asof, crossed, fit, mixed, sessions, spatial, summarize
 from telespark.operators.clean import clean, conform, reorder, sort_time
 from telespark.plans.oracle import delta, with_prep, with_telemetry
-from telespark.session import scratch_path
+from telespark.session import scratch_path, written
 from telespark.sources import logs, logtree, sinks
 from telespark.sources.tables import read_table
 from telespark.sources.telemetry import telemetry
@@ -254,6 +254,15 @@ def q_in_set_flag(spark, sf):
     return spatial.in_set_flag(prepared(spark, sf)).select("RowId", "MoleId", "measured")
 
 
+@register("in_set_table", with_telemetry("""
+SELECT RowId, k AS key, coalesce(k IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders), false) AS measured
+FROM (SELECT RowId, CASE WHEN RowId % 11 <> 3 THEN CAST(RowId AS VARCHAR) END AS k FROM telemetry)"""))
+def q_in_set_table(spark, sf):
+    rows = telemetry(spark, sf).select("RowId", F.when(F.col("RowId") % 11 != 3, F.col("RowId").cast("string")).alias("key"))
+    values = read_table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("value"))
+    return spatial.in_set_flag(rows, "key", values)
+
+
 @register("travel_points", with_prep(spawn_sql() + f"""
 SELECT Participant, Condition, RowId, MoleId, distance_lag AS distance,
   CAST(trunc(TRY_CAST(MoleSpawnOrder AS DOUBLE)) AS INTEGER) AS spawn_order,
@@ -352,7 +361,9 @@ def with_anim(body: str) -> str:
 
 
 def _anim_prep(spark, sf):
-    return prepared(spark, sf)
+    """What the playback reads of the prepared table, written once: its templates, events, lasers and extents are tables of their own."""
+    used = [*BASE, "PlayPeriod", "MoleId", animate.X, animate.Y, animate.LX, animate.LY]
+    return written(prepared(spark, sf).select(*used), "playback")
 
 
 MT_COLS = ["Participant", "Condition", "x", "y", "id", "size", "name"]
@@ -409,23 +420,17 @@ def q_time_grid(spark, sf):
 SPINE_COLS = ["Participant", "Condition", "second", "x", "y", "id", "size", "name"]
 
 
-def _spine(spark, sf):
+@register("spine_join", with_anim(f"SELECT {_sel(SPINE_COLS)} FROM spine"))
+def q_spine_join(spark, sf):
     d = typed(spark, sf)
     ext = animate.playback_extent(d, unit=ANIM_UNIT)
     tmpl = animate.mole_template(d).unionByName(animate.laser_template(d))
-    return d, animate.time_grid(ext, unit=ANIM_UNIT, entities=tmpl)
-
-
-@register("spine_join", with_anim(f"SELECT {_sel(SPINE_COLS)} FROM spine"))
-def q_spine_join(spark, sf):
-    return _spine(spark, sf)[1].select(*SPINE_COLS)
+    return animate.time_grid(ext, unit=ANIM_UNIT, entities=tmpl).select(*SPINE_COLS)
 
 
 @register("anti_moles", with_anim(f"SELECT {_sel(SPINE_COLS)} FROM spine_anti"))
 def q_anti_moles(spark, sf):
-    d, spine = _spine(spark, sf)
-    moles = animate.mole_activity(d, unit=ANIM_UNIT)
-    return animate._anti(spine, moles, ["Participant", "Condition", "second", "id"]).select(*SPINE_COLS)
+    return animate.free_spine(typed(spark, sf), unit=ANIM_UNIT).select(*SPINE_COLS)
 
 
 FILL_COLS = ["Participant", "Condition", "second", "id", "name", "x", "y", "size", "Event"]
@@ -433,7 +438,7 @@ FILL_COLS = ["Participant", "Condition", "second", "id", "name", "x", "y", "size
 
 @register("fill_down", with_anim(f"SELECT {_sel(FILL_COLS)} FROM filled"))
 def q_fill_down(spark, sf):
-    return animate.filled_targets(prepared(spark, sf), unit=ANIM_UNIT).select(*FILL_COLS)
+    return animate.filled_targets(_anim_prep(spark, sf), unit=ANIM_UNIT).select(*FILL_COLS)
 
 
 DENSE_COLS = ["Participant", "Condition", "second", "id", "name", "x", "y", "size", "Event", "has_hit"]
@@ -441,13 +446,68 @@ DENSE_COLS = ["Participant", "Condition", "second", "id", "name", "x", "y", "siz
 
 @register("densify", with_anim(f"SELECT {_sel(DENSE_COLS)} FROM dense WHERE second <= total_time"))
 def q_densify(spark, sf):
-    return animate.densify(prepared(spark, sf), unit=ANIM_UNIT).select(*DENSE_COLS)
+    return animate.densify(_anim_prep(spark, sf), unit=ANIM_UNIT).select(*DENSE_COLS)
 
 
 @register("filter_horizon", with_anim(
     f"SELECT {_sel(DENSE_COLS)} FROM dense WHERE second <= total_time AND second >= 0"))
 def q_filter_horizon(spark, sf):
-    return animate.densify(prepared(spark, sf), unit=ANIM_UNIT, lower=0.0).select(*DENSE_COLS)
+    return animate.densify(_anim_prep(spark, sf), unit=ANIM_UNIT, lower=0.0).select(*DENSE_COLS)
+
+
+# The playback has millions of rows: the same tables with one row for each entity of a session.
+_BY_ENTITY = {"n": "count(*)", "first": "min(second)", "last": "max(second)", "seconds": "CAST(sum(CAST(second AS BIGINT)) AS BIGINT)",
+              "sizes": "sum(size)", "placed": "count(x)", "events": "count(Event)", "hits": "count(CASE WHEN has_hit THEN 1 END)"}
+
+
+def _by_entity(d: DataFrame, *extra: str) -> DataFrame:
+    return d.groupBy("Participant", "Condition", "id", "name", *extra).agg(*(F.expr(e).alias(n) for n, e in _BY_ENTITY.items()))
+
+
+def _by_entity_sql(where: str) -> str:
+    return with_anim(f"SELECT Participant, Condition, id, name, {', '.join(f'{e} AS {n}' for n, e in _BY_ENTITY.items())} FROM dense WHERE {where} GROUP BY Participant, Condition, id, name")
+
+
+@register("densify_by_entity", _by_entity_sql("second <= total_time"))
+def q_densify_by_entity(spark, sf):
+    return _by_entity(animate.densify(_anim_prep(spark, sf), unit=ANIM_UNIT))
+
+
+@register("filter_horizon_by_entity", _by_entity_sql("second <= total_time AND second >= 0"))
+def q_filter_horizon_by_entity(spark, sf):
+    return _by_entity(animate.densify(_anim_prep(spark, sf), unit=ANIM_UNIT, lower=0.0))
+
+
+@register("filter_name_by_entity", _by_entity_sql("second <= total_time AND name = 'Laser'"))
+def q_filter_name_by_entity(spark, sf):
+    return _by_entity(animate.anim_layers(animate.densify(_anim_prep(spark, sf), unit=ANIM_UNIT))[1])
+
+
+@register("anim_frames_by_layer", with_anim("""
+, fr AS (SELECT name AS layer, Participant, Condition, second AS frame, id, x, y, size * 32 AS marker_size FROM dense WHERE second <= total_time
+  UNION ALL SELECT 'Spawn Points', Participant, Condition, NULL, MoleId, MolePositionWorldX, MolePositionWorldY, 32 FROM (
+    SELECT *, row_number() OVER (PARTITION BY Participant, Condition, MoleId ORDER BY Timestamp ASC NULLS LAST, RowId) AS r
+    FROM prep WHERE PlayPeriod = 'Game') WHERE r = 1)
+SELECT layer, Participant, Condition, count(*) AS n, count(DISTINCT frame) AS frames, count(DISTINCT id) AS ids, CAST(sum(marker_size) AS DOUBLE) AS marker_size, count(x) AS placed
+FROM fr GROUP BY layer, Participant, Condition"""))
+def q_anim_frames_by_layer(spark, sf):
+    d = animate.anim_frames(_anim_prep(spark, sf), unit=ANIM_UNIT)
+    return d.groupBy("layer", "Participant", "Condition").agg(
+        F.count("*").alias("n"), F.count_distinct("frame").alias("frames"), F.count_distinct("id").alias("ids"), F.sum("marker_size").alias("marker_size"), F.count("x").alias("placed"))
+
+
+@register("sort_anim", with_anim("""
+SELECT Participant, Condition, second, count(*) AS n, md5(string_agg(coalesce(id, 'NA') || ':' || coalesce(Event, ''), ',' ORDER BY id NULLS FIRST, t_ts NULLS FIRST, t_tie)) AS row_order
+FROM (SELECT d.Participant, d.Condition, date_diff('second', e.time_start, d.second)::DOUBLE AS second, d.id, d.Event, d.t_ts, d.t_tie, e.total_time FROM (
+    SELECT Participant, Condition, second, id, Event, t_ts, t_tie FROM un
+    UNION ALL SELECT Participant, Condition, second, id, NULL, NULL, NULL FROM laser_anti
+    UNION ALL SELECT Participant, Condition, second, id, NULL, NULL, NULL FROM ld) d JOIN ext e ON d.Participant IS NOT DISTINCT FROM e.Participant AND d.Condition IS NOT DISTINCT FROM e.Condition)
+WHERE second <= total_time GROUP BY Participant, Condition, second"""))
+def q_sort_anim(spark, sf):
+    """Frames of the sorted playback: the rows of each tick as they come, never sorted after they were generated."""
+    d = animate.sorted_frames(_anim_prep(spark, sf), unit=ANIM_UNIT)
+    line = F.transform("rows", lambda r: F.concat(F.coalesce(r["id"], F.lit("NA")), F.lit(":"), F.coalesce(r["Event"], F.lit(""))))
+    return d.select("Participant", "Condition", "second", F.size("rows").cast("long").alias("n"), F.md5(F.array_join(line, ",")).alias("row_order"))
 
 
 @register("axis_range", with_prep("""
@@ -536,6 +596,15 @@ def q_t_color(spark, sf):
         "RowId", t_color("GazeConfidence", T_LEVELS, T_COLORS).alias("color"))
 
 
+@register("t_color_levels", with_telemetry("""
+, lv AS (SELECT o_totalprice / 1000 AS level, arg_min(o_orderpriority, o_orderkey) AS color FROM orders GROUP BY 1)
+SELECT RowId, x, color FROM (SELECT RowId, RightControllerLaserPosWorldY * 55 AS x FROM telemetry) t ASOF LEFT JOIN lv ON t.x <= lv.level"""))
+def q_t_color_levels(spark, sf):
+    levels = read_table(spark, sf, "orders").select((F.col("o_totalprice") / 1000).alias("level"), F.col("o_orderpriority").alias("color"), "o_orderkey")
+    rows = telemetry(spark, sf).select("RowId", (F.col("RightControllerLaserPosWorldY") * 55).alias("x"))
+    return asof.ceiling_join(rows, "x", levels, "level", ["color"], tie="RowId", first="o_orderkey")
+
+
 def _ts_text_spark(events):
     t = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     r = F.col("event_id") % 5
@@ -714,7 +783,7 @@ d AS (SELECT theta, CAST(n AS BIGINT) AS n, ld + n * (1 + ln(2 * pi() * (yy - (x
 SELECT theta, n, {_round_sql("dev")} AS deviance FROM d"""))
 def q_lmm_deviance(spark, sf):
     d = mixed.deviance_profile(_lmm_input(spark, sf), "RightControllerLaserPosWorldY", "MolePositionWorldX", LMM_NULL, LMM_THETAS)
-    return _rounded(d, "deviance")
+    return _rounded(spark.createDataFrame(d, "theta double, n long, deviance double"), "deviance")
 
 
 @register("lmm_scan_random")
@@ -727,14 +796,65 @@ def q_lmm_scan_random(spark, sf):
     return mixed.to_frame(spark, rows)
 
 
-@register("lmm_scan_fixed")
+def _scan_fixed_sql() -> str:
+    """Every fixed candidate on top of the grouping factor, by closed forms over a grid of scales that is refined as the fits do."""
+    pairs = [(y, x) for y in LMM_RESPONSES for x in LMM_FIXED]
+    key = "Predicted, term, kind"
+    rows = " UNION ALL ".join(f"SELECT '{y}' AS Predicted, '{x}' AS term, CAST({LMM_NULL} AS VARCHAR) AS g, {y} AS y, {x} AS x FROM prep "
+                              f"WHERE PlayPeriod = 'Game' AND {LMM_NULL} IS NOT NULL AND {y} IS NOT NULL AND {x} IS NOT NULL" for y, x in pairs)
+    steps = [f"""
+, r AS ({rows}),
+l AS (SELECT Predicted, term, g, CAST(count(*) AS DOUBLE) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM r GROUP BY Predicted, term, g),
+g0 AS (SELECT Predicted, term, kind, unnest([{', '.join(f'{float(t)!r}::DOUBLE' for t in mixed.COARSE)}]) AS theta
+  FROM (SELECT DISTINCT Predicted, term FROM l), (VALUES ('null'), ('alt')) k(kind))"""]
+    for i in range(mixed.GRIDS + 1):
+        steps.append(f"""
+s{i} AS (SELECT {key}, theta, sum(n) AS n, sum(ln(1 + theta * theta * n)) AS ld, sum(n - w * n * n) AS nn, sum(x - w * n * x) AS nx, sum(y - w * n * y) AS ny,
+    sum(xx - w * x * x) AS xx, sum(xy - w * x * y) AS xy, sum(yy - w * y * y) AS yy, sum(x) AS sx, sum(xx) AS sxx
+  FROM (SELECT *, theta * theta / (1 + theta * theta * n) AS w FROM g{i} JOIN l USING (Predicted, term)) GROUP BY {key}, theta),
+d{i} AS (SELECT *, ld + n * (1 + ln(2 * pi() * r2 / n)) AS dev FROM (SELECT *, CASE WHEN kind = 'null' THEN yy - ny * ny / nn
+    ELSE yy - (xx * ny * ny - 2 * nx * ny * xy + nn * xy * xy) / (nn * xx - nx * nx) END AS r2 FROM s{i})),
+b{i} AS (SELECT * FROM (SELECT *, coalesce(lag(theta) OVER o, theta) AS lo, coalesce(lead(theta) OVER o, theta) AS hi, row_number() OVER (PARTITION BY {key} ORDER BY dev, theta) AS k
+  FROM d{i} WINDOW o AS (PARTITION BY {key} ORDER BY theta)) WHERE k = 1),
+g{i + 1} AS (SELECT {key}, unnest(list_transform(range({mixed.FINE}), lambda j: CASE WHEN lo = 0 THEN hi * j / {mixed.FINE - 1}::DOUBLE ELSE lo * pow(hi / lo, j / {mixed.FINE - 1}::DOUBLE) END)) AS theta FROM b{i})""")
+    last = mixed.GRIDS
+    erf = "2 / sqrt(pi()) * exp(-z * z) * z * list_sum(list_transform(range(300), lambda k: exp(k * ln(2) + 2 * k * ln(z) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))))"
+    return with_prep(",".join(steps) + f""",
+f AS (SELECT a.*, greatest(0.0, n0.dev - a.dev) AS chisq, ((a.nn * a.xy - a.nx * a.ny) / (a.nn * a.xx - a.nx * a.nx)) ** 2 * (a.sxx - a.sx * a.sx / a.n) / (a.n - 1) AS vf, a.r2 / a.n AS s2
+  FROM b{last} AS a JOIN b{last} AS n0 ON a.Predicted = n0.Predicted AND a.term = n0.term WHERE a.kind = 'alt' AND n0.kind = 'null'),
+v AS (SELECT *, theta * theta * s2 AS vr, sqrt(chisq / 2) AS z FROM f),
+u AS (SELECT *, round(vf / (vf + vr + s2), 3) AS R2m, round((vf + vr) / (vf + vr + s2), 3) AS R2c, CASE WHEN z > 0 THEN 1 - {erf} ELSE 1 END AS p_value FROM v)
+SELECT Predicted, '(1| {LMM_NULL} )' AS nullmodel, term || ' + (1| {LMM_NULL} )' AS model, CAST(4 AS DOUBLE) AS npar, CAST(1 AS DOUBLE) AS "Df", R2m, R2c,
+  {", ".join(f'CASE WHEN R2m < 1 THEN round({e}, 3) END AS "{c}"' for c, e in (("AIC", "dev + 8"), ("BIC", "dev + 4 * ln(n)"), ("logLik", "-dev / 2"), ("deviance", "dev"), ("Chisq", "chisq"), ("p_value", "p_value")))}
+FROM u""")
+
+
+SCAN_COLS = ["Predicted", "nullmodel", "model", "npar", "Df"]
+SCAN_ROUNDED = ["AIC", "BIC", "logLik", "deviance", "Chisq", "p_value", "R2m", "R2c"]
+
+
+@register("lmm_scan_fixed", _scan_fixed_sql())
 def q_lmm_scan_fixed(spark, sf):
     st = _lmm_data(spark, sf)
     base = mixed.Model((), (LMM_NULL,), f"(1| {LMM_NULL} )")
     rows = [dict(r, Predicted=resp, stage="fixed", p_pass=None, r2_pass=None)
             for resp in LMM_RESPONSES
             for _, r in mixed.scan(st, resp, LMM_FIXED, base, "fixed")]
-    return mixed.to_frame(spark, rows)
+    # One response is a multiple of a term: the likelihood of that perfect fit is rounding noise and is left out.
+    d = mixed.to_frame(spark, rows).select(*SCAN_COLS, *(F.round(c, 3).alias(c) for c in SCAN_ROUNDED))
+    return d.withColumns({c: F.when(F.col("R2m") < 1, F.col(c)) for c in SCAN_ROUNDED if not c.startswith("R2")})
+
+
+@register("lmm_crossed")
+def q_lmm_crossed(spark, sf):
+    """Deviance of two crossed intercepts over a grid of both scales: targets and participants."""
+    data = crossed.CrossedData(_lmm_input(spark, sf), "RightControllerLaserPosWorldY", ["MolePositionWorldX"], "MoleId", LMM_NULL, probes=6)
+    data.profiles(CROSSED_SCALES, tolerance=1e-6)
+    rows = [(t, s, data.n, data.deviance(t, s)) for t in CROSSED_SCALES for s in CROSSED_SCALES]
+    return spark.createDataFrame(rows if data.n else [], "theta_first double, theta_second double, n long, deviance double")
+
+
+CROSSED_SCALES = (0.1, 0.5)
 
 
 @register("lmm_select")
@@ -851,7 +971,7 @@ def q_filter_session(spark, sf):
 
 @register("filter_name", with_anim(f"SELECT {_sel(DENSE_COLS)} FROM dense WHERE second <= total_time AND name = 'Laser'"))
 def q_filter_name(spark, sf):
-    return animate.anim_layers(animate.densify(prepared(spark, sf), unit=ANIM_UNIT))[1].select(*DENSE_COLS)
+    return animate.anim_layers(animate.densify(_anim_prep(spark, sf), unit=ANIM_UNIT))[1].select(*DENSE_COLS)
 
 
 @register("anti_laser", with_anim("SELECT Participant, Condition, second, id, x, y, size, name FROM laser_anti"))
@@ -867,7 +987,7 @@ SELECT 'Spawn Points' AS layer, Participant, Condition, CAST(NULL AS DOUBLE) AS
   FROM prep WHERE PlayPeriod = 'Game') WHERE r = 1
 UNION ALL SELECT name, Participant, Condition, second, id, x, y, size * 32 FROM dense WHERE second <= total_time"""))
 def q_anim_frames(spark, sf):
-    return animate.anim_frames(prepared(spark, sf), unit=ANIM_UNIT)
+    return animate.anim_frames(_anim_prep(spark, sf), unit=ANIM_UNIT)
 
 
 @register("track_points", with_prep(anim_sql("second", 1) + """
