@@ -45,6 +45,8 @@ INTERCEPT = "(Intercept)"
 COARSE, FINE, GRIDS = (0.0, *np.geomspace(1e-3, 1e3, 33)), 17, 4
 #: Levels of a category; rows of the size table that come to the driver.
 MAX_CATEGORIES, MAX_SIZES = 200, 20_000
+#: Sets of complete rows that are summed at once, before a model asks for them.
+MAX_CASES = 64
 
 
 # ------------------------------------------------------------------ statistics
@@ -151,6 +153,7 @@ class MixedData:
             F.sum("n").alias("n"), F.array(*(F.sum(F.col("p")[i]) for i in range(k))).alias("p")).collect()}
         self._known: dict[frozenset, Moments] = {}
         self._best: dict[tuple, tuple[float, np.ndarray]] = {}  # least deviance at a theta
+        self._own: dict[tuple, set[float]] = {}  # thetas at which a model is looked at
 
     def case(self, model: Model, response: str) -> frozenset:
         """The set of complete rows of a model: the patterns that have all of its columns."""
@@ -168,6 +171,14 @@ class MixedData:
         new = [c for c in dict.fromkeys(cases) if c not in self._known]
         if not new:
             return
+        if not self._known:  # where there are few, all sets that any model can use come with the first
+            every = {frozenset(self._patterns)}
+            for i in self.bit.values():
+                every |= {frozenset(p for p in c if p >> i & 1) for c in every}
+                if len(every) > MAX_CASES:
+                    break
+            else:
+                new = list(dict.fromkeys([*new, *sorted(every, key=len)]))
         m = len(self.columns)
         for c in new:
             self._known[c] = Moments(sum(self._patterns[p][0] for p in c), sum((self._patterns[p][1] for p in c), np.zeros((m, m))))
@@ -265,30 +276,50 @@ def _fixed_columns(data: MixedData, model: Model) -> list[int]:
     return [0] + [c for t in model.fixed for c in data.terms[t]]
 
 
-def _solve(data: MixedData, mom: Moments, model: Model, response: str, theta: Sequence[float]):
-    """Penalised least squares: (log|L|^2, r^2, beta).  ``theta[0]`` is the
-    grouping factor's scale and has to be on the grid."""
-    x, y = _fixed_columns(data, model), data.columns.index(f"y:{response}")
-    logdet, corr = mom.grid[float(theta[0])] if model.random else (0.0, 0.0)
-    m = mom.gram - corr
-    z = [(c, t) for f, t in zip(model.random[1:], theta[1:]) for c in data.factors[f]]
-    cols = [c for c, _ in z] + x
-    scale = np.array([t for _, t in z] + [1.0] * len(x))
-    q = len(z)
-    k = m[np.ix_(cols, cols)] * np.outer(scale, scale)
-    k[:q, :q] += np.eye(q)
-    b = m[cols, y] * scale
-    unit = np.sqrt(np.diag(k))
-    unit[unit == 0] = 1.0  # columns of very different size are no reason to drop one
-    sol = np.linalg.lstsq(k / np.outer(unit, unit), b / unit, rcond=None)[0] / unit
-    if q:
-        logdet += np.linalg.slogdet(k[:q, :q])[1]
-    return logdet, m[y, y] - sol @ b, sol[q:]
+class _System:
+    """The small system of a model with the grouping factor's scale fixed; ``theta[0]`` has to be on the grid."""
+
+    def __init__(self, data: MixedData, mom: Moments, model: Model, response: str, theta0: float):
+        x, y = _fixed_columns(data, model), data.columns.index(f"y:{response}")
+        self.logdet, corr = mom.grid[float(theta0)] if model.random else (0.0, 0.0)
+        m = mom.gram - corr
+        z = [(c, i) for i, f in enumerate(model.random[1:]) for c in data.factors[f]]
+        cols = [c for c, _ in z] + x
+        self.q, self.owner = len(z), [i for _, i in z]
+        self.k, self.b, self.yy = m[np.ix_(cols, cols)], m[cols, y], m[y, y]
+        self.eye = np.diag([1.0] * self.q + [0.0] * len(x))
+
+    def solve(self, scales: Sequence[float]) -> tuple[float, float, np.ndarray]:
+        """Penalised least squares with the scales of the other factors: (log|L|^2, r^2, beta)."""
+        scale = np.ones(len(self.b))
+        scale[: self.q] = np.asarray(scales, float)[self.owner] if self.q else ()
+        k, b = self.k * np.outer(scale, scale) + self.eye, self.b * scale
+        unit = np.sqrt(np.maximum(np.diag(k), 0.0))
+        unit[unit == 0] = 1.0  # columns of very different size are no reason to drop one
+        k, b = k / np.outer(unit, unit), b / unit
+        logdet = self.logdet
+        try:  # the random columns come first: one factorisation has the determinant too
+            low = np.linalg.cholesky(k)
+            if np.diag(low).min(initial=1.0) < 1e-6:
+                raise np.linalg.LinAlgError
+            half = np.linalg.solve(low, b)
+            r2, sol = self.yy - half @ half, np.linalg.solve(low.T, half) / unit
+            if self.q:
+                logdet += 2 * np.sum(np.log(np.diag(low)[: self.q] * unit[: self.q]))
+        except np.linalg.LinAlgError:  # collinear terms
+            sol = np.linalg.lstsq(k, b, rcond=None)[0]
+            r2, sol = self.yy - sol @ b, sol / unit
+            if self.q:
+                logdet += np.linalg.slogdet(k[: self.q, : self.q])[1] + 2 * np.sum(np.log(unit[: self.q]))
+        return logdet, r2, sol[self.q :]
+
+    def deviance(self, n: int, scales: Sequence[float]) -> float:
+        logdet, r2, _ = self.solve(np.abs(scales))
+        return logdet + n * (1.0 + math.log(2 * math.pi * max(r2, 1e-300) / n))
 
 
 def deviance(data: MixedData, mom: Moments, model: Model, response: str, theta: Sequence[float]) -> float:
-    logdet, r2, _ = _solve(data, mom, model, response, np.abs(theta))
-    return logdet + mom.n * (1.0 + math.log(2 * math.pi * max(r2, 1e-300) / mom.n))
+    return _System(data, mom, model, response, theta[0] if len(theta) else 0.0).deviance(mom.n, theta[1:])
 
 
 def _nelder_mead(f, x0, tol=1e-10, max_iter=2000):
@@ -326,29 +357,29 @@ def _nelder_mead(f, x0, tol=1e-10, max_iter=2000):
     return pts[i], vals[i]
 
 
-def _at(data, mom, model, response, theta0: float) -> tuple[float, np.ndarray]:
-    """Least deviance, and the scales, with the grouping factor's scale fixed."""
-    rest = len(model.random) - 1
+def _at(data, mom, model, response, theta0: float, start: np.ndarray | None) -> tuple[float, np.ndarray]:
+    """Least deviance, and the scales, with the grouping factor's scale fixed; ``start``: the scales at a scale nearby."""
+    rest, system = len(model.random) - 1, _System(data, mom, model, response, theta0)
     if rest <= 0:
-        theta = np.array([theta0] if model.random else [])
-        return deviance(data, mom, model, response, theta), theta
-    best, dev = _nelder_mead(lambda t: deviance(data, mom, model, response, [theta0, *t]), np.ones(rest))
+        return system.deviance(mom.n, ()), np.array([theta0] if model.random else [])
+    at = np.ones(rest) if start is None else np.maximum(start[1:], 0.01)
+    best, dev = _nelder_mead(lambda t: system.deviance(mom.n, t), at)
     theta = np.array([theta0, *np.abs(best)])
     for i in range(1, rest + 1):  # the boundary of each scale
         t0 = theta.copy()
         t0[i] = 0.0
-        if (d0 := deviance(data, mom, model, response, t0)) < dev:
+        if (d0 := system.deviance(mom.n, t0[1:])) < dev:
             theta, dev = t0, d0
     return dev, theta
 
 
 def _profile(data: MixedData, c: frozenset, model: Model, response: str) -> list[tuple[float, float, np.ndarray]]:
-    """(theta0, deviance, scales) along the grid."""
+    """(theta0, deviance, scales) along the model's own thetas."""
     mom, out = data._known[c], []
-    for t in sorted(mom.grid) if model.random else [0.0]:
+    for t in sorted(data._own.setdefault((c, model, response), set(COARSE))) if model.random else [0.0]:
         key = (c, model, response, t)
         if key not in data._best:
-            data._best[key] = _at(data, mom, model, response, t)
+            data._best[key] = _at(data, mom, model, response, t, out[-1][2] if out else None)
         out.append((t, *data._best[key]))
     return out
 
@@ -368,9 +399,11 @@ def fits(data: MixedData, wanted: Sequence[tuple[Model, str, frozenset]]) -> lis
     data.moments([c for _, _, c in wanted])
     for _ in range(GRIDS):
         more: dict[frozenset, list[float]] = {}
-        for model, response, c in wanted:
+        for model, response, c in dict.fromkeys(wanted):
             if model.random and data._known[c].n:
-                more.setdefault(c, []).extend(_finer(*_bracket(_profile(data, c, model, response))))
+                finer = _finer(*_bracket(_profile(data, c, model, response)))
+                more.setdefault(c, []).extend(finer)
+                data._own[c, model, response].update(map(float, finer))
         data.refine(more)
     return [_fit(data, c, model, response) for model, response, c in wanted]
 
@@ -381,7 +414,7 @@ def _fit(data: MixedData, c: frozenset, model: Model, response: str) -> Fit:
         nan, x = float("nan"), _fixed_columns(data, model)
         return Fit(nan, len(x) + len(model.random) + 1, np.full(len(x), nan), nan, np.full(len(model.random), nan), nan, 0)
     _, dev, theta = min(_profile(data, c, model, response), key=lambda p: p[1])
-    _, r2, beta = _solve(data, mom, model, response, theta)
+    _, r2, beta = _System(data, mom, model, response, theta[0] if len(theta) else 0.0).solve(theta[1:])
     x, n = _fixed_columns(data, model), mom.n
     xx = mom.gram[np.ix_(x, x)]
     xb = xx[0] @ beta                        # sum of the fitted fixed part
