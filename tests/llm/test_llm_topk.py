@@ -8,17 +8,12 @@ from telespark.llm import topk
 
 
 def brute(rows, every, k):
-    fine = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        v = [math.floor(1024 * x) for x in v]
-        fine[i] = min(v, fine.get(i, v))
+    fine = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in fine:
+    for n, (q, v) in enumerate(fine):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(fine[q], v)), i) for i, v in fine.items() if i != q and len(v) == len(fine[q]))
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(fine) if m != n and len(v) == len(w))
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
@@ -28,7 +23,7 @@ def rows(seed):
     out = [(i, [float(np.float32(x + rng.gauss(0, 0.05))) for x in rng.choice(centres)]) for i in range(300)]
     out += [(300 + i, out[i][1]) for i in range(40)]  # ties
     out += [(400, [0.0] * 8), (410, None), (420, [1.0, None] + [0.0] * 6), (430, [float("nan")] * 8), (440, [float("inf")] + [0.0] * 7), (450, [0.5, -0.5]), (451, [0.25, 0.25]), (None, [0.1] * 8),
-            (460, [-x for x in out[0][1]]), (20, out[20][1]), (470, []), (480, [1.0, 2.0, 3.0])]
+            (460, [-x for x in out[0][1]]), (20, out[20][1]), (20, out[21][1]), (30, out[30][1]), (30, out[30][1]), (7, out[8][1]), (470, []), (480, [1.0, 2.0, 3.0])]
     return out
 
 
@@ -56,11 +51,30 @@ def test_reading_stops_early():
             return np.asarray(self)[at]
 
     query = np.array([3.0, -2.0, 1.0])
-    got = topk.threshold_topk(np.arange(20_000), vectors.view(Watched), query, 5, lists, ordered)
+    got, read = topk.threshold_topk(np.arange(20_000), vectors.view(Watched), query, 5, lists, ordered)
     score = vectors @ query
     want = np.lexsort((np.arange(20_000), -score))[:5]
     assert got == [(int(score[i]), int(i)) for i in want]
-    assert len(touched) < 4000
+    assert len(touched) < 4000 and read < 12_000
+    _, less = topk.threshold_topk(np.arange(20_000), vectors, query, 5, lists, ordered, floor=got[0][0] * 1.2)
+    assert less < read
+
+
+def test_clustered_blocks_are_read_in_part(spark, monkeypatch):
+    """Scans of the registered kind: floors from block 0 stop the others early."""
+    monkeypatch.setattr(topk, "CANDIDATES", 2000)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(0, 1, (40, 6))
+    data = [(i, [float(x) for x in centres[i % 40] + rng.normal(0, 0.02, 6)]) for i in range(8000)]
+    vectors = topk.scaled(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    found = topk.search(vectors, vectors.where("vec_id % 100 = 0"), 10).agg({"read": "sum", "entries": "sum"}).first().asDict()
+    assert found["sum(read)"] < 0.7 * found["sum(entries)"]
+
+
+def test_every_row_is_a_candidate(spark):
+    data = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [2.0, 0.0]), (100, [0.25, 0.0])]
+    got = topk.search_rows(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    assert sorted(map(tuple, got.collect())) == brute(data, 100, 10)
 
 
 def test_large_components_stay_exact(spark):
