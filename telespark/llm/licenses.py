@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, whole_text
+from .license_texts import KNOWN
 
 #: Known texts that one lookup may broadcast, at most.
 MAX_KNOWN = 100_000
@@ -27,62 +28,11 @@ EQUIVALENT = (
     ("copyright owner", "copyright holder"), ("per cent", "percent"), ("sub license", "sublicense"),
 )
 
-# Short licence texts and notices as they are published.
-_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
-rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
-persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
-Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
-WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
-COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
-OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
-IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
-INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
-ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
-THIS SOFTWARE."""
-_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
-compliance with the License. You may obtain a copy of the License at
-
-    http://www.apache.org/licenses/LICENSE-2.0
-
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
-"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
-language governing permissions and limitations under the License."""
-_GPL3 = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
-Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
-later version.
-
-This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
-warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
-
-You should have received a copy of the GNU General Public License along with this program. If not, see
-<https://www.gnu.org/licenses/>."""
-KNOWN = {
-    "MIT": _MIT,
-    "MIT (with title)": "MIT License\n\n" + _MIT,
-    "ISC": _ISC,
-    "ISC (with title)": "ISC License\n\n" + _ISC,
-    "Apache-2.0 (notice)": _APACHE,
-    "Apache-2.0 (short notice)": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-or-later (notice)": _GPL3,
-    "GPL-3.0-only (short notice)": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT (short notice)": "Released under the MIT License.",
-    "CC-BY-NC-4.0 (short notice)": "Licensed under CC BY-NC 4.0.",
-    "LicenseRef-all-rights-reserved": "All rights reserved.",
-}
-
-# Lines that state a copyright, and marks.  Marks outside ASCII are named one
+# Lines that state a copyright: they start with the word or the sign and have both,
+# or a year.  (A line of a licence may start with the word alone.)  Marks outside ASCII are named one
 # by one, so that letters of any script count.  Without inline flags and
 # anchors, so that other engines read the patterns alike.
-COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9]*(copyright|\(c\)|©)([^\na-z0-9]+(copyright|c|©)){0,8}[^\na-z0-9]+[0-9]{4}[^\n]*"
+COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9]*(copyright[^\na-z0-9]*(\(c\)|©)|\(c\)[^\na-z0-9]*copyright|©|(copyright|\(c\))[^\na-z0-9]+[0-9]{4})[^\n]*"
 MARKS = r"[!-/:-@\[-`{-~\x00-\x20\x{A0}©\x{2010}-\x{2015}\x{2018}-\x{201F}•…]+"
 
 

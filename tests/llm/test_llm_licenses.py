@@ -1,3 +1,5 @@
+import re
+
 from llm_rows import docs
 from pyspark.sql import functions as F
 
@@ -15,6 +17,21 @@ def test_spellings_of_known_texts(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_each_known_text_is_found_under_any_copyright_lines(spark):
+    """Other cases, wraps, marks and spellings, below copyright lines with and without a year."""
+    heads = ["Copyright (c) The Authors\n", "© Somebody & Co.\n\n", "(c) Copyright 2001-2020 by A, B\n", "/* COPYRIGHT 1999 X */\n" + "Copyright (C) (c) © Y\n" * 12]
+    rows, want = [], {}
+    for k, (name, text) in enumerate(sorted(licenses.KNOWN.items())):
+        words = re.sub(r"\blicense\b", "licence", text if k % 2 else text.upper()).split()
+        for j, head in enumerate(heads):
+            width = 5 + 3 * j + k % 4
+            body = "\n".join(" * " + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+            rows.append((10 * k + j, head + body))
+            want[10 * k + j] = name
+    got = {r.doc_id: r.license_id for r in licenses.lookup(docs(spark, rows)).collect()}
+    assert got == want
+
+
 def test_own_table_of_texts(spark):
     known = spark.createDataFrame([("B", "Use it whilst you can."), ("A", "use it WHILE you can"), ("empty", " . "), (None, None)], "license_id string, text string")
     got = {r.doc_id: r.license_id for r in licenses.lookup(docs(spark, [(1, "Use it while you can"), (2, ""), (3, "use")]), known).collect()}
