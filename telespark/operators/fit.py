@@ -63,10 +63,8 @@ def spline_points(df: DataFrame, response: str, term: str, by: Sequence[str] = (
     y, x = nan_to_null(response), nan_to_null(term)
     d = (df.select(s.alias("_s"), x.alias("x"), y.alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
          .groupBy("_s", "x").agg(F.count(F.lit(1)).cast("double").alias("w"), F.avg("y").alias("ybar")))
-    # Ranks from chunks that the data cut: a series of any length is many tasks, and no window holds a series.
-    d = ordered.range_chunks(d, ["_s"], [F.col("x")], rows)
-    ends = d.groupBy("_s").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.count(F.lit(1)).alias("n"))
-    d = ordered.row_numbers(d, ["_s"], "x", "x", "place", "total").drop("total").join(ends.withColumn("nk", n_knots(F.col("n"))), "_s")
+    # Ranks of a long table come from chunks that the data cut: no window holds a long series.
+    d = ordered.ranked(d, "_s", "x", rows).withColumn("nk", n_knots(F.col("n")))
     d = d.withColumn("u", F.when(F.col("n") >= 4, (F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))))
     # Knot k stands at place 1 + floor(k (n - 1) / (nk - 1)), k = 0 .. nk - 1: the last one up to place r follows from r.
     d = d.withColumn("_at", F.when(F.col("n") >= 4, F.expr("(place * (nk - 1) - 1) div (n - 1)")))

@@ -51,12 +51,28 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ro
     never changes when a task is repeated; up to ``rows`` rows are one chunk
     and are written once.  ``order`` has to tell rows apart where they could
     crowd."""
+    return cut(df, keys, order, rows)[0]
+
+
+def cut(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int | None = None) -> tuple[DataFrame, int]:
+    """``range_chunks`` and the number of chunks."""
     rows = CHUNK_ROWS if rows is None else rows
     d = written(df.withColumn(KEY, _key(keys)), "ordered")
     n = -(-d.count() // rows)
     if n <= 1:
-        return d.withColumn(CHUNK, F.lit(0))
-    return written(d.repartitionByRange(n, KEY, *order).withColumn(CHUNK, F.spark_partition_id()), "chunks")
+        return d.withColumn(CHUNK, F.lit(0)), 1
+    return written(d.repartitionByRange(n, KEY, *order).withColumn(CHUNK, F.spark_partition_id()), "chunks"), n
+
+
+def ranked(df: DataFrame, key: str, value: str, rows: int | None = None) -> DataFrame:
+    """Add each value's ``place`` in its group (from 1; values are distinct in a group), and the group's count ``n``,
+    least ``_lo`` and greatest ``_hi``.  A table of one chunk is ranked by windows, a larger one chunk by chunk."""
+    d, chunks = cut(df, [key], [F.col(value)], rows)
+    if chunks == 1:
+        own = Window.partitionBy(key)
+        return drop_scan_keys(d.withColumns({"place": F.row_number().over(own.orderBy(value)), "n": F.count(F.lit(1)).over(own), "_lo": F.min(value).over(own), "_hi": F.max(value).over(own)}))
+    ends = d.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("n"))
+    return row_numbers(d, [key], value, value, "place", "total").drop("total").join(ends, key)
 
 
 def with_scan_keys(df: DataFrame, keys: Sequence[str], ts: str, unit: str) -> DataFrame:
