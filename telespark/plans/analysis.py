@@ -26,7 +26,7 @@ class Analysis:
 def analyse(prep: DataFrame, spec: SessionSpec = DEFAULT, unit: str = "second",
             participant=None, condition=None) -> Analysis:
     """All analysis tables as lazy DataFrames.  ``participant``/``condition``
-    restrict the playback to one session (partition pruning on the cleaned
+    restrict the playback to one session (row groups pruned on the cleaned
     Parquet layout); by default every session is played back."""
     sm = spatial.spawn_travel(prep, spec)
     play_in = prep

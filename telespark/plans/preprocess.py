@@ -1,7 +1,7 @@
 """Plan E1: raw log directory -> cleaned, prepared table on Parquet.
 
 Load (find, read, union, merge) -> save raw -> typed projection -> play
-periods, durations, game clock, sample rate -> save partitioned by session.
+periods, durations, game clock, sample rate -> save in ranges of (session, time).
 Writing the raw table cuts the lineage of the file scans, so a lost executor
 only recomputes from Parquet.
 """

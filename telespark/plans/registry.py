@@ -917,7 +917,7 @@ def q_path_split(spark, sf):
 
 @register("sink_clean", with_prep(f"SELECT {_sel(PREP_COLS)} FROM prep"))
 def q_sink_clean(spark, sf):
-    """Prepared table written partitioned by session, read back with its schema."""
+    """Prepared table written in ranges of (session, time), read back with its schema."""
     path = scratch_path(spark, f"clean-{uuid.uuid4().hex}")
     schema = sinks.write_clean(prepared(spark, sf).select(*PREP_COLS), path)
     return sinks.read_clean(spark, path, schema)
