@@ -35,11 +35,12 @@ def ceiling_join(df: DataFrame, value: str, levels: DataFrame, level: str, take:
     merged = rest.unionByName(table, allowMissingColumns=True)
     key = [F.col("_v").asc_nulls_last(), F.col("_level"), F.col("_tie").asc_nulls_last()]
     d = ordered.range_chunks(merged, (), key, rows)
-    ahead = Window.partitionBy(KEY, CHUNK).orderBy(*key).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    d = d.withColumn("_next", F.first(F.when(F.col("_level"), F.col("_take")), ignorenulls=True).over(ahead))
+    # Scanned from the last row back, so that each frame grows by one row.
+    back = Window.partitionBy(KEY, CHUNK).orderBy(F.col("_v").desc_nulls_first(), F.col("_level").desc(), F.col("_tie").desc_nulls_first())
+    d = d.withColumn("_next", F.last(F.when(F.col("_level"), F.col("_take")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     heads = d.groupBy(KEY, CHUNK).agg(F.min_by("_take", F.when(F.col("_level"), F.col("_v"))).alias("_head"))
-    later = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
-    heads = heads.select(KEY, CHUNK, F.first("_head", ignorenulls=True).over(later).alias("_later"))
+    later = Window.partitionBy(KEY).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(KEY, CHUNK, F.last("_head", ignorenulls=True).over(later).alias("_later"))
     d = d.join(heads, [KEY, CHUNK], "left").where(~F.col("_level"))
     found = F.when(F.col("_v").isNotNull(), F.coalesce("_next", "_later"))
     return d.select(*df.columns, *(found[c].alias(c) for c in take))
