@@ -200,7 +200,7 @@ class CrossedData:
         logdet, r2, _ = self._solve(t, abs(s))
         if not r2 > 0:  # too few steps for so large a scale
             return math.inf
-        return logdet + self.n * (1.0 + math.log(2 * math.pi * r2 / self.n))
+        return float(logdet + self.n * (1.0 + math.log(2 * math.pi * r2 / self.n)))
 
     def best_scale(self, t: float) -> tuple[float, float]:
         """(deviance, scale of the second factor) at its least, by finer and finer grids."""
