@@ -6,6 +6,7 @@ from test_loader import tree  # noqa: F401  (fixture)
 
 from telespark.plans.analysis import analyse
 from telespark.plans.preprocess import preprocess
+from telespark.sources import sinks
 
 
 def test_preprocess_and_analyse(spark, tree):  # noqa: F811
@@ -18,9 +19,11 @@ def test_preprocess_and_analyse(spark, tree):  # noqa: F811
     assert [p for _, p in s1] == ["Game"] * 5                   # start .. finish
     late = [r.PlayPeriod for r in rows if r.Participant == 1.0 and r.Timestamp is None]
     assert late == ["PostGame"]                                 # no timestamp: sorted after the finish
-    # the cleaned table is partitioned by session: a session filter prunes directories
+    # the cleaned table is laid out by session: a session filter prunes row groups, and the index finds its files
     one = prep.filter("Participant = 2.0")
-    assert "PartitionFilters: [isnotnull(Participant" in one._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(Participant), EqualTo(Participant,2.0)]" in one._jdf.queryExecution().executedPlan().toString()
+    own = sinks.read_clean(spark, f"{out}/clean", prep.schema, {"Participant": 2.0})
+    assert sorted(map(str, own.collect())) == sorted(map(str, one.collect())) != []
     a = analyse(prep, unit="second")
     summ = a.summary.collect()
     assert len(summ) == 1 and summ[0].PlayTime == 7.5 and summ[0].MoleHitCount == 1
