@@ -110,11 +110,11 @@ t_{m} AS (SELECT {m}, CASE WHEN {m} = 'other' THEN share ELSE spec * (1 - sum(CA
     for _ in range(ROUNDS):
         for m in names:
             steps.append(f"""
-w{k + 1} AS (SELECT x.* EXCLUDE (w, target), least(w * target / sum(w) OVER (PARTITION BY {m}), nat / {FRACTION}) AS w
+w{k + 1} AS (SELECT x.* EXCLUDE (w, target), w * target / sum(w) OVER (PARTITION BY {m}) AS w
     FROM (SELECT w{k}.*, target FROM w{k} JOIN t_{m} USING ({m})) AS x)""")
             k += 1
     return f"""WITH {','.join(steps)},
-p AS (SELECT source, lang, topic, round(least(1.0, {FRACTION} * w / nat), 9) AS probability FROM w{k})
+p AS (SELECT source, lang, topic, round(least(1.0, least({FRACTION}, 1 / max(w / nat) OVER ()) * w / nat), 9) AS probability FROM w{k})
 SELECT doc_id, source, lang, topic, n_tokens, probability,
     ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < probability AS kept
 FROM d JOIN p USING (source, lang, topic)"""
