@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 from llm_rows import CLASH, docs
+from pyspark.sql import functions as F
 
 from telespark.llm import exact_dedup
 
@@ -10,9 +11,14 @@ ROWS = [(3, "A b"), (1, "a B"), (2, "a c"), (9, None), (8, ""), (7, "É"), (6, "
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-@pytest.mark.parametrize("keep,pick", [("smallest", min), ("largest", max)])
-def test_groups(spark, keep, pick):
-    got = exact_dedup.exact_duplicates(docs(spark, ROWS), keep).collect()
+def weak(t):
+    """A hash that many different texts share: their bytes tell them apart."""
+    return (F.length(t) % 2).cast("string").cast("binary")
+
+
+@pytest.mark.parametrize("keep,pick,digest", [("smallest", min, exact_dedup.content_hash), ("largest", max, exact_dedup.content_hash), ("largest", max, weak)])
+def test_groups(spark, keep, pick, digest):
+    got = exact_dedup.exact_duplicates(docs(spark, ROWS), keep, digest=digest).collect()
     groups = defaultdict(list)
     for i, t in ROWS:
         groups[(t or "").translate(LOWER)].append(i)
