@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Permitted sequence lengths, and the fixed cost of a sequence in tokens.
 SIZES, OVERHEAD = (256, 512, 1024, 2048, 4096), 16
-#: Rows that one task packs, about.
-GROUP_ROWS = 8192
+#: Pieces that one task packs, about, and copies of a row that one step unfolds.
+GROUP_ROWS, COPIES = 8192, 65536
 
 
 def pack(lengths: Sequence[int], sizes: Sequence[int] = SIZES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
@@ -93,20 +95,25 @@ def best_fit(docs: DataFrame, tokens: Column, sizes: Sequence[int] = SIZES, over
     """A row for each piece: (doc_id, piece, n_tokens, bin_id, bin_size, bin_used, bin_start).
 
     Documents over the largest size are cut into pieces of that size and a
-    rest.  Rows are dealt out evenly, whatever their ids, and each task packs
-    about ``GROUP_ROWS`` documents with ``pack``; only ids and counts move.  A document without
+    rest.  Pieces are dealt out by a hash of id, piece, length and number of the
+    copy, and each task packs about ``GROUP_ROWS`` pieces with ``pack``: memory is
+    bounded for any text, and the same rows give the same bins however the
+    files are split.  Only ids and counts move.  A document without
     tokens (a null or negative count is 0) has one row and no bin.
     Repeated rows are packed each, null ids too.  An empty table gives an empty
     result.
     """
     if min(sizes) < 1:
         raise ValueError("sizes are positive")
-    groups = max(1, -(-docs.count() // GROUP_ROWS))
     top = max(sizes)
     counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0)).alias("n"))
-    spread = counted.repartition(groups).withColumn("part", F.spark_partition_id().cast("long"))
-    last = F.greatest(F.ceil(F.col("n") / top) - 1, F.lit(0)).cast("int")
-    pieces = spread.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
-    pieces = pieces.select("part", "doc_id", "piece", F.least(F.lit(top).cast("long"), F.col("n") - F.col("piece").cast("long") * top).alias("n_tokens"))
+    counted = materialise(counted.groupBy("doc_id", "n").agg(F.count("*").alias("copies")).withColumn("last", F.greatest(F.ceil(F.col("n") / top) - 1, F.lit(0)).cast("int")), "counted")
+    groups = max(1, -(-(counted.agg(F.sum(F.col("copies") * (F.col("last") + 1))).first()[0] or 0) // GROUP_ROWS))
+    # Copies in two steps, so that no array grows with the number of rows that repeat.
+    pieces = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("copies") - 1).cast("long") - (F.col("copies") - 1) % COPIES, F.lit(COPIES).cast("long"))))
+    pieces = pieces.withColumn("copy", F.explode(F.sequence(F.col("block"), F.least(F.col("copies"), F.col("block") + COPIES) - 1)))
+    pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    pieces = pieces.select("doc_id", "piece", "copy", F.least(F.lit(top).cast("long"), F.col("n") - F.col("piece").cast("long") * top).alias("n_tokens"))
+    dealt = pieces.repartition(groups, F.xxhash64("doc_id", "piece", "copy", "n_tokens")).sortWithinPartitions(F.desc("n_tokens"), "doc_id", "piece", "copy")
     run, schema = _pack_task(tuple(sizes), overhead)
-    return pieces.mapInArrow(run, schema)
+    return dealt.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "piece", "n_tokens").mapInArrow(run, schema)

@@ -77,3 +77,34 @@ def test_every_piece_has_a_place(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert packing.best_fit(spark.createDataFrame([], "doc_id long, tokens long"), F.col("tokens")).collect() == []
+
+
+def test_same_rows_same_bins(spark, monkeypatch):
+    """However the rows are split and ordered; repeated rows unfold in several steps; long texts are cut over several tasks."""
+    monkeypatch.setattr(packing, "GROUP_ROWS", 40)
+    monkeypatch.setattr(packing, "COPIES", 7)
+    rng = random.Random(8)
+    rows = [(i, int(rng.lognormvariate(3, 1.5))) for i in range(200)] + [(900, 30)] * 50 + [(None, 3)] * 20 + [(901, 64 * 300 + 5)]
+    results = []
+    for parts in (1, 5):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, tokens long").repartition(parts)
+        results.append(sorted(packing.best_fit(df, F.col("tokens"), (16, 32, 64)).collect(), key=repr))
+    assert results[0] == results[1]
+    got = results[0]
+    assert sum(r.doc_id == 900 for r in got) == 50 and sum(r.doc_id == 901 for r in got) == 301
+    tasks = defaultdict(int)
+    for r in got:
+        if r.bin_id is not None:
+            tasks[r.bin_id >> 32] += 1
+    assert max(tasks.values()) < 100 and len({r.bin_id >> 32 for r in got if r.doc_id == 901}) > 3
+
+
+def test_loss_against_one_packing(spark, monkeypatch):
+    """Groups waste little more than one packing of everything."""
+    monkeypatch.setattr(packing, "GROUP_ROWS", 1000)
+    rng = random.Random(9)
+    rows = [(i, min(4096, 1 + int(rng.lognormvariate(5.5, 1)))) for i in range(6000)]
+    got = packing.best_fit(spark.createDataFrame(rows, "doc_id long, tokens long"), F.col("tokens")).select("bin_id", "bin_size").distinct().collect()
+    _, _, size = packing.pack([n for _, n in rows])
+    assert sum(r.bin_size for r in got) < 1.03 * sum(size)
