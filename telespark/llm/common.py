@@ -45,3 +45,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hash_share(h: Column, wanted: int, n: int) -> Column:
+    """Is the 64-bit hash among the lowest of ``n``?  True for ``wanted`` of them, and ten deviations more.
+
+    An ordered limit after it sees about ``wanted`` rows, however many there are.
+    """
+    share = (wanted + 10 * wanted**0.5) / max(n, 1)
+    return F.lit(True) if share >= 1 else h <= F.lit(int(-(1 << 63) + share * (1 << 64)))

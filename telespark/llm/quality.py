@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, whole_text, words
+from .common import hash_share, materialise, whole_text, words
 from .trees import holds, read_tree, rules
 
 #: Labelled rows that a model is fitted on, at most.
@@ -89,7 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
              .where(F.col("label").isin(0.0, 1.0) & F.col("id").isNotNull() & ~held_out(F.col("id"))))
     # `rows` pairs of numbers at most: small enough to broadcast.
-    chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
+    known = materialise(known.groupBy("id").agg(F.max("label").alias("label")), "labelled")
+    chosen = known.where(hash_share(F.xxhash64("id"), rows, known.count())).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(F.broadcast(chosen), "id")
     data = materialise(with_statistics(texts, F.col("text")).select("label", F.array(*STATISTICS).alias("x")), "quality")
     seen = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
