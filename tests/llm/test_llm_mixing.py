@@ -104,5 +104,5 @@ def test_empty_table_and_bounds(spark):
 def test_any_number_of_cells(spark):
     """Only the values that the targets name are bounded, not their combinations."""
     df = spark.createDataFrame([(i, "x", str(i % 90), str(i % 7), str(i % 11)) for i in range(300)], "doc_id long, text string, a string, b string, c string")
-    got = mixing.mix(df, {m: (F.col(m), {str(i): 1.0 for i in range(99)}) for m in "abc"}, 0.5)
-    assert got.count() == 300
+    raked = mixing.rake(df, {m: (F.col(m), {str(i): 1.0 for i in range(99)}) for m in "abc"}, mixing.n_tokens(), 0.5, rounds=2)
+    assert {m: len(f) for m, f in raked.factors.items()} == {"a": 90, "b": 7, "c": 11} and 0 < raked.fraction <= 0.5
