@@ -74,6 +74,19 @@ def test_nothing_is_shuffled_above_the_generated_ticks(prep):
     assert "Exchange" not in top.split("Union")[-1]
 
 
+@pytest.mark.parametrize("build", [animate.filled_targets, animate.free_spine, animate.densify, animate.anim_frames])
+def test_ticks_are_many_tasks_and_cost_no_time_function(prep, build):
+    """Runs are few bytes and many ticks: their tasks are never joined by size, and a tick is a step, not a sum of times."""
+    plan = build(prep)._jdf.queryExecution().executedPlan().toString()
+    blocks = [line for line in plan.splitlines() if "Exchange" in line and "REPARTITION_BY" in line]
+    assert blocks and all("REPARTITION_BY_NUM" in line for line in blocks)
+    lines = plan.splitlines()
+    for at in (k for k, line in enumerate(lines) if "Generate explode(sequence(_lo" in line):
+        while "Project" in lines[at := at - 1] or "Filter" in lines[at]:
+            assert "timestampadd" not in lines[at].split("sequence(")[0] or "AS _lo" in lines[at]
+            assert "timestampdiff" not in lines[at]
+
+
 def test_axis_range_leaves_out_what_is_not_a_number(spark):
     df = spark.createDataFrame([(1.0, float("nan")), (float("nan"), 2.0), (3.0, None)], "MolePositionWorldX double, MolePositionWorldY double")
     assert tuple(animate.axis_range(df).first()) == (0.0, 4.0, 1.0, 3.0)
