@@ -5,9 +5,9 @@ shuffled.  Positions come from the pieces between matches (``split``) and the
 matches (``regexp_extract_all``), whose lengths add up to code point offsets.
 
 Generators with loose patterns propose overlapping candidates (written-out
-addresses, numbers with any separators).  Boosted trees, fitted on a bounded
-sample, score them by format and context; each kind has its own threshold,
-calibrated on held-out candidates.  The labels are the pattern spans
+addresses, numbers with any separators).  Boosted trees, fitted on the
+candidates of all texts, score them by format and context; each kind has its
+own threshold, calibrated on held-out candidates.  The labels are the pattern spans
 themselves; copies of the positive examples without the telling marks (the
 plus sign, the at sign) teach the trees the rest of the format.
 """
@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, materialise, whole_text
+from .common import materialise, whole_text
 from .trees import Leaf, Split, read_tree, value
 
 KINDS = ("email", "ip", "card", "phone")
@@ -51,9 +51,9 @@ NEAR = 32
 FEATURES = ("kind", "length", "digits", "letters", "gaps", "groups", "checksum", "octets", "cue", "glued_before", "glued_after", "plus", "at")
 #: Features that the marked copies of positive examples lose.
 MARKS = ("plus", "at")
-#: Candidates that a model is fitted on, at most; precision that a threshold has to reach on the held-out fifth (personal
+#: Precision that a threshold has to reach on the held-out fifth (personal
 #: data that the patterns miss counts as wrong there, so the true precision is higher), on how many true spans.
-TRAIN_ROWS, PRECISION, LEAST_TRUE = 20_000, 0.9, 30
+PRECISION, LEAST_TRUE = 0.9, 30
 
 
 def running_totals(a: Column) -> Column:
@@ -178,32 +178,34 @@ class Booster:
         return self.score(x) >= least
 
 
-def fit(docs: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 15, depth: int = 3, precision: float = PRECISION, least_true: int = LEAST_TRUE,
+def fit(docs: DataFrame, rounds: int = 15, depth: int = 3, precision: float = PRECISION, least_true: int = LEAST_TRUE,
         seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Booster:
-    """Fit the trees and thresholds on at most ``rows`` candidates, spread by a hash of their text and place.
+    """Fit the trees and thresholds on every candidate of every text; a fifth, by a hash of text and place, judges the thresholds.
 
-    The candidates are those of about ``rows`` documents, chosen by a hash of
-    id and text before anything is generated: the fit costs the same at any size.
+    Candidates alike in label and features are one weighted row, so what the
+    trees pass over many times is a small table of counts.
     Without candidates of both labels there are no trees, and a kind without
     enough true held-out candidates has no threshold: it adds no span.
     """
-    some = docs.where(hash_share(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), rows, docs.count()))
-    df = _with_candidates(_with_spans(some, id_col, text_col, []))
+    df = _with_candidates(_with_spans(docs, id_col, text_col, []))
     # The outer form: for the inner one the planner adds a filter on the candidates, and computes them once more for it.
     df = df.select("t", "base", F.explode_outer("found").alias("c")).where("c IS NOT NULL")
     same = F.array_contains("base", F.struct(F.col("c.start").alias("start"), F.col("c.kind").alias("kind"), F.col("c.end").alias("end")))
-    df = df.select(same.cast("double").alias("label"), "c.x", F.xxhash64("t", "c.start", "c.kind").alias("h")).orderBy("h", "label").limit(rows)
-    data = materialise(df.withColumn("held_out", F.pmod("h", F.lit(5)) == 0), "pii")
+    held_out = F.pmod(F.xxhash64("t", "c.start", "c.kind"), F.lit(5)) == 0
+    df = df.select(same.cast("double").alias("label"), "c.x", held_out.alias("held_out"))
+    data = materialise(df.groupBy("label", "x", "held_out").agg(F.count(F.lit(1)).cast("double").alias("weight")), "pii")
     marks = [FEATURES.index(m) for m in MARKS]
     bare = data.where("label = 1").withColumn("x", F.transform("x", lambda v, i: F.when(i.isin(marks), 0.0).otherwise(v)))
-    training = data.unionByName(bare).where("not held_out").select("label", array_to_vector("x").alias("features"))
+    training = data.unionByName(bare).where("not held_out").groupBy("label", "x").agg(F.sum("weight").alias("weight"))
+    training = training.orderBy("label", "x").select("label", "weight", array_to_vector("x").alias("features"))
     if training.select("label").distinct().count() < 2:
         return Booster([], {})
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed).fit(training)
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, weightCol="weight").fit(training)
     booster = Booster([(float(w), read_tree(t.toDebugString)) for w, t in zip(model.treeWeights, model.trees)], {})
     grid = [g / 20 for g in range(2, 20)]
-    judged = data.where("held_out").select("label", F.col("x")[0].cast("int").alias("kind"), booster.score(F.col("x")).alias("p"))
-    judged = judged.withColumn("g", F.explode(F.array(*map(F.lit, grid)))).where("p >= g").groupBy("kind", "g").agg(F.avg("label").alias("precision"), F.sum("label").alias("true"))
+    judged = data.where("held_out").select("label", "weight", F.col("x")[0].cast("int").alias("kind"), booster.score(F.col("x")).alias("p"))
+    judged = judged.withColumn("g", F.explode(F.array(*map(F.lit, grid)))).where("p >= g").groupBy("kind", "g").agg(
+        (F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("precision"), F.sum(F.col("label") * F.col("weight")).alias("true"))
     for r in judged.where((F.col("precision") >= precision) & (F.col("true") >= least_true)).collect():  # kinds x grid at most
         booster.thresholds[r["kind"]] = min(r["g"], booster.thresholds.get(r["kind"], 1.0))
     return booster

@@ -95,6 +95,16 @@ def test_trees_add_spans_and_keep_the_pattern_spans(spark, corpus):
     assert not any(r.n_added for r in got if r.doc_id < 5000)
 
 
+def test_the_fit_reads_the_candidates_of_every_text(spark, corpus, monkeypatch):
+    read = []
+    monkeypatch.setattr(pii, "materialise", lambda df, name: read.append(df.localCheckpoint()) or read[-1])
+    many = docs(spark, corpus).crossJoin(spark.range(40).toDF("copy")).selectExpr("doc_id", "concat(text, ' ', copy) AS text")
+    pii.fit(many, rounds=1)
+    # More candidates than any bound so far; each counts once.
+    all_found = pii._with_candidates(pii._with_spans(many, "doc_id", "text", [])).select(F.sum(F.size("found"))).first()[0]
+    assert all_found > 20_000 and read[0].agg(F.sum("weight")).first()[0] == all_found
+
+
 def test_compiled_trees_equal_the_model(spark, corpus):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
