@@ -94,8 +94,8 @@ def write_log_tree(logs: DataFrame, root: str, keys=("Participant", "Condition")
     """Write events, samples and session metadata below ``root``, one file per session and kind, as a logger writes them.
 
     In a local or mounted folder the tasks write their files themselves:
-    Hadoop's local file system starts a ``chmod`` process for every file and
-    every checksum file, which is all the time that many small files take."""
+    without its native library Hadoop's local file system starts a ``chmod``
+    process for every file and every checksum file."""
     kind = F.when(F.col("Event") == SAMPLE, "Sample").otherwise("Event")
     body = logs.drop("RowId").withColumn("kind", kind)
     meta = session_meta(logs, keys).withColumn("kind", F.lit("Meta"))
