@@ -1,9 +1,11 @@
 """CSV log loader on a temporary tree with the awkward cases."""
 
+import gzip
 import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from telespark.operators.clean import clean
 from telespark.sources import logs
@@ -122,3 +124,39 @@ def test_nan_is_missing(spark):
                                 "Timestamp string, Event string, MolePositionWorldX string, Participant string")
     got = clean(raw).select("MolePositionWorldX", "Participant").collect()
     assert got[0].MolePositionWorldX is None and got[0].Participant is None and got[1].MolePositionWorldX == float("inf")
+
+
+def test_small_files_are_read_whole_and_cut_as_the_text_reader_cuts(spark, tmp_path, monkeypatch):
+    bodies = [b"x\ny\n", b"\xef\xbb\xbfx\r\ny", b"", b"\n\n", b"x\r\ry\n\r", b"x\n\n", b"\r\n", b"q\x0bz\xc2\x85w", b"\xef\xbb\xbf", b"x\n\xef\xbb\xbfz\n"]
+    for i, body in enumerate(bodies):
+        (tmp_path / f"f {i}%+.csv").write_bytes(body)
+    with gzip.open(tmp_path / "packed.csv.gz", "wb") as f:
+        f.write(b"k\nl\n")
+    (tmp_path / "large.csv").write_bytes(b"of many lines\n" * 40)
+    monkeypatch.setattr(logs, "WHOLE_FILE", 100)
+    confs = dict(spark.sparkContext.getConf().getAll()), spark.conf.get(logs._LISTING_TASKS)
+    got = logs._lines(spark, str(tmp_path), F.lit(True))
+    plain = spark.read.text(str(tmp_path)).select("value", logs._path().alias("path"), F.monotonically_increasing_id().alias("row"))
+
+    def by_file(d):
+        out = {}
+        for r in d.orderBy("path", "row").collect():
+            out.setdefault(r["path"], []).append(r["value"])
+        return out
+
+    assert by_file(got) == by_file(plain)
+    assert (dict(spark.sparkContext.getConf().getAll()), spark.conf.get(logs._LISTING_TASKS)) == confs
+
+
+def test_many_folders_and_small_files_are_few_tasks(spark, tmp_path):
+    for i in range(120):
+        (tmp_path / f"p{i}").mkdir()
+        (tmp_path / f"p{i}" / "Event.csv").write_text("a;b\n1;2\n")
+    spark.sparkContext.setJobGroup("many folders", "")
+    found = logs.scan(spark, str(tmp_path), {"event": r"Event\.csv$"})
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("many folders") for s in tracker.getJobInfo(j).stageIds]
+    tasks = [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
+    assert max(tasks) <= logs.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert found.table("event").count() == 120
