@@ -15,7 +15,9 @@ the second factor's levels with the pair table.  Lanczos steps with K from a
 start vector give a small tridiagonal matrix, and that gives products with
 ``(I + s^2 K)^-1`` and ``log(I + s^2 K)`` for *every* s at once: one run for all
 column products and for the random probes of the log determinant serves the
-whole profile of s.  Steps go on until the profile stands still.  The driver
+whole profile of s.  Where the first factor has few levels, a level of the
+second holds its row of N and its vectors, and only sums over the first
+factor's levels leave a task: a step joins and shuffles no level.  Steps go on until the profile stands still.  The driver
 holds the tridiagonal coefficients, one row a step.
 
 Probes are fixed pseudo-random signs, so the estimate is the same on every run
@@ -26,10 +28,13 @@ is exact.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +48,10 @@ SCALES = np.array([0.0, *np.geomspace(1e-3, 1e2, 31)])
 COARSE, FINE, GRIDS = (0.0, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0), 5, 3
 #: Vectors that one run of Lanczos steps carries as columns.
 WIDTH = 48
+#: With at most so many levels of the first factor, a step's products run inside the rows of the second's levels.
+FEW_LEVELS = 1000
+#: Counts of a dense piece of N inside a task.
+PIECE = 1 << 20
 
 
 @dataclass
@@ -57,6 +66,68 @@ class Profile:
     alpha: np.ndarray
     beta: np.ndarray
 
+    @cached_property
+    def spectra(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Weights and values of the tridiagonal matrix of each start vector that is not zero."""
+        out = []
+        for k in range(len(self.length)):
+            if self.length[k] == 0:
+                out.append((np.zeros(1), np.zeros(1)))
+                continue
+            off = self.beta[:, k]
+            j = int(np.argmax(off == 0)) + 1 if (off == 0).any() else len(off)
+            value, vector = np.linalg.eigh(np.diag(self.alpha[:j, k]) + np.diag(off[: j - 1], 1) + np.diag(off[: j - 1], -1))
+            out.append((vector[0] ** 2, np.maximum(value, 0.0)))
+        return out
+
+
+def _step_length(alpha: np.ndarray, square: np.ndarray) -> np.ndarray:
+    beta = np.sqrt(np.maximum(square - alpha * alpha, 0.0))
+    beta[beta <= 1e-7 * np.sqrt(square)] = 0.0  # the space of this vector is exhausted
+    return beta
+
+
+# ------------------------------------------------------------------ steps with few levels of the first factor
+
+_ROW = "nh double, at array<int>, n array<double>, q array<double>, w array<double>"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], levels: int, width: int):
+    """(batch, nh, N, q, w): some of the second factor's levels with their dense rows of N and their vectors."""
+    rows = max(1, PIECE // levels)
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            b = batch.slice(start, rows)
+            at = b.column("at")
+            counts = np.zeros((b.num_rows, levels))
+            counts[np.repeat(np.arange(b.num_rows), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = b.column("n").flatten().to_numpy()
+            q, w = (b.column(c).flatten().to_numpy().reshape(-1, width) for c in "qw")
+            yield b, b.column("nh").to_numpy(), counts, q, w
+
+
+def _next_vectors(levels: int, width: int, alpha: np.ndarray, scale: np.ndarray, beta: np.ndarray, first: np.ndarray):
+    """Task of one step: q' = scale * (w - alpha q), w' = K q' - beta q, the first factor's part of K q' being N first."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, nh, counts, q, w in _pieces(batches, levels, width):
+            now = (w - alpha * q) * scale
+            w = nh[:, None] * now - counts @ first - beta * q
+            ends = pa.array(np.arange(0, now.size + 1, width), pa.int32())
+            vectors = (pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1))) for x in (now, w))
+            yield pa.RecordBatch.from_arrays([b.column("nh"), b.column("at"), b.column("n"), *vectors], ["nh", "at", "n", "q", "w"])
+    return task
+
+
+def _sums(levels: int, width: int):
+    """Task that sums, over its levels of the second factor, q * w, w * w and N' w: a row for each number."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2 + levels, width))
+        for _, _, counts, q, w in _pieces(batches, levels, width):
+            out[0] += (q * w).sum(axis=0)
+            out[1] += (w * w).sum(axis=0)
+            out[2:] += counts.T @ w
+        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(out.size), pa.int32()), "x": pa.array(out.reshape(-1))})
+    return task
+
 
 class CrossedData:
     """Statistics of the complete rows; fixed terms are numeric, or text with few levels."""
@@ -88,6 +159,7 @@ class CrossedData:
         self.second = written(pairs.groupBy("h").agg(F.sum("n").alias("nh"), *sums), "second-levels")
         self.pairs = written(pairs.select("g", "h", "n").join(self.first.select("g", "ng"), "g"), "level-pairs")
         self.levels = self.second.count()
+        self.few = self.first.count() <= FEW_LEVELS
         self.exact = self.levels <= probes
         self.probes = self.levels if self.exact else probes
         self._known: dict[float, Profile] = {}
@@ -144,19 +216,9 @@ class CrossedData:
         t2 = [scales[k // per] ** 2 for k in cols]
         state = written(state, "lanczos")
         length = np.array([x or 0.0 for x in state.agg(*(F.sum(x * x) for x in c)).first()], float)
-        now = state.select("h", "nh", *((x / F.lit(math.sqrt(s) or 1.0)).alias(f"c{k}") for k, (x, s) in enumerate(zip(c, length))), *(F.lit(0.0).alias(f"p{k}") for k in cols))
+        now = state.select("h", "nh", *((x / F.lit(math.sqrt(s) or 1.0)).alias(f"c{k}") for k, (x, s) in enumerate(zip(c, length))))
         alphas, betas, last = [], [], None
-        for _ in range(steps):
-            beta = betas[-1] if betas else np.zeros(width)
-            first = self.pairs.join(now.select("h", *(f"c{k}" for k in cols)), "h").groupBy("g").agg(F.first("ng").alias("ng"), *(F.sum(F.col("n") * x).alias(f"c{k}") for k, x in enumerate(c)))
-            first = first.select("g", *((x * (t / (1 + t * F.col("ng")))).alias(f"c{k}") for k, (x, t) in enumerate(zip(c, t2))))
-            back = self.pairs.drop("ng").join(first, "g").groupBy("h").agg(*(F.sum(F.col("n") * x).alias(f"s{k}") for k, x in enumerate(c)))
-            w = now.join(back, "h").select("h", "nh", *(f"c{k}" for k in cols), *((F.col("nh") * c[k] - F.col(f"s{k}") - float(beta[k]) * F.col(f"p{k}")).alias(f"w{k}") for k in cols))
-            w = written(w, "lanczos")
-            sums = np.array(w.agg(*(F.sum(c[k] * F.col(f"w{k}")) for k in cols), *(F.sum(F.col(f"w{k}") * F.col(f"w{k}")) for k in cols)).first(), float)
-            alpha, square = sums[:width], sums[width:]
-            beta = np.sqrt(np.maximum(square - alpha * alpha, 0.0))
-            beta[beta <= 1e-7 * np.sqrt(square)] = 0.0  # the space of this vector is exhausted
+        for alpha, beta in islice(self._few_steps(now, t2) if self.few else self._many_steps(now, t2), steps):
             alphas.append(alpha)
             betas.append(beta)
             for k, t in enumerate(scales):
@@ -166,6 +228,49 @@ class CrossedData:
             if not beta.any() or last is not None and np.isfinite(profile).all() and np.abs(profile - last).max() <= tolerance * np.abs(profile).max():
                 break
             last = profile
+
+    def _few_steps(self, now: DataFrame, t2: Sequence[float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Coefficients of the steps, one after the other; the first factor's levels are an index into arrays."""
+        spark, width = now.sparkSession, len(t2)
+        known = sorted((r["g"], r["ng"]) for r in self.first.select("g", "ng").collect())
+        weight = np.array([[t / (1 + t * ng) for t in t2] for _, ng in known])
+        index = F.broadcast(spark.createDataFrame([(g, i) for i, (g, _) in enumerate(known)], "g string, at int"))
+        rows = self.pairs.join(index, "g").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("at", F.col("n").cast("double").alias("n")))).alias("r"))
+        vector = F.array(*(f"c{k}" for k in range(width)))
+        state = written(now.join(rows, "h").select(F.col("nh").cast("double").alias("nh"), "r.at", "r.n", F.array_repeat(F.lit(0.0), width).alias("q"), vector.alias("w")), "lanczos")
+
+        def sums() -> np.ndarray:
+            out = np.zeros((2 + len(known)) * width)
+            for i, x in state.mapInArrow(_sums(len(known), width), "i int, x double").groupBy("i").agg(F.sum("x")).collect():
+                out[i] = x
+            return out.reshape(-1, width)
+
+        # N' q follows from N' w as q does from w.
+        product, alpha, scale, beta = sums()[2:], np.zeros(width), np.ones(width), np.zeros(width)
+        while True:
+            state = written(state.mapInArrow(_next_vectors(len(known), width, alpha, scale, beta, weight * product), _ROW), "lanczos")
+            alpha, square, *after = sums()
+            beta = _step_length(alpha, square)
+            yield alpha, beta
+            scale = np.divide(1.0, beta, out=np.zeros(width), where=beta != 0)
+            product = (np.array(after) - alpha * product) * scale
+
+    def _many_steps(self, now: DataFrame, t2: Sequence[float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same by joins with the pair table, for any number of levels of both factors."""
+        width = len(t2)
+        cols, beta = range(width), np.zeros(width)
+        c = [F.col(f"c{k}") for k in cols]
+        now = now.select("h", "nh", *c, *(F.lit(0.0).alias(f"p{k}") for k in cols))
+        while True:
+            first = self.pairs.join(now.select("h", *(f"c{k}" for k in cols)), "h").groupBy("g").agg(F.first("ng").alias("ng"), *(F.sum(F.col("n") * x).alias(f"c{k}") for k, x in enumerate(c)))
+            first = first.select("g", *((x * (t / (1 + t * F.col("ng")))).alias(f"c{k}") for k, (x, t) in enumerate(zip(c, t2))))
+            back = self.pairs.drop("ng").join(first, "g").groupBy("h").agg(*(F.sum(F.col("n") * x).alias(f"s{k}") for k, x in enumerate(c)))
+            w = now.join(back, "h").select("h", "nh", *(f"c{k}" for k in cols), *((F.col("nh") * c[k] - F.col(f"s{k}") - float(beta[k]) * F.col(f"p{k}")).alias(f"w{k}") for k in cols))
+            w = written(w, "lanczos")
+            sums = np.array(w.agg(*(F.sum(c[k] * F.col(f"w{k}")) for k in cols), *(F.sum(F.col(f"w{k}") * F.col(f"w{k}")) for k in cols)).first(), float)
+            alpha, square = sums[:width], sums[width:]
+            beta = _step_length(alpha, square)
+            yield alpha, beta
             now = w.select("h", "nh", *(((F.col(f"w{k}") - float(alpha[k]) * c[k]) * (1.0 / beta[k] if beta[k] else 0.0)).alias(f"c{k}") for k in cols), *(c[k].alias(f"p{k}") for k in cols))
 
     def _solve(self, t: float, s: float) -> tuple[float, float, np.ndarray]:
@@ -173,13 +278,7 @@ class CrossedData:
         p, s2 = self._known[float(t)], s * s
         pairs = self.m * (self.m + 1) // 2
         inverse, logs = np.zeros(pairs), 0.0
-        for k in range(len(p.length)):
-            if p.length[k] == 0:
-                continue
-            off = p.beta[:, k]
-            j = int(np.argmax(off == 0)) + 1 if (off == 0).any() else len(off)
-            value, vector = np.linalg.eigh(np.diag(p.alpha[:j, k]) + np.diag(off[: j - 1], 1) + np.diag(off[: j - 1], -1))
-            weight, value = vector[0] ** 2, np.maximum(value, 0.0)
+        for k, (weight, value) in enumerate(p.spectra):
             if k < pairs:
                 inverse[k] = p.length[k] * np.sum(weight / (1 + s2 * value))
             else:

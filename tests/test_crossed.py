@@ -82,3 +82,22 @@ def test_a_second_factor_of_100000_levels(spark):
     _, s = data.best_scale(1.0)
     assert s == pytest.approx(0.5, abs=0.05)
     assert data._solve(1.0, s)[2][1] == pytest.approx(1.0, abs=0.01)
+
+
+def test_steps_inside_the_rows_equal_the_steps_by_joins(spark, small, monkeypatch):
+    """With few levels of the first factor, no step joins or shuffles the levels of the second; the coefficients are the same."""
+    _, df = small
+    known = []
+    for few in (25, 24):
+        monkeypatch.setattr(crossed, "FEW_LEVELS", few)
+        monkeypatch.setattr(crossed, "PIECE", 60)
+        d = crossed.CrossedData(df, "y", ["x"], "g", "h", probes=5)
+        assert d.few == (few == 25)
+        joins = []
+        monkeypatch.setattr(crossed.CrossedData, "_many_steps", lambda self, *a, f=crossed.CrossedData._many_steps: joins.append(1) or f(self, *a))
+        d.profiles([0.0, 1.3], steps=4)
+        assert bool(joins) == (few == 24)
+        known.append(d._known)
+    for t in (0.0, 1.3):
+        for name in ("alpha", "beta", "length", "cross"):
+            assert getattr(known[0][t], name) == pytest.approx(getattr(known[1][t], name), rel=1e-7, abs=1e-7)
