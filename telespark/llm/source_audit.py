@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Distinct (language, source, term) that a task counts before it hands them on.
-HELD = 1 << 18
+#: Distinct (language, source, term) that a task counts before it hands them on, in batches of so many rows; documents it unpacks at once.
+HELD, HANDED, READ = 1 << 19, 1 << 14, 64
+#: A term's documents are counted above this bit of its count of occurrences.
+DOCS_AT = 40
+ONE_DOC, OCCURRENCES = 1 << DOCS_AT, (1 << DOCS_AT) - 1
 #: Terms of a language in a block of the matrices, and sources in a block of their columns.
 TERMS, SOURCES = 2048, 64
 #: A level column with at least so many terms of a block goes into the dense part of the product; the most columns there.
@@ -27,28 +31,39 @@ COUNTS = "lang string, source string, term string, n long, docs long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's terms; a row without a term for each of its (language, source)."""
-    held: dict[tuple, Counter] = {}
-    docs: dict[tuple, Counter] = {}
-
-    def flush() -> pa.RecordBatch:
-        rows = [(*group, term.decode(), n, docs[group][term]) for group, terms in held.items() for term, n in terms.items()]
-        rows += [(*group, None, 0, 0) for group in held]
-        held.clear(), docs.clear()
-        names = [c.split()[0] for c in COUNTS.split(", ")]
-        kinds = [pa.string()] * 3 + [pa.int64()] * 2
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=names)
+    """Counts of a task's terms; a row without a term for each of its (language, source).
+
+    A count is one number, documents above the occurrences; what is held is handed on in
+    batches of HANDED rows, so a worker's memory does not follow the rows of an Arrow batch."""
+    held: dict[tuple, dict[bytes, int]] = {}
+    size = 0
+    names, kinds = [c.split()[0] for c in COUNTS.split(", ")], [pa.string()] * 3 + [pa.int64()] * 2
+
+    def rows() -> Iterator[tuple]:
+        while held:
+            group, terms = held.popitem()
+            yield (*group, None, 0, 0)
+            for term, n in terms.items():
+                yield (*group, term.decode(), n & OCCURRENCES, n >> DOCS_AT)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        left = rows()
+        while part := list(islice(left, HANDED)):
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
 
     for batch in batches:
-        for text, *group in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source"))):
-            group = tuple(group)
-            terms = Counter(TERM.findall(text.encode().lower()))
-            held.setdefault(group, Counter()).update(terms)
-            docs.setdefault(group, Counter()).update(terms.keys())
-        if sum(map(len, held.values())) > HELD:
-            yield flush()
-    if held:
-        yield flush()
+        for start in range(0, batch.num_rows, READ):
+            some = batch.slice(start, READ)
+            for text, *group in zip(*(some.column(c).to_pylist() for c in ("text", "lang", "source"))):
+                terms = held.setdefault(tuple(group), {})
+                size -= len(terms)
+                for term, n in Counter(TERM.findall(text.encode().lower())).items():
+                    terms[term] = terms.get(term, 0) + ONE_DOC + n
+                size += len(terms)
+                if size > HELD:
+                    yield from flush()
+                    size = 0
+    yield from flush()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import WORDS
 
@@ -93,3 +94,19 @@ def test_large_counts_stay_exact(spark):
 
 def test_no_rows(spark):
     assert audited(spark, [], 30) == []
+
+
+def test_a_task_hands_on_its_counts_in_small_batches(monkeypatch):
+    """One Arrow batch of many terms: what is held is handed on inside the batch, in batches of few rows, and the sums stay."""
+    monkeypatch.setattr(sa, "HELD", 100)
+    texts = [f"common common {''.join(chr(97 + (i // 26**k) % 26) for k in range(3))} Common" for i in range(500)] + ["", "12"]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["en"] * 502, "source": [f"s{i % 2}" for i in range(502)]})
+    monkeypatch.setattr(sa, "HANDED", 64, raising=False)
+    out = list(sa._count(iter([batch])))
+    assert max(b.num_rows for b in out) <= 64
+    sums = {}
+    for r in (r for b in out for r in b.to_pylist()):
+        n, docs = sums.get((r["source"], r["term"]), (0, 0))
+        sums[r["source"], r["term"]] = (n + r["n"], docs + r["docs"])
+    assert sums["s0", "common"] == (750, 250) and sums["s1", "common"] == (750, 250)
+    assert sums["s0", None] == (0, 0) and len(sums) == 2 + 2 + 500
