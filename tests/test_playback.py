@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from telespark.operators import animate
 from telespark.operators.clean import conform
@@ -68,6 +69,30 @@ def test_long_spans_are_cut_into_blocks(spark, monkeypatch, prep):
     assert sorted(map(repr, animate.densify(prep).collect())) == want
 
 
+@pytest.mark.parametrize("ticks", [1, 2, 3])
+def test_chunks_hand_their_size_on(spark, monkeypatch, ticks):
+    """Chunks without real rows, and rows more than a chunk before the start, keep what came before them."""
+    rows = [*ROWS, (3.0, -9.0, "Mole Spawned", "01", 1.0, 0.1), (3.0, -7.5, "Mole Hit", "02", 2.0, 0.1), (3.0, -7.0, "Mole Spawned", "02", 2.0, 0.1),
+            (3.0, 0.0, "Game Started", None, None, 0.1), (3.0, 7.2, "Mole Hit", "01", 1.0, 0.2), (3.0, 12.0, "Mole Spawned", "01", 1.0, 0.3),
+            (3.0, 11.0, "Game Finished", None, None, 0.4), (None, 0.0, "Game Started", None, None, 0.1), (None, 1.0, "Mole Spawned", "03", 1.0, 0.1),
+            (None, 5.0, "Game Stopped", None, None, 0.1)]
+    more = table(spark, rows)
+    want = sorted(map(repr, animate.densify(more).collect()))
+    monkeypatch.setattr(animate, "TICK_CHUNK", ticks)
+    assert sorted(map(repr, animate.densify(more).collect())) == want
+    got = {(r.second, r.id): r.size for r in animate.densify(more, lower=0.0).filter("Participant = 3 AND name = 'Active Mole'").collect()}
+    assert got == {**{(float(t), "01"): float(t < 7) for t in range(12)}, **{(float(t), "02"): 1.0 for t in range(12)}}
+
+
+def test_real_ticks_and_their_entities_come_together_once(prep):
+    """No table of the entities' chunks is as long as the events: an entity's row and its real ticks are one shuffle, without a join."""
+    extent = animate.playback_extent(prep)
+    lasers = animate._with_extent(animate.laser_per_second(prep), extent, ["Participant", "Condition"]).withColumn("size", F.lit(0.0)).localCheckpoint()
+    ent = animate._entities(extent, animate.laser_template(prep), ["Participant", "Condition"]).localCheckpoint()
+    plan = animate._free_runs(lasers, ent, ["Participant", "Condition"], "second")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") <= 3
+
+
 def test_nothing_is_shuffled_above_the_generated_ticks(prep):
     plan = animate.filled_targets(prep)._jdf.queryExecution().executedPlan().toString()
     top = plan[: plan.index("Generate explode(sequence(_lo")]
