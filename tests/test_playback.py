@@ -112,6 +112,31 @@ def test_ticks_are_many_tasks_and_cost_no_time_function(prep, build):
             assert "timestampdiff" not in lines[at]
 
 
+@pytest.mark.parametrize("build", [animate.densify, lambda d: animate.densify(d, lower=0.0)])
+def test_no_union_stands_above_the_generated_ticks(prep, build):
+    """Both layers' free and real rows are generated in one place: what reads a tick runs where it is generated."""
+    plan = build(prep)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode(sequence(_lo") == 1
+    assert "Union" not in plan[: plan.index("Generate explode(sequence(_lo")]
+
+
+def test_rows_of_a_crowded_tick_are_dealt_out(prep):
+    """Real rows of one tick are not one task: their load order is part of what deals them out."""
+    plan = animate.densify(prep)._jdf.queryExecution().executedPlan().toString()
+    (blocks,) = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert "_tie" in blocks
+
+
+def test_a_layer_is_built_without_the_other(prep):
+    lasers = animate.anim_layers(animate.densify(prep))[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Mole Expired" not in lasers and lasers.count("Generate explode(sequence(_lo") == 1
+
+
+def test_untimed_rows_stay_without_a_horizon(prep):
+    assert [r.id for r in animate.densify(prep, horizon=False).collect() if r.second is None] == ["02"]
+    assert [(r.id, r.size) for r in animate.filled_targets(prep).collect() if r.second is None] == [("02", 1.0)]
+
+
 def test_axis_range_leaves_out_what_is_not_a_number(spark):
     df = spark.createDataFrame([(1.0, float("nan")), (float("nan"), 2.0), (3.0, None)], "MolePositionWorldX double, MolePositionWorldY double")
     assert tuple(animate.axis_range(df).first()) == (0.0, 4.0, 1.0, 3.0)
