@@ -15,11 +15,12 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telespark.operators.ordered import order_key
 from telespark.operators.sessions import SAMPLE
+from telespark.sources.files import local_folder
 
 SEP = ";"
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -83,13 +84,6 @@ def _write_files(root: str, parts: Sequence[str]):
     return task
 
 
-def _local_folder(spark: SparkSession, root: str) -> str | None:
-    """The root as a folder of the operating system; None on any other file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
-    return uri.getPath() if uri.getScheme() == "file" else None
-
-
 def write_log_tree(logs: DataFrame, root: str, keys=("Participant", "Condition")) -> str:
     """Write events, samples and session metadata below ``root``, one file per session and kind, as a logger writes them.
 
@@ -100,7 +94,7 @@ def write_log_tree(logs: DataFrame, root: str, keys=("Participant", "Condition")
     body = logs.drop("RowId").withColumn("kind", kind)
     meta = session_meta(logs, keys).withColumn("kind", F.lit("Meta"))
     parts = [*keys, "kind"]
-    folder = _local_folder(logs.sparkSession, root)
+    folder = local_folder(logs.sparkSession, root)
     if folder is not None:
         lines = _lines(body, keys, parts).unionByName(_lines(meta, keys, parts))
         file = [*parts, "version"]
